@@ -129,10 +129,21 @@ def percent_text(fraction: Column) -> Column:
     return F.format_string("%.1f%%", F.bround(fraction * F.lit(100.0), 1))
 
 
-def utc_day(timestamp: Column) -> Column:
-    """The UTC calendar day of an instant as text, whatever the session time zone."""
+def utc_text(timestamp: Column) -> Column:
+    """An instant as UTC text with whole seconds, whatever the session time zone."""
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), timestamp.cast("timestamp_ntz"))
-    return F.substring(utc.cast("string"), 1, 10)
+    return F.substring(utc.cast("string"), 1, 19)
+
+
+def utc_day(timestamp: Column) -> Column:
+    """The UTC calendar day of an instant as text."""
+    return F.substring(utc_text(timestamp), 1, 10)
+
+
+def instant_from_utc(wall_clock: Column) -> Column:
+    """A zone-less UTC wall clock as an instant."""
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock.cast("timestamp_ntz"))
+    return local.cast("timestamp")
 
 
 def now_utc_seconds() -> Column:
