@@ -60,8 +60,12 @@ def normalize_prompt(text: Column) -> Column:
 
 
 def text_key(normalized: Column) -> Column:
-    """A 256-bit digest that stands in for a long text as grouping and join key."""
-    return F.sha2(normalized, 256)
+    """A 256-bit digest that stands in for a long text as grouping and join key.
+
+    Never null: a join on a nullable key makes Spark test the key for null below the
+    projection that computes it, which would run the case folding twice.
+    """
+    return F.coalesce(F.sha2(normalized, 256), F.lit(""))
 
 
 def forward_slashes(path: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..labels import LABELS, label_array
 
@@ -218,9 +218,10 @@ def review_queue(splits: dict[str, DataFrame], threshold: float = LABEL_ISSUE_CO
 def class_weights(labels: DataFrame) -> DataFrame:
     """Balanced and square-root balanced weights of the labels present."""
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    everything = Window.partitionBy(F.lit(1))  # over one row per label
-    balanced = F.sum("rows").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("rows"))
-    return counts.select(
+    totals = counts.agg(F.struct(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
+    weighted = counts.withColumn("_all", totals)
+    balanced = F.col("_all.rows") / (F.col("_all.classes") * F.col("rows"))
+    return weighted.select(
         "label", "rows", balanced.alias("balanced"), F.sqrt(balanced).alias("sqrt_balanced")
     )
 

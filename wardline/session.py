@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     without that setting gets a temporary folder; elsewhere a machine-local folder
     would be lost with its executor, so its absence is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="wardline-"))
+    return context.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
