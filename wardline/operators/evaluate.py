@@ -32,7 +32,8 @@ def confusion_counts(predictions: DataFrame, by: Sequence[str] = ()) -> DataFram
 
 def confusion_matrix(predictions: DataFrame, labels=LABELS) -> DataFrame:
     """The full matrix in label order: one row per actual label, one column per predicted."""
-    counts = confusion_counts(predictions)
+    known = F.col("label").isin(*labels) & F.col("prediction").isin(*labels)
+    counts = confusion_counts(predictions.filter(known))
     # Every label takes part as a row even when it never occurs.
     present = counts.select(F.struct("label", "prediction", "n").alias("cell"))
     slots = F.transform(

@@ -10,7 +10,6 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import _combining_marks
-from .tfidf import document_terms
+from .tfidf import MAX_FEATURES, document_terms, small_side
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,6 +48,7 @@ def linear_scores(
     intercepts: dict[str, float],
     key: str,
     text_col: str = "text",
+    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """Class probabilities per document: (key, label, margin, probability).
 
@@ -58,7 +58,7 @@ def linear_scores(
     """
     classes = sorted(intercepts)
     model = vocabulary.select("term", "idf").join(class_coefficients(coefficients, classes), "term")
-    terms = document_terms(documents, key, text_col).join(F.broadcast(model), "term", "left")
+    terms = document_terms(documents, key, text_col).join(small_side(model, max_features), "term", "left")
     weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     weighted = terms.select(key, weight.alias("w"), "coefs")
     sums = weighted.groupBy(key).agg(
@@ -137,7 +137,3 @@ def top_features(coefficients: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
     by_class = Window.partitionBy("label").orderBy(F.col("coefficient").desc(), F.col("term"))
     ranked = coefficients.withColumn("rank", F.row_number().over(by_class)).filter(F.col("rank") <= n)
     return ranked.select("label", "rank", F.col("term").alias("feature"), "coefficient")
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

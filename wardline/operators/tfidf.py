@@ -6,7 +6,7 @@ statistics need one shuffle, on the term, with map-side combining; no shuffle by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import inline_rows
 from ..functions.text import fold_accents, with_bigrams, word_tokens
@@ -14,6 +14,7 @@ from ..functions.text import fold_accents, with_bigrams, word_tokens
 MIN_DOCUMENTS = 2
 MAX_DOCUMENT_SHARE = 0.995
 MAX_FEATURES = 60_000
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 def _run_lengths(terms: Column) -> Column:
@@ -57,6 +58,22 @@ def smooth_idf(documents: Column, df: Column) -> Column:
     return F.log((documents + 1) / (df + 1)) + 1.0
 
 
+def _most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The n terms of highest tf, ties by term.
+
+    A plain top-n over many partitions sends n rows of each to one task. A histogram over
+    the logarithm of tf (some hundred buckets) first finds a frequency that at least n terms
+    reach, so that little more than n rows in all arrive there.
+    """
+    scaled = stats.withColumn("_scale", F.floor(F.log2(F.col("tf").cast("double")) * 16))
+    histogram = scaled.groupBy("_scale").agg(F.count(F.lit(1)).alias("terms"))
+    from_top = Window.orderBy(F.col("_scale").desc())  # over the histogram only
+    reached = histogram.withColumn("_reached", F.sum("terms").over(from_top)).filter(F.col("_reached") >= n)
+    cut = reached.agg(F.max("_scale")).scalar()
+    candidates = scaled.filter(F.col("_scale") >= F.coalesce(cut, F.lit(-1))).drop("_scale")
+    return candidates.orderBy(F.col("tf").desc(), F.col("term")).limit(n)
+
+
 def fit_vocabulary(
     documents: DataFrame,
     key: str,
@@ -73,12 +90,8 @@ def fit_vocabulary(
     """
     n_docs = corpus_size(documents)
     stats = term_stats(document_terms(documents, key, text_col))
-    kept = (
-        stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
-        .orderBy(F.col("tf").desc(), F.col("term"))
-        .limit(max_features)
-        .withColumn("idf", smooth_idf(n_docs, F.col("df")))
-    )
+    bounded = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
+    kept = _most_frequent(bounded, max_features).withColumn("idf", smooth_idf(n_docs, F.col("df")))
     # Numbering gathers the vocabulary in one row: at most max_features entries.
     gathered = kept.agg(F.sort_array(F.collect_list(F.struct("term", "df", "tf", "idf"))).alias("entries"))
     return gathered.select(F.posexplode("entries").alias("term_id", "entry")).select(
@@ -86,12 +99,20 @@ def fit_vocabulary(
     )
 
 
-def raw_weights(doc_terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+def small_side(vocabulary: DataFrame, max_features: int) -> DataFrame:
+    """A vocabulary with a broadcast hint when its cap is small enough for one."""
+    return F.broadcast(vocabulary) if max_features <= MAX_BROADCAST_TERMS else vocabulary
+
+
+def raw_weights(
+    doc_terms: DataFrame, vocabulary: DataFrame, key: str, max_features: int = MAX_FEATURES
+) -> DataFrame:
     """Sublinear tf times idf for the terms in the vocabulary; unknown terms drop out.
 
-    The vocabulary is capped at fit time (max_features), which bounds the broadcast.
+    ``max_features`` is the cap the vocabulary was fitted with: the bound of the broadcast.
     """
-    looked_up = doc_terms.join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
+    terms = vocabulary.select("term", "term_id", "idf")
+    looked_up = doc_terms.join(small_side(terms, max_features), "term")
     weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     return looked_up.select(key, "term", "term_id", weight.alias("raw_weight"))
 

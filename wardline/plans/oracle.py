@@ -259,8 +259,7 @@ UNCHECKED = (
 ORACLE_SQL["validation_report"] = UNCHECKED + (
     f"SELECT count(*) AS rows, count(*) FILTER (WHERE prompt IS NULL OR {strip('prompt')} = '') AS blank_prompts, "
     f"count(*) FILTER (WHERE label IS NULL OR {strip('label')} = '') AS blank_labels, "
-    "count(*) FILTER (WHERE unknown) AS unknown_rows, "
-    "array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE unknown)), ' | ') AS invalid_labels FROM flagged"
+    "count(*) FILTER (WHERE unknown) AS unknown_rows FROM flagged"
 )
 ORACLE_SQL["label_domain_diff"] = UNCHECKED + (
     "SELECT label, count(*) AS rows FROM flagged WHERE unknown GROUP BY label"
@@ -573,6 +572,10 @@ ORACLE_SQL["linear_scores"] = TERMS + VOCAB + COEFS + (
 ORACLE_SQL["model_probabilities"] = TERMS + VOCAB + COEFS + (
     "SELECT doc_id, label, round(p, 6) AS probability FROM softmax"
 )
+ORACLE_SQL["batch_classification"] = TERMS + VOCAB + COEFS + (
+    "SELECT doc_id, arg_max(label, p) AS classification, round_even(max(p), 6) AS confidence, "
+    "string_agg(label, ' | ' ORDER BY p DESC, label) AS ranking FROM softmax GROUP BY doc_id"
+)
 ORACLE_SQL["top_features"] = TERMS + VOCAB + COEFS + (
     "SELECT label, rank::INTEGER AS rank, term AS feature, round(coefficient, 9) AS coefficient FROM "
     "(SELECT *, row_number() OVER (PARTITION BY label ORDER BY coefficient DESC, term) AS rank FROM coefs) WHERE rank <= 30"

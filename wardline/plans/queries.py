@@ -18,6 +18,7 @@ from ..sources.rules import RULES
 from ..streaming import jobs
 from . import fixtures
 from .preparation import preparation_report
+from .scoring import classify_prompts
 from .training import TrainSettings, local_model
 from .training import train_and_evaluate as fit_and_evaluate
 
@@ -281,8 +282,7 @@ def _unchecked_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    found = admission.validation_report(_unchecked_corpus(spark, d))
-    return found.withColumn("invalid_labels", joined(F.col("invalid_labels")))
+    return admission.validation_report(_unchecked_corpus(spark, d))
 
 
 @query
@@ -631,18 +631,29 @@ def linear_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _stand_in_model(spark: SparkSession, d: str) -> linear.LinearTextModel:
+    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")
+    return local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
+
+
 @query
 def model_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """The same scores without moving the text: one row-local function over a broadcast model."""
-    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")
-    model = local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
-    p = linear.model_probabilities(spark, model, F.col("text"))
+    p = linear.model_probabilities(spark, _stand_in_model(spark, d), F.col("text"))
     scored = fixtures.documents(spark, d).select("doc_id", p.alias("p"))
     return scored.select("doc_id", F.explode_outer("p").alias("label", "probability")).withColumn(
         "probability", F.round("probability", 6)
     )
 
 
+@query
+def batch_classification(spark: SparkSession, d: str) -> DataFrame:
+    prompts = fixtures.documents(spark, d).select("doc_id", F.col("text").alias("prompt"))
+    verdicts = classify_prompts(prompts, _stand_in_model(spark, d), keep=["doc_id"])
+    ranked = F.transform(F.col("probabilities"), lambda e: e["label"])
+    return verdicts.select("doc_id", "classification", "confidence", joined(ranked).alias("ranking"))
+
+
 @query
 def top_features(spark: SparkSession, d: str) -> DataFrame:
     top = linear.top_features(_coefficients(_vocabulary(spark, d)))

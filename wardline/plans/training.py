@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..labels import LABELS
 from ..operators import evaluate, tfidf
 from ..operators.linear import LinearTextModel
 from ..session import materialize, new_table_path
@@ -57,7 +56,6 @@ class TrainingRun:
     split_rows: dict[str, int]
     nonzero: int
     elapsed_seconds: float = 0.0
-    extra: dict = field(default_factory=dict)
 
     @property
     def converged(self) -> bool:
@@ -82,9 +80,9 @@ def feature_table(rows: DataFrame, vocabulary: DataFrame, key: str, text_col: st
     starts from a table instead of a lineage.
     """
     spark = rows.sparkSession
-    weighted = tfidf.raw_weights(tfidf.document_terms(rows, key, text_col), vocabulary, key)
-    vectors = tfidf.document_vectors(weighted, key)
     width = vocabulary.agg(F.count(F.lit(1))).first()[0]
+    weighted = tfidf.raw_weights(tfidf.document_terms(rows, key, text_col), vocabulary, key, width)
+    vectors = tfidf.document_vectors(weighted, key)
     joined = rows.select(*keep).join(vectors.select(key, "indices", "values"), key, "left")
     path = new_table_path(spark, "features")
     joined.select(
@@ -266,10 +264,6 @@ def write_evaluation(run: TrainingRun, path: str) -> None:
     evaluate.review_queue(by_split).write.mode("overwrite").parquet(f"{path}/probable_label_issues")
 
 
-def label_order() -> tuple[str, ...]:
-    return LABELS
-
-
 def metadata_row(run: TrainingRun, spark: SparkSession) -> DataFrame:
     """The training document: settings, sizes, convergence, candidate scores, test metrics."""
     train_rows, vocabulary_size = run.split_rows.get("train", 0), run.selected.model.numFeatures
