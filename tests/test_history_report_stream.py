@@ -143,10 +143,19 @@ def test_scored_stream_equals_batch(spark, small, records, tmp_path):
     scored = jobs.scored_stream(stream, F.col("doc_id"), at)
     for _ in range(2):  # a restart from the checkpoint appends nothing twice
         jobs.append_stream(scored, str(tmp_path / "log"), str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "log"))
+    stored = log_store.read_log(spark, str(tmp_path / "log"))
     batch = log_store.identify(records, F.col("doc_id"), created_at=at)
     columns = ["id", "prompt", "classification", "risk_score", "explanations", "mitigations"]
     assert sorted(map(str, stored.select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+    log_store.append_analyses(log_store.identify(records, F.col("doc_id")), str(tmp_path / "log"))
+    assert log_store.read_log(spark, str(tmp_path / "log")).count() == 2 * records.count()
+    log_store.clear_log(spark, str(tmp_path / "log"))
+    assert log_store.read_log(spark, str(tmp_path / "log")).count() == 0
+
+
+def test_reading_an_absent_log(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        log_store.read_log(spark, str(tmp_path / "nowhere"))
 
 
 def test_utc_helpers(spark):

@@ -71,16 +71,13 @@ def test_row_local_scores_equal_the_joined_scores(spark, small):
     coefficients = _coefficients(vocabulary)
     joined = {
         (r["doc_id"], r["label"]): r["probability"]
-        for r in linear.linear_scores(documents.filter("text <> ''"), vocabulary, coefficients, INTERCEPTS, "doc_id").collect()
+        for r in linear.linear_scores(documents, vocabulary, coefficients, INTERCEPTS, "doc_id").collect()
     }
     model = training.local_model(vocabulary, coefficients, INTERCEPTS)
     local = documents.select("doc_id", F.explode(linear.model_probabilities(spark, model, F.col("text"))).alias("label", "p"))
-    seen = 0
-    for r in local.collect():
-        if (r["doc_id"], r["label"]) in joined:
-            assert r["p"] == pytest.approx(joined[(r["doc_id"], r["label"])], abs=1e-9)
-            seen += 1
-    assert seen >= len(joined) > 900
+    rows = {(r["doc_id"], r["label"]): r["p"] for r in local.collect()}
+    assert set(rows) == set(joined) and len(rows) == 5 * documents.count()
+    assert all(rows[k] == pytest.approx(joined[k], abs=1e-9) for k in rows)
 
 
 @pytest.fixture(scope="module")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def inline_rows(frame: DataFrame, array_col: str, names: list[str], keep: list[str]) -> DataFrame:
+def inline_rows(
+    frame: DataFrame, array_col: str, names: list[str], keep: list[str], keep_empty: bool = False
+) -> DataFrame:
     """One row per struct of ``array_col``: the ``keep`` columns, then the struct fields.
 
     Spark infers a size filter below a plain inline and pushes it under the projection that
     builds the array, which then runs twice. The outer form has no such filter; the row of
-    nulls it adds for an empty array goes by the first field, which no element may have null.
+    nulls it adds for an empty array goes by the first field, which no element may have null;
+    ``keep_empty`` leaves that row in.
     """
     rows = frame.select(*keep, F.inline_outer(array_col).alias(*names))
-    return rows.filter(F.col(names[0]).isNotNull())
+    return rows if keep_empty else rows.filter(F.col(names[0]).isNotNull())

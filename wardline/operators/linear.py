@@ -58,7 +58,8 @@ def linear_scores(
     """
     classes = sorted(intercepts)
     model = vocabulary.select("term", "idf").join(class_coefficients(coefficients, classes), "term")
-    terms = document_terms(documents, key, text_col).join(small_side(model, max_features), "term", "left")
+    found = document_terms(documents, key, text_col, keep_empty=True)
+    terms = found.join(small_side(model, max_features), "term", "left")
     weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     weighted = terms.select(key, weight.alias("w"), "coefs")
     sums = weighted.groupBy(key).agg(

@@ -27,8 +27,13 @@ def _run_lengths(terms: Column) -> Column:
     return F.when(last >= 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def document_terms(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """One row per (document, term) with its frequency ``tf``; narrow."""
+def document_terms(
+    documents: DataFrame, key: str, text_col: str = "text", keep_empty: bool = False
+) -> DataFrame:
+    """One row per (document, term) with its frequency ``tf``; narrow.
+
+    With ``keep_empty`` a document without terms gets one row with a null term.
+    """
     folded = documents.select(F.col(key), fold_accents(F.col(text_col)).alias("folded"))
     tokens = folded.select(key, word_tokens(F.col("folded")).alias("tokens"))
     terms = tokens.select(key, F.sort_array(with_bigrams(F.col("tokens"))).alias("terms"))
@@ -40,7 +45,8 @@ def document_terms(documents: DataFrame, key: str, text_col: str = "text") -> Da
             (F.coalesce(F.get(F.col("starts"), i + 1), F.size("terms")) - start).alias("tf"),
         ),
     )
-    return inline_rows(starts.select(key, counted.alias("pairs")), "pairs", ["term", "tf"], [key])
+    pairs = starts.select(key, counted.alias("pairs"))
+    return inline_rows(pairs, "pairs", ["term", "tf"], [key], keep_empty)
 
 
 def term_stats(doc_terms: DataFrame) -> DataFrame:

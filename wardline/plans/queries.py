@@ -13,7 +13,7 @@ from ..labels import LABELS
 from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, scan, split, tfidf
 from ..session import materialize, new_table_path
 from ..sources.corpus import number_records, tag_lineage
-from ..sources.history import LOG_COLUMNS, result_json
+from ..sources.history import read_log, result_json
 from ..sources.rules import RULES
 from ..streaming import jobs
 from . import fixtures
@@ -732,9 +732,7 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     analyses = jobs.scored_stream(prompts, F.col("doc_id"), text.instant_from_utc(when))
     log, checkpoint = new_table_path(spark, "log"), new_table_path(spark, "offsets")
     jobs.append_stream(analyses, log, checkpoint).trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.parquet(log)
-    assert set(LOG_COLUMNS) <= set(stored.columns)
-    return stored.select(
+    return read_log(spark, log).select(
         F.sha2("prompt", 256).alias("prompt_digest"),
         "classification",
         "confidence",

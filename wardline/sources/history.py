@@ -1,10 +1,17 @@
-"""The log of analyses: a Parquet table partitioned by UTC day."""
+"""The log of analyses: Parquet partitioned by UTC day.
+
+Batches and streams write to separate parts of the log: a streaming file sink keeps its own
+list of valid files and would hide files written beside it. `read_log` unites the parts.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import now_utc_seconds, utc_day
+from ..session import path_exists
 
 DETAIL_COLUMNS = [
     "confidence_percent",
@@ -45,21 +52,41 @@ def identify(analyses: DataFrame, *key: Column, created_at: Column | None = None
     return stamped.withColumn("id", analysis_id(*parts))
 
 
+def batch_part(path: str) -> str:
+    return f"{path.rstrip('/')}/batch"
+
+
+def stream_part(path: str) -> str:
+    return f"{path.rstrip('/')}/stream"
+
+
+def log_rows(analyses: DataFrame) -> DataFrame:
+    """Identified analyses as log rows with their partition day."""
+    return analyses.select(*LOG_COLUMNS).withColumn("day", utc_day(F.col("created_at")))
+
+
 def append_analyses(analyses: DataFrame, path: str) -> None:
     """Append identified analyses to the log."""
-    rows = analyses.select(*LOG_COLUMNS).withColumn("day", utc_day(F.col("created_at")))
-    rows.write.mode("append").partitionBy("day").parquet(path)
+    log_rows(analyses).write.mode("append").partitionBy("day").parquet(batch_part(path))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All analyses of the log, from batches and streams."""
+    parts = [p for p in (batch_part(path), stream_part(path)) if path_exists(spark, p)]
+    if not parts:
+        raise FileNotFoundError(f"no log at {path}")
+    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])
 
 
 def clear_log(spark: SparkSession, path: str) -> None:
-    """Replace the log by an empty table of the same schema."""
-    empty = read_log(spark, path).limit(0)
-    schema = empty.schema
-    spark.createDataFrame([], schema).drop("day").write.mode("overwrite").parquet(path)
+    """Replace the log by an empty one of the same schema.
+
+    A stream that writes to the log must be stopped first and needs a new checkpoint.
+    """
+    schema = read_log(spark, path).drop("day").schema
+    for part in (batch_part(path), stream_part(path)):
+        if path_exists(spark, part):
+            spark.createDataFrame([], schema).withColumn("day", F.lit("")).write.mode("overwrite").parquet(part)
 
 
 def result_json(record_columns=LOG_COLUMNS) -> Column:

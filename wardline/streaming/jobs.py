@@ -9,7 +9,7 @@ from ..functions.text import utc_day
 from ..operators.admission import accepted
 from ..operators.history import is_safe
 from ..operators.hybrid import HIGH_AT, analyze
-from ..sources.history import LOG_COLUMNS, identify
+from ..sources.history import identify, log_rows, stream_part
 from ..sources.rules import RULES
 
 
@@ -31,11 +31,11 @@ def scored_stream(
 
 def append_stream(analyses: DataFrame, log_path: str, checkpoint: str) -> DataStreamWriter:
     """Append a stream of analyses to the log, exactly once (file sink)."""
-    rows = analyses.select(*LOG_COLUMNS).withColumn("day", utc_day(F.col("created_at")))
     return (
-        rows.writeStream.format("parquet")
+        log_rows(analyses)
+        .writeStream.format("parquet")
         .partitionBy("day")
-        .option("path", log_path)
+        .option("path", stream_part(log_path))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
