@@ -22,14 +22,19 @@ TITLE = "Prompt Security Analysis Report"
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap_blocks(blocks: pd.Series, widths: pd.Series) -> pd.Series:
-    """Wrap each block at its width; width 0 keeps the block as one line."""
+    """Wrap each block at its width; width 0 keeps the block as one line.
+
+    A block stops one line past what any report can show.
+    """
+
+    def lines(text: str, width: int) -> list[str]:
+        if width == 0:
+            return [text]
+        return textwrap.wrap(text, int(width), max_lines=MAX_LINES + 1, placeholder="")
+
     return pd.Series(
         [
-            [
-                line
-                for text, width in zip(texts, limits)
-                for line in ([text] if width == 0 else textwrap.wrap(text, int(width)))
-            ]
+            [line for text, width in zip(texts, limits) for line in lines(text, width)]
             for texts, limits in zip(blocks, widths)
         ],
         dtype=object,

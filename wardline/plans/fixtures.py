@@ -95,9 +95,13 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFra
     A table of many files is read as it lies; only one with too few row groups to keep the
     cores busy is repartitioned.
     """
-    table = read(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+    return spread(read(spark, sf_dir, name), read(spark, sf_dir, name), key)
+
+
+def spread(frame: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``frame`` repartitioned when the ``table`` it reads has fewer tasks than there are cores."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if table.rdd.getNumPartitions() < cores else frame
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -725,7 +725,8 @@ def _run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str)
 @query
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a prompt stream, scored and appended to a log, read back."""
-    prompts = _stream(spark, d, "documents").select(
+    arriving = _stream(spark, d, "documents")
+    prompts = fixtures.spread(arriving, fixtures.read(spark, d, "documents"), "doc_id").select(
         "doc_id", F.expr(fixtures.PLANTED).alias("prompt"), fixtures.probabilities().alias("probabilities")
     )
     when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
