@@ -142,6 +142,12 @@ def test_single_shuffle_dedup_equals_annotated_dedup(spark, working):
     assert corpus.remaining_conflicts(one).count() == 0
 
 
+def test_deduplication_is_idempotent(working):
+    once = corpus.keep_first(working)
+    again = corpus.keep_first(corpus.with_identity(once.drop("prompt_key", "normalized_prompt")))
+    assert _rows(once.na.fill("-"), *COLUMNS) == _rows(again.na.fill("-"), *COLUMNS)
+
+
 def test_hot_keys_take_the_broadcast_path_with_equal_results(spark, working):
     names = ["source_file", "source_row", "label", "in_conflict", "resolvable", "is_first"]
     plain = corpus.annotate_rows(working)

@@ -31,3 +31,32 @@ def test_only_two_queries_go_without_sql():
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_scans_read_only_what_they_need(spark, small):
+    plan = QUERIES["history_counts"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_type:string,value:double>" in plan
+    plan = QUERIES["history_lookup"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "Exchange" not in plan
+    plan = QUERIES["class_weights"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_no_window_runs_in_one_partition_over_data(spark, small):
+    """Windows partition by file, stratum or label; only the frequency histogram is ordered as a whole."""
+    seen = 0
+    for name in ("stratified_split", "top_features", "source_lineage", "resolved_labels", "dedup_keep_first"):
+        for node in _nodes(QUERIES[name](spark, small)._jdf.queryExecution().executedPlan()):
+            if node.nodeName() == "Window":
+                seen += 1
+                assert not node.partitionSpec().isEmpty() or "_scale" in node.toString()[:400], name
+    assert seen >= 5

@@ -122,3 +122,11 @@ def test_smoke_prompts(spark, prompt, classes, low, high):
     row = hybrid.analyze(frame).first()
     assert row["classification"] in classes and low <= row["risk_score"] <= high
     assert bool(row["triggered_indicators"]) == (high > 64)
+
+
+def test_long_catalog_keeps_its_order(spark):
+    rules = tuple(
+        Rule(f"X-{i:03}", "Jailbreak", "made", rf"\bword{i}\b", 70, "e", "m", anchors=(f"word{i}",)) for i in range(120)
+    )
+    (hits,) = _scan(spark, ["word119 word3 WORD50 word49 word1190"], rules)
+    assert [h["rule_id"] for h in hits] == ["X-003", "X-049", "X-050", "X-119"]

@@ -22,6 +22,7 @@ INDICATOR_TYPE = (
 )
 INDICATOR_FIELDS = ["rule_id", "category", "label", "weight", "evidence", "explanation", "mitigation"]
 EVIDENCE_CHARS = 180
+RULES_PER_ARRAY = 50
 
 # Letters that match an ASCII letter when case is ignored but do not lowercase to it.
 _ODD_CASE_LETTERS = ("\u0130", "\u0131", "\u017f")
@@ -66,9 +67,17 @@ def scan_prompts(prompts: DataFrame, text_col: str = "prompt", rules=RULES) -> D
     text = F.col(text_col)
     odd = _any_of([text.contains(letter) for letter in _ODD_CASE_LETTERS])
     staged = prompts.withColumn("_lowered", F.lower(text)).withColumn("_odd_case", odd)
-    fired = [_indicator(rule, text, F.col("_lowered"), F.col("_odd_case")) for rule in rules]
-    indicators = F.array_compact(F.array(*fired)).cast(INDICATOR_TYPE)
-    return staged.withColumn("triggered_indicators", indicators).drop("_lowered", "_odd_case")
+    # Long catalogs go through several arrays, so that no single expression grows with the catalog.
+    groups = {}
+    for start in range(0, len(rules), RULES_PER_ARRAY):
+        part = rules[start : start + RULES_PER_ARRAY]
+        fired = [_indicator(rule, text, F.col("_lowered"), F.col("_odd_case")) for rule in part]
+        groups[f"_fired{start}"] = F.array_compact(F.array(*fired)).cast(INDICATOR_TYPE)
+    if len(groups) == 1:
+        found = staged.withColumn("triggered_indicators", *groups.values())
+    else:
+        found = staged.withColumns(groups).withColumn("triggered_indicators", F.concat(*groups))
+    return found.drop("_lowered", "_odd_case", *groups)
 
 
 def rule_hits(prompts: DataFrame, key: str, text_col: str = "prompt", rules=RULES) -> DataFrame:

@@ -622,7 +622,7 @@ def matrix_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def linear_scores(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = _vocabulary(spark, d)
+    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")  # serves two sides of a join
     scores = linear.linear_scores(
         fixtures.documents(spark, d), vocabulary, _coefficients(vocabulary), INTERCEPTS, "doc_id"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -291,7 +292,7 @@ def metadata_row(run: TrainingRun, spark: SparkSession) -> DataFrame:
                     run.converged,
                     round(run.elapsed_seconds, 2),
                 ),
-                spark.version,
+                (spark.version, platform.python_version(), platform.platform()),
             )
         ],
         "model string, selected_candidate string, candidate_validation_results array<struct<"
@@ -299,11 +300,20 @@ def metadata_row(run: TrainingRun, spark: SparkSession) -> DataFrame:
         "weighted_f1:double,iterations:int>>, training struct<train_rows:bigint,validation_rows:bigint,"
         "test_rows:bigint,vocabulary_size:bigint,train_matrix_shape:array<bigint>,"
         "train_matrix_nonzero_values:bigint,max_features:int,max_iterations:int,c_value:double,"
-        "tolerance:double,solver:string,converged:boolean,elapsed_seconds:double>, spark string",
+        "tolerance:double,solver:string,converged:boolean,elapsed_seconds:double>, "
+        "environment struct<spark:string,python:string,platform:string>",
     )
     issues = evaluate.label_issues(run.predictions).agg(F.count(F.lit(1))).scalar()
-    counts = evaluate.confusion_counts(run.predictions.filter("split = 'test'"))
-    test = evaluate.overall_metrics(counts).agg(
-        F.first(F.struct("accuracy", "macro_f1", "weighted_f1"))
-    ).scalar()
-    return base.withColumn("probable_label_issue_rows", issues).withColumn("test_metrics", test)
+
+    def metrics(split: str) -> Column:
+        counts = evaluate.confusion_counts(run.predictions.filter(F.col("split") == split))
+        scores = evaluate.overall_metrics(counts)
+        return scores.agg(F.first(F.struct("accuracy", "macro_f1", "weighted_f1"))).scalar()
+
+    return base.withColumns(
+        {
+            "probable_label_issue_rows": issues,
+            "validation_metrics": metrics("validation"),
+            "test_metrics": metrics("test"),
+        }
+    )
