@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import platform
 import time
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from ..operators.linear import LinearTextModel
 from ..session import materialize, new_table_path
 
 CANDIDATES = ("balanced", "sqrt_balanced")
+NONZEROS_PER_TASK = 500_000  # every task of a fit step sends classes x terms numbers; keep tasks worth that
 EVALUATED = ("validation", "test")
 
 
@@ -163,6 +165,11 @@ def train_and_evaluate(
         rows, vocabulary, "row_id", "prompt", ["row_id", "label", "source_dataset", "split"]
     )
     train_features = features.filter("split = 'train'")
+    nonzero = train_features.agg(
+        F.coalesce(F.sum(F.size(F.unwrap_udt("features")["indices"])), F.lit(0))
+    ).first()[0]
+    tasks = max(1, math.ceil(nonzero / NONZEROS_PER_TASK))
+    train_features = train_features.coalesce(tasks)  # never more tasks than the table has, and no shuffle
 
     stats = {r["label"]: r for r in evaluate.class_weights(train_rows).collect()}  # one row per class
     classes = tuple(sorted(stats))
@@ -199,9 +206,6 @@ def train_and_evaluate(
         "predictions",
     )
     counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nonzero = train_features.agg(
-        F.coalesce(F.sum(F.size(F.unwrap_udt("features")["indices"])), F.lit(0))
-    ).first()[0]
     return TrainingRun(
         settings, classes, vocabulary, candidates, selected, predictions, counts, nonzero, time.time() - started
     )
