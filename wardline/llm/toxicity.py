@@ -18,9 +18,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .hashed import PREFIXES, Words, bounded_sample, buckets, distinct_rows, ftrl, slices, text_buffers
 
 THRESHOLD = 0.7
+L1_ROWS = 400
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,7 @@ class Settings:
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 6.0  # or fewer, one for each L1_ROWS rows of a run: few rows cannot push a gradient past more
     l2: float = 0.0
     epochs: int = 8
     sample_rows: int = 40_000  # labelled rows that the fit uses at most
@@ -72,8 +74,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, settings: Settings) -
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """documents: doc_id, text; labels: doc_id, toxic (0 or 1)."""
     s = settings
-    rows = training_rows(documents, labels, s)
-    shards = max(1, -(-s.sample_rows // s.shard_rows))
+    rows = materialize(training_rows(documents, labels, s), "toxicity-sample")
+    shards = max(1, -(-rows.count() // s.shard_rows))
     filled = rows.select(F.lower("text").alias("text"), "toxic", F.xxhash64("doc_id").alias("order"))
     filled = filled.withColumn("shard", F.pmod(F.shiftright("order", 20), F.lit(shards)))
 
@@ -84,7 +86,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         for first, last in slices(offsets):
             words = Words(data, offsets[first : last + 1], PREFIXES)
             features += distinct_rows(*buckets(words.features(), s.bits), last - first, s.bits)
-        weights, bias = ftrl(features, frame["toxic"].to_numpy(), s.bits, s.alpha, s.beta, s.l1, s.l2, s.epochs)
+        l1 = min(s.l1, len(frame) / L1_ROWS)
+        weights, bias = ftrl(features, frame["toxic"].to_numpy(), s.bits, s.alpha, s.beta, l1, s.l2, s.epochs)
         kept = np.flatnonzero(weights)
         share = len(frame)
         return pd.DataFrame(
