@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,4 +16,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, _table(spark, folder, "labels")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash}
