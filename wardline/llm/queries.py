@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash, toxicity
+from . import bpe, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,4 +21,9 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash}
+def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    coded = bpe.digests(F.col("text"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe}
