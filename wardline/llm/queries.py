@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash, toxicity
+from . import bpe, outliers, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,4 +26,8 @@ def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) ->
     return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe}
+def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judge(_table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_outliers": op10_outliers}
