@@ -1,3 +1,40 @@
 """SQL of the registered queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from .lines import Settings as LineSettings
+
+_LINES = LineSettings()
+
+#: Pages as lines of shown text, boilerplate by host, and what is left of every page.
+OP9 = rf"""
+WITH page AS (
+    SELECT page_id,
+        nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+            '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
+            '(?i)</?(p|br|li|ul|ol|div|h[1-6]|tr|table|nav|article|section|header|footer|title|body|head|html)\b[^>]*>',
+            chr(10), 'g'),
+            '<[^>]*>', '', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^$', '') AS text
+    FROM pages),
+line AS (
+    SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM page),
+total AS (SELECT host, count(*) AS total FROM page GROUP BY host),
+boiler AS (
+    SELECT line.host, line.line
+    FROM line JOIN total ON line.host IS NOT DISTINCT FROM total.host
+    WHERE NOT regexp_full_match(line.line, '[\x20\x09-\x0D]*')
+    GROUP BY line.host, line.line
+    HAVING count(DISTINCT page_id) >= {_LINES.min_pages} AND count(DISTINCT page_id) / any_value(total) > {_LINES.max_ratio}),
+left_over AS (
+    SELECT line.page_id, string_agg(line.line, chr(10) ORDER BY pos) AS text,
+        bool_or(NOT regexp_full_match(line.line, '[\x20\x09-\x0D]*')) AS shown
+    FROM line LEFT JOIN boiler ON line.host IS NOT DISTINCT FROM boiler.host AND line.line = boiler.line
+    WHERE boiler.line IS NULL GROUP BY line.page_id)
+SELECT page.page_id, page.host,
+    CASE WHEN left_over.shown THEN left_over.text ELSE page.text END AS text,
+    len(string_split(page.text, chr(10))) - len(string_split(CASE WHEN left_over.shown THEN left_over.text ELSE page.text END, chr(10)))
+        AS n_dropped
+FROM page LEFT JOIN left_over USING (page_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_lines": OP9}

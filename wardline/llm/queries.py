@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, outliers, simhash, toxicity
+from . import bpe, lines, outliers, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,8 +26,17 @@ def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) ->
     return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
 
 
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    shown = pages.select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
+    shown = shown.withColumn("n_before", F.size(F.split("text", "\n")))
+    left = lines.drop_boilerplate(shown, F.col("host"), "text")
+    dropped = (F.col("n_before") - F.size(F.split("text", "\n"))).cast("long")
+    return left.select("page_id", "host", "text", dropped.alias("n_dropped"))
+
+
 def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_outliers": op10_outliers}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
