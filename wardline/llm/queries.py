@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lines, outliers, simhash, toxicity
+from . import bpe, lines, outliers, secret_scan, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.with_findings(documents, secret_scan.new_ledger(spark)).drop("text")
+    base = [rule.kind for rule in secret_scan.BASE_RULES]
+    counts = [F.size(F.filter("_findings", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_base = F.filter("_findings", lambda x: x["rank"] < len(base))
+    digest = F.sha2(secret_scan.span_text(of_base), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("_findings")).alias("spans"))
+
+
 def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     coded = bpe.digests(F.col("text"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
@@ -39,4 +49,4 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
