@@ -25,7 +25,7 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.with_findings(documents, secret_scan.new_ledger(spark)).drop("text")
     base = [rule.kind for rule in secret_scan.BASE_RULES]
-    counts = [F.size(F.filter("_findings", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [secret_scan.count_of(F.col("_findings"), kind).alias(f"n_{kind}") for kind in base]
     of_base = F.filter("_findings", lambda x: x["rank"] < len(base))
     digest = F.sha2(secret_scan.span_text(of_base), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("_findings")).alias("spans"))

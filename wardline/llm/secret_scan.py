@@ -160,11 +160,19 @@ class Ledger:
         found = []
         for rank, rule in enumerate(self.rules):
             hits = F.when(F.array_contains("open", rule.key), find(F.col("text"), rule, rank))
-            marked = F.transform(hits, lambda x, key=rule.key: F.struct(F.lit(key).alias("rule"), x.alias("found")))
+            marked = F.transform(hits, _marker(rule.key))
             found.append(F.coalesce(marked, F.array().cast(f"array<struct<rule:string,found:{FINDING}>>")))
         return todo.select("blob", F.col("open").alias("scanned"), F.concat(*found).alias("findings"))
 
 
+def _marker(key: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(key).alias("rule"), x.alias("found"))
+
+
+def count_of(findings: Column, kind: str) -> Column:
+    return F.size(F.filter(findings, lambda x: x["kind"] == kind)).cast("long")
+
+
 def with_findings(versions: DataFrame, ledger: Ledger, text: str = "text") -> DataFrame:
     """The rows with their columns and ``findings`` (empty array without any) in column ``_findings``."""
     names = versions.columns
