@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 
-BLANK = r"^[\x20\x09-\x0D]*$"
+SHOWN = r"[^\x20\x09-\x0D]"  # a line with such a character is no blank line
 SMALL_TABLE = 500_000  # lines to drop (16 bytes each) up to which their lists are broadcast
 #: What is not shown in a page, the tags that end a line, and any other tag.
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
@@ -44,7 +44,7 @@ def host_of(url: Column) -> Column:
 def page_text(html: Column) -> Column:
     """Lines of shown text of a page: block tags end lines, other tags go, runs of blanks become one."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), LINE_TAG, "\n"), ANY_TAG, "")
-    return F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), r" ?\n[ \n]*", "\n")
 
 
 def _key(line: Column) -> Column:
@@ -56,7 +56,7 @@ def _lines(text: Column) -> Column:
 
 
 def _shown(text: Column) -> Column:
-    return F.filter(_lines(text), lambda line: ~line.rlike(BLANK))
+    return F.filter(_lines(text), lambda line: line.rlike(SHOWN))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, settings: Settings = Settings()) -> DataFrame:
@@ -85,9 +85,9 @@ def drop_boilerplate(
         copies = lists.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1)).cast("array<long>")))
         same = F.col("_host").eqNullSafe(F.col("host")) & (F.col("_part") == F.col("_copy"))
         joined = rows.withColumn("_part", part).join(copies, same, "left")
-    kept = F.filter(_lines(F.col("_text")), lambda line: line.rlike(BLANK) | ~F.array_contains(F.col("_drop"), _key(line)))
+    kept = F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~F.array_contains(F.col("_drop"), _key(line)))
     changed = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    some_left = F.exists("_kept", lambda line: ~line.rlike(BLANK))
+    some_left = F.exists("_kept", lambda line: line.rlike(SHOWN))
     cleaned = F.when(some_left, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
     out = {c: F.col("_row").getField(c) for c in names}
     return changed.select(*[(cleaned if c == text else value).alias(c) for c, value in out.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialize
 from . import bpe, lines, outliers, secret_scan, simhash, toxicity
 
 
@@ -39,6 +40,7 @@ def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) ->
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     shown = pages.select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
+    shown = materialize(shown, "page-lines")  # pages are parsed once, though their lines are read twice
     shown = shown.withColumn("n_before", F.size(F.split("text", "\n")))
     left = lines.drop_boilerplate(shown, F.col("host"), "text")
     dropped = (F.col("n_before") - F.size(F.split("text", "\n"))).cast("long")
