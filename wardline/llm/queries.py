@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, lines, outliers, secret_scan, simhash, toxicity
+from . import bpe, lines, outliers, packing, secret_scan, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, _table(spark, folder, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(_table(spark, folder, "documents"), path)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -37,6 +42,11 @@ def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) ->
     return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
 
 
+def op8_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    counted = op3_token_counts(spark, folder, vocabulary).withColumnRenamed("n_tokens", "length")
+    return packing.pack(counted, ["doc_id", "length"])
+
+
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     shown = pages.select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
@@ -51,4 +61,4 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
