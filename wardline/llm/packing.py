@@ -45,8 +45,8 @@ def word_count(text: Column) -> Column:
 
 def cell(length: Column) -> Column:
     """The least length of the grid that is not below ``length``."""
-    step = F.shiftleft(F.lit(1).cast("long"), F.greatest(F.length(F.bin(length)) - CELL_BITS - 1, F.lit(0)))
-    return F.when(length <= FINE, length).otherwise(F.ceil(length / step).cast("long") * step)
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(length)) - CELL_BITS - 1, F.lit(0)))
+    return F.when(length <= FINE, length).otherwise(F.call_function("div", length + step - 1, step) * step)
 
 
 def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> Plan:
