@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, lines, outliers, packing, secret_scan, simhash, token_counts, toxicity
+from . import bpe, lines, outliers, packing, secret_scan, simhash, token_counts, toxicity, weak_quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("_findings")).alias("spans"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality.classify(_table(spark, folder, "documents"))
+
+
 def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     coded = bpe.digests(F.col("text"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return _table(spark, folder, "documents").select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
@@ -61,4 +65,4 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
