@@ -111,13 +111,20 @@ def plan(lengths: DataFrame, settings: Settings = Settings()) -> Plan:
 
 
 def pack(rows: DataFrame, order: list[str], settings: Settings = Settings()) -> DataFrame:
-    """Adds bucket, padded_length, batch_id and position to rows with ``length``; ``order`` names near-unique columns."""
+    """Rows with ``length`` and bucket, padded_length, batch_id and position, which replace columns of these names.
+
+    ``order`` names near-unique columns.
+    """
     s = settings
-    rows = materialize(rows.withColumn("length", F.greatest(F.coalesce("length", F.lit(0)).cast("long"), F.lit(0).cast("long"))), "lengths")
+    added = ("length", "bucket", "padded_length", "batch_id", "position")
+    kept = [c for c in rows.columns if c not in added]
+    length = F.greatest(F.coalesce("length", F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), length.alias("length"), F.xxhash64(*order).alias("_order"))
+    rows = materialize(rows, "lengths")
     found = plan(rows, s)
     if not found.boundaries:
         empty = {"bucket": "int", "padded_length": "long", "batch_id": "long", "position": "long"}
-        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in empty.items()})
+        return rows.select("_row.*", "length", *[F.lit(None).cast(kind).alias(c) for c, kind in empty.items()])
     fits = [max(1, s.batch_tokens // max(1, b)) for b in found.boundaries]
     first_batch = [0]
     for count, fit in zip(found.counts, fits):
@@ -128,16 +135,17 @@ def pack(rows: DataFrame, order: list[str], settings: Settings = Settings()) ->
         return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket"))
 
     bucket = sum(((F.col("length") > b).cast("int") for b in found.boundaries[:-1]), F.lit(0))
-    dealt = rows.withColumn("bucket", bucket).withColumn("_order", F.xxhash64(*order))
+    dealt = rows.withColumn("bucket", bucket)
     dealt = dealt.withColumn("_part", F.pmod("_order", of_bucket(parts)))
     sizes = dealt.groupBy("bucket", "_part").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bucket", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("bucket", "_part").orderBy("_order", *order)
+    inside = Window.partitionBy("bucket", "_part").orderBy("_order", *[F.col(f"_row.`{c}`") for c in order if c in kept], "length")
     ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1).join(sizes, ["bucket", "_part"])
     place = F.col("_rank") + F.col("_before")
     return ranked.select(
-        *rows.columns,
+        "_row.*",
+        "length",
         "bucket",
         of_bucket(found.boundaries).alias("padded_length"),
         (of_bucket(first_batch) + F.floor(place / of_bucket(fits))).alias("batch_id"),

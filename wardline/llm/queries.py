@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, lines, outliers, packing, secret_scan, simhash, token_counts, toxicity, weak_quality
+from . import bpe, lines, outliers, packing, search, secret_scan, simhash, token_counts, toxicity, weak_quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, _table(spark, folder, "labels")))
 
 
+def op2_search(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    queries = documents.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(documents, queries)
+
+
 def op3_token_counts(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(_table(spark, folder, "documents"), path)
@@ -65,4 +71,4 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_search": op2_search, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}

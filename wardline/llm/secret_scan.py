@@ -173,14 +173,14 @@ def count_of(findings: Column, kind: str) -> Column:
     return F.size(F.filter(findings, lambda x: x["kind"] == kind)).cast("long")
 
 
-def with_findings(versions: DataFrame, ledger: Ledger, text: str = "text") -> DataFrame:
-    """The rows with their columns and ``findings`` (empty array without any) in column ``_findings``."""
+def with_findings(versions: DataFrame, ledger: Ledger, text: str = "text", into: str = "_findings") -> DataFrame:
+    """The rows with their columns and, in column ``into``, their findings in order (an empty array without any)."""
     names = versions.columns
     facts = ledger.scan(versions, text)
     rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), content_address(F.col(f"`{text}`")).alias("blob"))
     spread = F.rand(7)
     joined = attach_key_facts(rows, facts, "blob", spread)
-    return joined.select("_row.*", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("_findings"))
+    return joined.select("_row.*", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias(into))
 
 
 def redacted(text: Column, findings: Column) -> Column:
@@ -204,12 +204,15 @@ def redacted(text: Column, findings: Column) -> Column:
 def redact(documents: DataFrame, ledger: Ledger) -> DataFrame:
     """The documents with their columns; found secrets are replaced in ``text``, and ``n_chars``, if there, follows."""
     names = documents.columns
-    text = redacted(F.col("text"), F.col("_findings"))
-    found = with_findings(documents, ledger).select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in names], "_findings")
+    into = "_findings"
+    while into in names:
+        into += "_"
+    found = with_findings(documents, ledger, into=into)
+    text = redacted(F.col("text"), F.col(into))
+    changed = {"text": text}
     if "n_chars" in names:
-        changed = F.when(F.size("_findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", changed)
-    return found.select(*[f"`{c}`" for c in names])
+        changed["n_chars"] = F.when(F.size(into) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def new_ledger(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> Ledger:

@@ -108,7 +108,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
     ballots = _ballots(patterns)
     belief = np.array([0.95, 0.3, 0.05])[np.minimum((ballots == BAD).sum(axis=1), 2)]
     model = LabelModel(0.5, np.ones((len(LABELLERS), 2, 3)))
-    for _ in range(rounds):
+    for _ in range(rounds if len(patterns) else 0):
         weight = np.stack([counts * (1 - belief), counts * belief])
         good = (weight[1].sum() + 1) / (weight.sum() + 2)
         chances = np.empty((len(LABELLERS), 2, 3))
