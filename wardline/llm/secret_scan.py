@@ -208,11 +208,14 @@ def redact(documents: DataFrame, ledger: Ledger) -> DataFrame:
     while into in names:
         into += "_"
     found = with_findings(documents, ledger, into=into)
-    text = redacted(F.col("text"), F.col(into))
-    changed = {"text": text}
+    # In a struct: inside a lambda, a bare name would mean the new column of that name in the same select.
+    found = found.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(into).alias("_found"))
+    out = {c: F.col("_row").getField(c) for c in names}
+    text = redacted(out["text"], F.col("_found"))
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.size(into) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+        out["n_chars"] = F.when(F.size("_found") > 0, F.length(text).cast("long")).otherwise(out["n_chars"])
+    out["text"] = text
+    return found.select(*[value.alias(c) for c, value in out.items()])
 
 
 def new_ledger(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> Ledger:
