@@ -26,6 +26,7 @@ SYMBOLS = r"[#*$%&|<>]"
 VECTOR = ("x0", "x1", "x2", "x3")
 #: Quantiles of the chi-squared distribution with four degrees of freedom: 0.5, 0.975.
 CHI2_HALF, CHI2_REWEIGHT = 3.3567, 11.1433
+FEW_GROUPS = 50_000  # tables by group (about 200 bytes a row) are broadcast up to this many rows, by their count
 
 
 @dataclass(frozen=True)
@@ -132,9 +133,14 @@ def _with_factor(found: DataFrame) -> DataFrame:
     return found.select("group", *[F.round(f"m{i}", 9).alias(f"m{i}") for i in range(size)], *names)
 
 
-def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+def _sent(by_group: DataFrame, few: bool) -> DataFrame:
+    """A table by group as the side of a join: broadcast if there are few groups, so that a hot group stays spread out."""
+    return F.broadcast(by_group) if few else by_group
+
+
+def _distances(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance from the group's estimate; rows without a group are left out."""
-    joined = vectors.join(estimates, "group")
+    joined = vectors.join(_sent(estimates, few), "group")
     size = len(VECTOR)
     for i in range(size):
         solved = sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))
@@ -156,16 +162,16 @@ def _start(vectors: DataFrame, settings: Settings) -> DataFrame:
     return _with_factor(found)
 
 
-def mcd(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def mcd(vectors: DataFrame, settings: Settings, few: bool) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates of every group of ``vectors`` (group, x0 .. x3)."""
     estimates = materialize(_start(vectors, settings), "estimates")
     for _ in range(settings.steps):
-        far = _distances(vectors, estimates)
+        far = _distances(vectors, estimates, few)
         edge = far.groupBy("group").agg(F.percentile_approx("d2", settings.share, settings.accuracy).alias("edge"))
-        near = far.join(edge, "group").filter("d2 <= edge")
+        near = far.join(_sent(edge, few), "group").filter("d2 <= edge")
         # The half nearest to the centre understates the covariance by this much if the rows are normal.
         estimates = materialize(_estimates(near, settings, scale=1 / _half_consistency()), "estimates")
-    near = _distances(vectors, estimates).filter(F.col("d2") <= CHI2_REWEIGHT)
+    near = _distances(vectors, estimates, few).filter(F.col("d2") <= CHI2_REWEIGHT)
     return materialize(_estimates(near, settings), "estimates")
 
 
@@ -184,12 +190,13 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     failed = (F.col("n_words") < s.min_words) | (100 * F.col("n_repeat_words") > s.max_repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "statistics")
     groups = materialize(_group_columns(rows.filter(~F.col("base_failed")), s.min_group), "groups")
+    few = groups.count() <= FEW_GROUPS
     groups = groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "group")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    placed = rows.join(groups, same, "left").drop("_lang", "_source")
+    placed = rows.join(_sent(groups, few), same, "left").drop("_lang", "_source")
     sound = materialize(placed.filter(~F.col("base_failed")).select("group", *VECTOR), "vectors")
-    estimates = mcd(sound, s)
-    known = _distances(placed.filter(F.col("group").isNotNull()), estimates)
+    estimates = mcd(sound, s, few)
+    known = _distances(placed.filter(F.col("group").isNotNull()), estimates, few)
     unknown = placed.filter(F.col("group").isNull()).withColumn("d2", F.lit(None).cast("double"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= s.cutoff, F.lit(True))
     return known.unionByName(unknown).withColumn("kept", kept).drop("group", "lang", "source", *VECTOR)
