@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,19 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
+#: The same for texts below U+0100, where the classes are short enough to be spelled out.
+_LETTERS, _NUMBERS, _BLANKS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
+NARROW_PIECES = re.compile(
+    rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+)
+WIDE = re.compile(r"[^\x00-\xff]")
 #: A piece always ends before white space that follows something else.
 SEAM = regex.compile(rf"[^{WHITE}](?=[{WHITE}])")
 CHUNK = 1 << 16  # characters of a text that are cut into pieces together
 BLOCK = 1 << 16  # tokens decoded together
 SHORT = 64  # bytes of a piece whose encoding is remembered
 REMEMBERED = 400_000  # pieces remembered by a worker
-PAIRS = 2_000_000  # token pairs remembered by a worker
+PAIRS = 1_000_000  # token pairs remembered by a worker
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,12 +67,16 @@ class Coder:
         pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
         merges = [(as_bytes(left), as_bytes(right)) for left, right in pairs]
         self.ranks = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(merges)}
+        self.packed = {number: number.to_bytes(4, "little") for number in self.texts}
+        self.made = {joined: (r, pair) for pair, (r, joined) in self.ranks.items()}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.longest = max(map(len, self.ids))
         self.lookahead = sufficient_lookahead(merges)
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
-        #: Endings of tokens: a walk back from a position stops where no token can begin.
-        self.endings = {token[k:] for token in self.ids for k in range(len(token))}
-        self.usable = {token: number for token, number in self.ids.items() if self.merged(token) == [number]}
+        usable = {token: number for token, number in self.ids.items() if self.merged(token) == [number]}
+        #: Endings of tokens, with the token if the ending is one and else -1: a walk back from a position stops where no
+        #: token can begin.
+        self.endings = dict.fromkeys((token[k:] for token in self.ids for k in range(len(token))), -1) | usable
         self.valid: dict[int, bool] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known = _Known(self)
@@ -82,75 +93,113 @@ class Coder:
             tokens[at : at + 2] = [joined]
         return tokens
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at a token's right (side 1) or left (side 0) end while it is merged: (token, rank that ends it)."""
+        known = self.spines[side].get(token)
+        if known is None:
+            known, until = [], len(self.ranks)
+            at: int | None = token
+            while at is not None:
+                known.append((at, until))
+                rank, parts = self.made.get(at, (0, None))
+                at, until = (parts[side], rank) if parts else (None, 0)
+            known = self.spines[side][token] = known[::-1]
+        return known
+
     def is_pair(self, left: int, right: int) -> bool:
-        """Do two tokens stay as they are when their bytes are encoded together?"""
+        """Do two tokens stay as they are when their bytes are encoded together?
+
+        Merges happen in the order of their ranks, and of equal ranks from left to right. So the tokens stay unless, at
+        some time, what stands on both sides of the seam merges before either side's own next merge.
+        """
         key = left << 20 | right
         known = self.valid.get(key)
         if known is None:
-            known = self.merged(self.texts[left] + self.texts[right]) == [left, right]
+            ends, starts, ranks = self.spine(left, 1), self.spine(right, 0), self.ranks
+            i = j = 0
+            known = True
+            while known:
+                (a, a_until), (b, b_until) = ends[i], starts[j]
+                across = ranks.get((a, b))
+                if across is not None and across[0] < a_until and across[0] <= b_until:
+                    known = False
+                elif a_until <= b_until and i + 1 < len(ends):
+                    i += 1
+                elif j + 1 < len(starts):
+                    j += 1
+                else:
+                    break
             if len(self.valid) >= PAIRS:
                 self.valid.clear()
             self.valid[key] = known
         return known
 
+    def step(self, data: bytes, at: int, floor: int, last: dict[int, int]) -> None:
+        """Adds to ``last``, the last tokens at earlier positions, that of the encoding of data[:at].
+
+        It is the only token that ends here and makes a valid pair with what precedes it; long ones are tried first, as
+        they are more often right.
+        """
+        endings, candidates = self.endings, []
+        start = at
+        while start > floor:
+            start -= 1
+            token = endings.get(data[start:at])
+            if token is None:
+                break
+            if token >= 0:
+                candidates.append((start, token))
+        valid = self.valid
+        for start, token in reversed(candidates):
+            if start == 0:
+                last[at] = token
+                return
+            before = last.get(start)
+            if before is not None:
+                pair = valid.get(before << 20 | token)
+                if pair or pair is None and self.is_pair(before, token):
+                    last[at] = token
+                    return
+
     def transduce(self, data: bytes) -> Iterator[int]:
         """The tokens of one piece, each yielded once no later byte can change it."""
-        last: dict[int, tuple[int, int]] = {}  # position: (last token, where it starts), for positions still needed
-        emitted, window = 0, self.lookahead + self.longest
-        usable, endings, valid, is_pair = self.usable, self.endings, self.valid, self.is_pair
+        last: dict[int, int] = {}  # position: last token there, for positions still needed
+        emitted, window = 0, 2 * (self.lookahead + self.longest)
         for at in range(1, len(data) + 1):
-            for start in range(at - 1, max(emitted, at - self.longest) - 1, -1):
-                ending = data[start:at]
-                if ending not in endings:
-                    break
-                token = usable.get(ending)
-                if token is None:
-                    continue
-                if start == 0:
-                    last[at] = token, 0
-                    break
-                before = last.get(start)
-                if before is not None:
-                    pair = valid.get(before[0] << 20 | token)
-                    if pair is None:
-                        pair = is_pair(before[0], token)
-                    if pair:
-                        last[at] = token, start
-                        break
-            if at - emitted >= 2 * window:
-                stable = self._common(last, range(at - self.longest + 1, at + 1), emitted)
+            self.step(data, at, max(emitted, at - self.longest), last)
+            if at - emitted >= window:
+                stable = self._common(last, range(at - self.longest + 1, at + 1))
                 yield from self._between(last, emitted, stable)
                 last = {p: x for p, x in last.items() if p >= stable}
                 emitted = stable
         yield from self._between(last, emitted, len(data))
 
-    @staticmethod
-    def _common(last: dict[int, tuple[int, int]], live: range, floor: int) -> int:
+    def _common(self, last: dict[int, int], live: range) -> int:
         """The last position through which the encodings of all live positions pass."""
         open_at = {p for p in live if p in last}
         while len(open_at) > 1:
             highest = max(open_at)
             open_at.remove(highest)
-            open_at.add(max(last[highest][1], floor))
+            open_at.add(highest - len(self.texts[last[highest]]))
         return open_at.pop()
 
-    @staticmethod
-    def _between(last: dict[int, tuple[int, int]], start: int, end: int) -> list[int]:
+    def _between(self, last: dict[int, int], start: int, end: int) -> list[int]:
         tokens = []
         while end > start:
-            token, end = last[end]
-            tokens.append(token)
+            tokens.append(last[end])
+            end -= len(self.texts[last[end]])
         return tokens[::-1]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, chunk by chunk; chunks end at seams."""
+        find = (PIECES if WIDE.search(text) else NARROW_PIECES).findall
         at = 0
         while at < len(text):
             end = at + CHUNK
             if end < len(text):
                 seam = SEAM.search(text, end - 1)
                 end = seam.end() if seam else len(text)
-            yield PIECES.findall(text[at:end])
+            yield find(text[at:end])
             at = end
 
     def encode(self, text: str) -> bytes:
@@ -160,7 +209,7 @@ class Coder:
         out = []
         for part in parts:
             if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
+                out.append(self.packed[self.special[part]])
             else:
                 for pieces in self.pieces(part):
                     out.append(b"".join(map(known.__getitem__, pieces)))
@@ -186,7 +235,7 @@ class _Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
-        packed = np.fromiter(self.coder.transduce(data), "<u4").tobytes()
+        packed = b"".join(map(self.coder.packed.__getitem__, self.coder.transduce(data)))
         if len(data) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
