@@ -44,37 +44,41 @@ class Counter:
         self.known = _Known(self)
 
     def viterbi(self, text: str) -> int:
-        """Number of tokens of the best segmentation of a stretch."""
+        """Number of tokens of the best segmentation of a stretch.
+
+        The automaton gives the pieces that end at a character from the longest to the shortest, so the first of equal
+        scores is the one that starts first. A piece of one character makes the unknown character no choice there.
+        """
         size = len(text)
         best, count = [0.0] * (size + 1), [0] * (size + 1)
-        scores, unknown = self.scores, self.unknown
         done = 0  # positions up to here are final
-        top, pieces = None, 0
-
-        def close() -> None:
-            nonlocal top, pieces
-            character = text[done]
-            if character not in scores:
-                score = best[done] + unknown
-                if top is None or score > top:
-                    top, pieces = score, count[done] + len(character.encode())
-            best[done + 1], count[done + 1] = top, pieces
-            top = None
-
-        start_of_top = 0
+        top, pieces, alone = None, 0, False
         for last, (length, score) in self.automaton.iter(text):
             while done < last:
-                close()
+                if not alone:
+                    top, pieces = self._unknown(text[done], best[done], count[done], top, pieces)
                 done += 1
+                best[done], count[done] = top, pieces
+                top, alone = None, False
             start = last + 1 - length
             score += best[start]
-            if top is None or score > top or (score == top and start < start_of_top):
-                top, pieces, start_of_top = score, count[start] + 1, start
+            if top is None or score > top:
+                top, pieces = score, count[start] + 1
+            if length == 1:
+                alone = True
         while done < size:
-            close()
+            if not alone:
+                top, pieces = self._unknown(text[done], best[done], count[done], top, pieces)
             done += 1
+            best[done], count[done] = top, pieces
+            top, alone = None, False
         return count[size]
 
+    def _unknown(self, character: str, best: float, count: int, top: float | None, pieces: int) -> tuple[float, int]:
+        """The better of the pieces that end at a character and the character as an unknown one."""
+        score = best + self.unknown
+        return (score, count + len(character.encode())) if top is None or score > top else (top, pieces)
+
     def count(self, text: str) -> int:
         if not text:
             return 0
