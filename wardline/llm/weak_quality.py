@@ -60,8 +60,8 @@ def votes(text: Column) -> Column:
         length = F.length(F.array_join(x["words"], "")) / some
         repeated = F.when(F.size(x["lines"]) > 1, 1 - F.size(F.array_distinct(x["lines"])) / F.size(x["lines"]))
         distinct = F.size(F.array_distinct(x["words"])) / many
-        capitals = F.length(F.regexp_replace(x["text"], r"\P{Lu}", "")) / F.when(size >= 5, characters)
-        letters = F.length(F.regexp_replace(x["text"], r"\P{L}", "")) / F.when(size > 0, characters)
+        capitals = F.length(F.regexp_replace(x["text"], r"\P{Lu}+", "")) / F.when(size >= 5, characters)
+        letters = F.length(F.regexp_replace(x["text"], r"\P{L}+", "")) / F.when(size > 0, characters)
         ended = F.size(F.filter(x["lines"], lambda line: line.rlike(r"[.!?:;\"”»)][\x20\x09-\x0D]*$")))
         endings = ended / F.when(F.size(x["lines"]) > 0, F.size(x["lines"]))
         ballots = [
@@ -181,11 +181,16 @@ class Scorer:
     bits: int
 
 
-def fit_scorer(labelled: DataFrame, settings: Settings = Settings()) -> Scorer:
-    """A linear scorer for (text, belief) rows; at most ``sample_rows`` of them are used."""
+def fit_scorer(documents: DataFrame, beliefs: DataFrame, settings: Settings = Settings()) -> Scorer:
+    """A linear scorer for the weak labels of texts: ``beliefs`` has the (pattern, belief) of every pattern of votes.
+
+    At most ``sample_rows`` texts are used.
+    """
     s = settings
     order = F.xxhash64("text", F.lit(s.bits))
-    rows = bounded_sample(labelled.select("text", "belief"), order, s.sample_rows)
+    # The texts are sampled before anything is joined to them or voted on.
+    rows = bounded_sample(documents.select("text"), order, s.sample_rows)
+    rows = rows.withColumn("pattern", votes(F.col("text"))).join(F.broadcast(beliefs), "pattern")
     rows = materialize(rows.groupBy("text").agg(F.avg("belief").alias("belief")), "quality-sample")
     shards = max(1, -(-rows.count() // s.shard_rows))
     dealt = rows.withColumn("order", F.xxhash64("text")).withColumn("shard", F.pmod(F.shiftright("order", 20), F.lit(shards)))
@@ -238,6 +243,6 @@ def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
         [(int(p), float(b)) for p, b in zip(patterns["pattern"], belief)], "pattern int, belief double"
     )
     labelled = voted.join(F.broadcast(table), "pattern")
-    scorer = fit_scorer(labelled, settings)
+    scorer = fit_scorer(voted, table, settings)
     scored = labelled.select("doc_id", F.col("belief").alias("weak_label"), score(F.col("text"), scorer).alias("score"))
     return scored.withColumn("kept", F.col("score") >= settings.threshold)
