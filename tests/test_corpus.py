@@ -84,7 +84,8 @@ def test_validation_names_every_problem(spark):
         admission.require_valid(bad)
     message = str(error.value)
     assert message.startswith("Input validation failed: 2 missing/empty prompts; 1 missing/empty labels; invalid labels:")
-    assert "'Odd'" in message and "'Safe Prompt '" in message
+    assert message.endswith("invalid labels: 2 labels in 2 rows (see invalid_labels)")
+    assert {r["label"] for r in admission.invalid_labels(bad).collect()} == {"Odd", "Safe Prompt ", " "} - {" "}
 
 
 def test_relabel_only_in_the_safe_source(spark):
@@ -244,6 +245,7 @@ def test_load_split_rejects_bad_rows(spark, tmp_path):
 
 def test_admission(spark):
     frame = spark.createDataFrame([("  ok ",), ("  ",), ("x" * 20001,), (" " + "\U0001f600" * 20000,), (None,)], "prompt string")
-    got = admission.admit(frame).collect()
+    got = admission.admit(frame, max_chars=admission.INTERACTIVE_CHARS).collect()
     assert [r["rejection"] for r in got] == [None, "empty", "too_long", None, "empty"]
-    assert admission.accepted(frame).count() == 2 and admission.rejected(frame).count() == 3
+    assert admission.accepted(frame, max_chars=20000).count() == 2 and admission.rejected(frame, max_chars=20000).count() == 3
+    assert admission.accepted(frame).count() == 3 and admission.rejected(frame).count() == 2

@@ -86,7 +86,7 @@ def _expected_lines(row):
         for item in items:
             lines += textwrap.wrap(f"- {item}", 94)
     lines += ["", "Original Prompt:"] + textwrap.wrap(row["prompt"], 94)
-    return lines[:86]
+    return lines
 
 
 def test_report_lines(records):

@@ -1,3 +1,4 @@
+import random
 import re
 import sys
 import unicodedata
@@ -104,3 +105,17 @@ def test_generic_boundaries(spark):
     for value, row in zip(values, got):
         for pattern, found in zip(patterns, row):
             assert found == bool(re.search(pattern, value, re.IGNORECASE)), (pattern, value)
+
+
+def test_rounding_equals_python_on_ties_and_elsewhere(spark):
+    """Ties in the decimal text, values near them, negatives and large values, beside Python's round."""
+    rng = random.Random(8)
+    values = [k / 100000 for k in range(5, 100000, 10)] + [k / 1000 for k in range(5, 100000, 10)]
+    values += [rng.uniform(-100, 100) for _ in range(3000)] + [0.5, 1.5, 2.5, -0.5, -2.5, 1e12 + 0.5, 0.0, 99.99995]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    columns = [text.round_even(F.col("v"), d).alias(f"d{d}") for d in (0, 2, 4, 6)]
+    for row in frame.select("v", *columns, text.percent_text(F.col("v")).alias("p")).collect():
+        for d in (0, 2, 4, 6):
+            assert row[f"d{d}"] == round(row["v"], d), (row["v"], d)
+        if abs(row["v"]) < 1e6:
+            assert row["p"].lstrip("-") == f"{row['v'] * 100:.1f}%".lstrip("-")

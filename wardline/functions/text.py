@@ -125,12 +125,31 @@ def with_bigrams(tokens: Column) -> Column:
 
 
 def round_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """The double rounded half-even by its exact binary value, for up to six digits.
+
+    ``bround`` looks at the shortest decimal text, which may be a tie where the value is not. Here the product with the
+    power of ten is taken with its exact error (the factor is split in two halves), so the side of the midpoint is known.
+    """
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        product = x * scale
+        split = x * 134217729.0
+        high = split - (split - x)
+        error = (high * scale - product) + (x - high) * scale
+        whole = F.floor(product)
+        past = (product - whole - 0.5) + error
+        up = (past > 0) | ((past == 0) & (whole % 2 != 0))
+        # Beyond this size a double has no more than these digits anyway.
+        return F.when(F.abs(x) < 1e9, (whole + F.when(up, 1).otherwise(0)) / scale).otherwise(F.bround(x, digits))
+
+    # The one-element array binds the value, which may be a large expression, once.
+    return F.get(F.transform(F.array(value.cast("double")), rounded), F.lit(0))
 
 
 def percent_text(fraction: Column) -> Column:
     """A fraction as a percentage with one decimal, halves to even."""
-    return F.format_string("%.1f%%", F.bround(fraction * F.lit(100.0), 1))
+    return F.format_string("%.1f%%", round_even(fraction * F.lit(100.0), 1))
 
 
 def utc_text(timestamp: Column) -> Column:

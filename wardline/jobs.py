@@ -3,8 +3,8 @@
     jobs.py prepare  --root DIR --source NAME=FILE ... --output DIR [--side FILE] [--on-conflict report]
     jobs.py train    --data DIR --model DIR [--weighting auto|balanced|sqrt_balanced] ...
     jobs.py classify --model DIR --prompts TABLE --output TABLE
-    jobs.py analyze  --model DIR --prompts TABLE --log TABLE
-    jobs.py stats    --log TABLE
+    jobs.py analyze  --model DIR --prompts TABLE --log TABLE --rejected TABLE [--max-chars N]
+    jobs.py stats    --log TABLE --output DIR
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from .operators import history
+from .operators.admission import rejected
 from .plans.preparation import prepare, write_preparation
 from .plans.scoring import analyze_prompts, classify_prompts
 from .plans.training import TrainSettings, train_and_evaluate
@@ -44,16 +45,26 @@ def run_classify(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_analyze(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Analyse a table with ``prompt`` and ``prompt_id``, append the records to the log."""
-    prompts = spark.read.parquet(args.prompts).select("prompt_id", "prompt")
-    records = analyze_prompts(prompts, load_model(spark, args.model), keep=["prompt_id"])
+    """Analyse a table with ``prompt`` and ``prompt_id``, append the records to the log.
+
+    Prompts that are not analysed go to the rejected table with all their columns and the reason.
+    """
+    table = spark.read.parquet(args.prompts)
+    prompts = table.select("prompt_id", "prompt")
+    records = analyze_prompts(prompts, load_model(spark, args.model), keep=["prompt_id"], max_chars=args.max_chars)
     append_analyses(identify(records, F.col("prompt_id")), args.log)
+    rejected(table, max_chars=args.max_chars).write.mode("append").parquet(args.rejected)
 
 
 def run_stats(spark: SparkSession, args: argparse.Namespace) -> None:
     log = read_log(spark, args.log)
-    for table in (history.headline_counts(log), history.counts_by_type(log), history.daily_trend(log)):
-        table.show(truncate=False)
+    tables = {
+        "headline": history.headline_counts(log),
+        "by_type": history.counts_by_type(log),
+        "trend": history.daily_trend(log),
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{args.output}/{name}")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -87,12 +98,14 @@ def parser() -> argparse.ArgumentParser:
     job.set_defaults(run=run_classify)
 
     job = jobs.add_parser("analyze")
-    for name in ("--model", "--prompts", "--log"):
+    for name in ("--model", "--prompts", "--log", "--rejected"):
         job.add_argument(name, required=True)
+    job.add_argument("--max-chars", type=int, help="reject longer prompts; by default none is too long")
     job.set_defaults(run=run_analyze)
 
     job = jobs.add_parser("stats")
-    job.add_argument("--log", required=True)
+    for name in ("--log", "--output"):
+        job.add_argument(name, required=True)
     job.set_defaults(run=run_stats)
     return root
 

@@ -62,7 +62,7 @@ def label_array(labels=LABELS) -> Column:
 def label_bit(label: Column, labels=LABELS) -> Column:
     """One bit per label, so that a set of labels fits an integer aggregate.
 
-    A label outside the domain gives null; `validation.require_valid` refuses it first.
+    A label outside the domain gives null; `admission.require_valid` refuses it first.
     """
     bit = F.lit(None).cast("int")
     for position, name in reversed(list(enumerate(labels))):

@@ -30,14 +30,19 @@ def lookup(log: DataFrame, analysis_id: str) -> DataFrame:
     return log.filter(F.col("id") == analysis_id)
 
 
-def headline_counts(log: DataFrame) -> DataFrame:
-    """Total, safe, threat and high-risk counts in one pass."""
-    return log.agg(
+def headline_columns() -> list[Column]:
+    """Total, safe, threat and high-risk counts; what is not safe is a threat, an unknown class too."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(is_safe()).alias("safe"),
         (F.count(F.lit(1)) - F.count_if(is_safe())).alias("threats"),
         F.count_if(F.col("risk_score") >= HIGH_AT).alias("high_risk"),
-    )
+    ]
+
+
+def headline_counts(log: DataFrame) -> DataFrame:
+    """The headline counts in one pass."""
+    return log.agg(*headline_columns())
 
 
 def counts_by_type(log: DataFrame) -> DataFrame:

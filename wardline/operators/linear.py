@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import _combining_marks
-from .tfidf import MAX_FEATURES, document_terms, small_side
+from .tfidf import document_terms
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,7 +48,6 @@ def linear_scores(
     intercepts: dict[str, float],
     key: str,
     text_col: str = "text",
-    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """Class probabilities per document: (key, label, margin, probability).
 
@@ -59,7 +58,7 @@ def linear_scores(
     classes = sorted(intercepts)
     model = vocabulary.select("term", "idf").join(class_coefficients(coefficients, classes), "term")
     found = document_terms(documents, key, text_col, keep_empty=True)
-    terms = found.join(small_side(model, max_features), "term", "left")
+    terms = found.join(model, "term", "left")
     weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     weighted = terms.select(key, weight.alias("w"), "coefs")
     sums = weighted.groupBy(key).agg(

@@ -13,8 +13,7 @@ from ..functions.arrays import inline_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Line budget and wrap widths.
-MAX_LINES = 86
+# Wrap widths.
 EVIDENCE_WIDTH = 92
 TEXT_WIDTH = 94
 TITLE = "Prompt Security Analysis Report"
@@ -22,15 +21,12 @@ TITLE = "Prompt Security Analysis Report"
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap_blocks(blocks: pd.Series, widths: pd.Series) -> pd.Series:
-    """Wrap each block at its width; width 0 keeps the block as one line.
-
-    A block stops one line past what any report can show.
-    """
+    """Wrap each block at its width; width 0 keeps the block as one line."""
 
     def lines(text: str, width: int) -> list[str]:
         if width == 0:
             return [text]
-        return textwrap.wrap(text, int(width), max_lines=MAX_LINES + 1, placeholder="")
+        return textwrap.wrap(text, int(width))
 
     return pd.Series(
         [
@@ -76,11 +72,10 @@ def _indicator_blocks(indicators: Column) -> Column:
     return F.when(F.size(indicators) > 0, blocks).otherwise(_fixed(F.lit("- None")))
 
 
-def report_lines(analyses: DataFrame, key: str = "id", title: str = TITLE) -> DataFrame:
-    """One row per report line: (key, line_no from 0, line).
+def report_blocks(analyses: DataFrame, key: str = "id", title: str = TITLE) -> DataFrame:
+    """One row per report: (key, blocks), the blocks in order with their wrap width (0: not wrapped).
 
-    Needs the analysis record plus ``id`` and ``generated_at`` (text). A report keeps its
-    first 86 lines.
+    Needs the analysis record plus ``id`` and ``generated_at`` (text).
     """
     bulleted = lambda items: F.transform(items, lambda item: F.concat(F.lit("- "), item))
     blocks = F.concat(
@@ -105,12 +100,17 @@ def report_lines(analyses: DataFrame, key: str = "id", title: str = TITLE) -> Da
         _fixed(F.lit(""), F.lit("Original Prompt:")),
         _wrapped(F.array(F.coalesce(F.col("prompt"), F.lit(""))), TEXT_WIDTH),
     )
-    laid_out = analyses.select(F.col(key), blocks.alias("blocks"))
+    return analyses.select(F.col(key), blocks.alias("blocks"))
+
+
+def report_lines(analyses: DataFrame, key: str = "id", title: str = TITLE, max_lines: int | None = None) -> DataFrame:
+    """One row per report line: (key, line_no from 0, line); with ``max_lines`` the first lines of each report."""
+    laid_out = report_blocks(analyses, key, title)
     wrapped = laid_out.select(
         key, wrap_blocks(F.col("blocks.text"), F.col("blocks.width")).alias("lines")
     )
+    shown = F.col("lines") if max_lines is None else F.slice("lines", 1, max_lines)
     numbered = F.transform(
-        F.slice("lines", 1, MAX_LINES),
-        lambda line, i: F.struct(i.cast("int").alias("line_no"), line.alias("line")),
+        shown, lambda line, i: F.struct(i.cast("int").alias("line_no"), line.alias("line"))
     )
     return inline_rows(wrapped.select(key, numbered.alias("numbered")), "numbered", ["line_no", "line"], [key])

@@ -14,7 +14,6 @@ from ..functions.text import fold_accents, with_bigrams, word_tokens
 MIN_DOCUMENTS = 2
 MAX_DOCUMENT_SHARE = 0.995
 MAX_FEATURES = 60_000
-MAX_BROADCAST_TERMS = 1_000_000
 
 
 def _run_lengths(terms: Column) -> Column:
@@ -105,20 +104,12 @@ def fit_vocabulary(
     )
 
 
-def small_side(vocabulary: DataFrame, max_features: int) -> DataFrame:
-    """A vocabulary with a broadcast hint when its cap is small enough for one."""
-    return F.broadcast(vocabulary) if max_features <= MAX_BROADCAST_TERMS else vocabulary
-
-
-def raw_weights(
-    doc_terms: DataFrame, vocabulary: DataFrame, key: str, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def raw_weights(doc_terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Sublinear tf times idf for the terms in the vocabulary; unknown terms drop out.
 
-    ``max_features`` is the cap the vocabulary was fitted with: the bound of the broadcast.
+    How the vocabulary is joined is left to the optimizer, which knows the size of a written one.
     """
-    terms = vocabulary.select("term", "term_id", "idf")
-    looked_up = doc_terms.join(small_side(terms, max_features), "term")
+    looked_up = doc_terms.join(vocabulary.select("term", "term_id", "idf"), "term")
     weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     return looked_up.select(key, "term", "term_id", weight.alias("raw_weight"))
 

@@ -89,23 +89,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text table, spread over the cores when its files yield fewer tasks than cores.
-
-    A table of many files is read as it lies; only one with too few row groups to keep the
-    cores busy is repartitioned.
-    """
-    return spread(read(spark, sf_dir, name), read(spark, sf_dir, name), key)
-
-
-def spread(frame: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``frame`` repartitioned when the ``table`` it reads has fewer tasks than there are cores."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if table.rdd.getNumPartitions() < cores else frame
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_texts(spark, sf_dir, "documents", "doc_id")
+    return read(spark, sf_dir, "documents")
 
 
 def planted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 
 from ..labels import CLASS_ORDER, LABELS, MITIGATIONS, THREATS
-from ..operators import hybrid
+from ..operators import hybrid, report
+from ..operators.tfidf import MAX_FEATURES
 from ..operators.corpus import PREPARED_COLUMNS, SOURCE_ORDER
 from ..sources.rules import RELABEL_RULES, RULES
 from . import fixtures as fx
-from .queries import INTERCEPTS, VOCABULARY_CAP, WEAK_RULES
+from .queries import INTERCEPTS, WEAK_RULES
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_WORD = r"[^\p{L}\p{N}_]"
@@ -73,7 +74,7 @@ LABEL_TABLE = "labels_dim AS (SELECT * FROM (VALUES " + ", ".join(
 PROMPTS = f"prompts AS (SELECT doc_id, {fx.PLANTED} AS prompt FROM documents)"
 ADMITTED = (
     f"stripped AS (SELECT doc_id, {strip(fx.PLANTED)} AS prompt FROM documents), "
-    "prompts AS (SELECT * FROM stripped WHERE prompt <> '' AND length(prompt) <= 20000)"
+    "prompts AS (SELECT * FROM stripped WHERE prompt <> '')"
 )
 
 
@@ -110,13 +111,13 @@ named AS (
   SELECT *, CASE WHEN by_score = 'Safe Prompt' AND s >= 90 THEN by_rule ELSE by_score END AS classification
   FROM picked),
 risked AS (
-  SELECT n.*, g.h, round_even(g.h / 100e0, 4) AS confidence,
+  SELECT n.*, g.h, CAST(printf('%.4f', g.h / 100e0) AS DOUBLE) AS confidence,
     CASE WHEN classification = 'Safe Prompt'
-      THEN least(round_even(greatest(0e0, 100e0 - safe_h), 0)::INTEGER, CASE WHEN n.s > 0 THEN 64 ELSE 34 END)
-      ELSE greatest(round_even(least(100e0, g.h * 0.72e0 + n.s * 0.28e0), 0)::INTEGER, n.s) END AS risk_score
+      THEN least(CAST(printf('%.0f', greatest(0e0, 100e0 - safe_h)) AS DOUBLE)::INTEGER, CASE WHEN n.s > 0 THEN 64 ELSE 34 END)
+      ELSE greatest(CAST(printf('%.0f', least(100e0, g.h * 0.72e0 + n.s * 0.28e0)) AS DOUBLE)::INTEGER, n.s) END AS risk_score
   FROM named n JOIN grid g ON g.doc_id = n.doc_id AND g.label = n.classification),
 verdict AS (
-  SELECT *, round_even(confidence * 100e0, 2) AS confidence_percent, {level_sql()} AS risk_level,
+  SELECT *, CAST(printf('%.2f', confidence * 100e0) AS DOUBLE) AS confidence_percent, {level_sql()} AS risk_level,
     {severity_sql()} AS severity
   FROM risked)
 """
@@ -160,7 +161,7 @@ reasons AS (SELECT doc_id, string_agg(explanation, ' | ' ORDER BY rn) AS reasons
     string_agg(rule_id, ' | ' ORDER BY rn) AS rule_ids FROM ranked_hits WHERE rn <= 3 GROUP BY doc_id),
 told AS (
   SELECT v.doc_id, coalesce(r.reasons, {q(hybrid.NO_INDICATOR_TEXT)}) || ' | ' || {q(head)} || ml_label || ' with '
-    || printf('%.1f%%', round_even(ml_p * 100e0, 1)) || {q(tail.replace('%s', ''))}
+    || printf('%.1f%%', CAST(printf('%.1f', ml_p * 100e0) AS DOUBLE)) || {q(tail.replace('%s', ''))}
     || CASE WHEN classification <> ml_label THEN ' | ' || {q(hybrid.ADJUSTED_TEXT)} ELSE '' END || ' | '
     || CASE WHEN risk_score >= 65 THEN {q(hybrid.BLOCK_TEXT)} WHEN risk_score >= 35 THEN {q(hybrid.REVIEW_TEXT)}
        ELSE {q(hybrid.SAFE_TEXT)} END AS explanations,
@@ -215,18 +216,18 @@ ORACLE_SQL["explanations"] = scored() + explanation_ctes() + "SELECT doc_id, exp
 ORACLE_SQL["ranked_probabilities"] = (
     f"WITH {LABEL_TABLE}, {probability_table()} SELECT doc_id, "
     "row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, class_ord)::INTEGER AS rank, label, "
-    "round_even(p, 6) AS probability FROM probs JOIN labels_dim USING (label)"
+    "CAST(printf('%.6f', p) AS DOUBLE) AS probability FROM probs JOIN labels_dim USING (label)"
 )
 ORACLE_SQL["rounded_scores"] = scored() + (
-    "SELECT doc_id, label, round_even(p, 4) AS probability, round_even(h, 2) AS hybrid_score FROM grid"
+    "SELECT doc_id, label, CAST(printf('%.4f', p) AS DOUBLE) AS probability, CAST(printf('%.2f', h) AS DOUBLE) AS hybrid_score FROM grid"
 )
 RECORD_LISTS = """, listed AS (SELECT doc_id, string_agg(rule_id, ' | ' ORDER BY rule_ord) AS all_rules,
   string_agg(evidence, ' | ' ORDER BY rule_ord) AS evidence, count(*) AS n FROM hits GROUP BY doc_id)
 """
 ORACLE_SQL["analysis_record"] = scored(ADMITTED) + mitigation_ctes() + explanation_ctes() + RECORD_LISTS + (
     "SELECT v.doc_id, p.prompt, v.classification, v.confidence, v.confidence_percent, "
-    "v.risk_score::INTEGER AS risk_score, v.risk_level, v.severity, v.ml_label, round_even(v.ml_p, 4) AS ml_confidence, "
-    "round_even(v.safe_p, 4) AS safe_probability, round_even(v.safe_h, 2) AS safe_hybrid, v.s::INTEGER AS rule_score, "
+    "v.risk_score::INTEGER AS risk_score, v.risk_level, v.severity, v.ml_label, CAST(printf('%.4f', v.ml_p) AS DOUBLE) AS ml_confidence, "
+    "CAST(printf('%.4f', v.safe_p) AS DOUBLE) AS safe_probability, CAST(printf('%.2f', v.safe_h) AS DOUBLE) AS safe_hybrid, v.s::INTEGER AS rule_score, "
     "coalesce(l.all_rules, '') AS rule_ids, coalesce(l.evidence, '') AS evidence, t.explanations, a.mitigations "
     "FROM verdict v JOIN prompts p USING (doc_id) JOIN told t USING (doc_id) JOIN advice a USING (doc_id) "
     "LEFT JOIN listed l USING (doc_id)"
@@ -335,7 +336,7 @@ SPLITS = """, digested AS (
 ranked AS (
   SELECT *, count(*) OVER (PARTITION BY label, source_dataset) AS n,
     row_number() OVER (PARTITION BY label, source_dataset ORDER BY digest) AS rn FROM digested),
-sized AS (SELECT *, greatest(1, round_even(n * 0.1e0, 0)::BIGINT) AS k FROM ranked),
+sized AS (SELECT *, greatest(1, CAST(printf('%.0f', n * 0.1e0) AS DOUBLE)::BIGINT) AS k FROM ranked),
 assigned AS (
   SELECT *, CASE WHEN n < 3 THEN 'train' WHEN rn <= k THEN 'test' WHEN rn <= 2 * k THEN 'validation' ELSE 'train' END AS split
   FROM sized)
@@ -536,7 +537,7 @@ stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM doc_terms GROU
 """
 N_DOCS = "(SELECT count(*) FROM documents)"
 VOCAB = f""", kept AS (
-  SELECT * FROM stats WHERE df >= 2 AND df <= 0.995e0 * {N_DOCS} ORDER BY tf DESC, term LIMIT {VOCABULARY_CAP}),
+  SELECT * FROM stats WHERE df >= 2 AND df <= 0.995e0 * {N_DOCS} ORDER BY tf DESC, term LIMIT {MAX_FEATURES}),
 vocab AS (
   SELECT *, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS term_id, ln((1 + {N_DOCS}) / (1 + df)) + 1e0 AS idf FROM kept),
 weights AS (SELECT doc_id, term, term_id, (1e0 + ln(d.tf)) * idf AS w FROM doc_terms d JOIN vocab USING (term)),
@@ -573,7 +574,7 @@ ORACLE_SQL["model_probabilities"] = TERMS + VOCAB + COEFS + (
     "SELECT doc_id, label, round(p, 6) AS probability FROM softmax"
 )
 ORACLE_SQL["batch_classification"] = TERMS + VOCAB + COEFS + (
-    "SELECT doc_id, arg_max(label, p) AS classification, round_even(max(p), 6) AS confidence, "
+    "SELECT doc_id, arg_max(label, p) AS classification, CAST(printf('%.6f', max(p)) AS DOUBLE) AS confidence, "
     "string_agg(label, ' | ' ORDER BY p DESC, label) AS ranking FROM softmax GROUP BY doc_id"
 )
 ORACLE_SQL["top_features"] = TERMS + VOCAB + COEFS + (
@@ -610,3 +611,28 @@ ORACLE_SQL["stream_score"] = scored(ADMITTED) + RECORD_LISTS + (
     "FROM verdict v JOIN prompts p USING (doc_id) LEFT JOIN listed l USING (doc_id)"
 )
 assert set(THREATS) < set(LABELS)
+
+# --- report -------------------------------------------------------------------------------
+
+_FIELDS = (
+    ("Generated", "'2024-01-31 00:00:00'"), ("Analysis ID", "doc_id::VARCHAR"), None, ("Classification", "classification"),
+    ("Confidence", "confidence_percent::VARCHAR || '%'"), ("Risk Score", "risk_score::INTEGER::VARCHAR"),
+    ("Risk Level", "risk_level"), ("Severity", "severity"), None,
+)
+_HEAD = ", ".join([q(report.TITLE), *("''" if f is None else f"{q(f[0] + ': ')} || {f[1]}" for f in _FIELDS), "'Triggered Indicators:'"])
+ORACLE_SQL["report_blocks"] = scored(ADMITTED) + mitigation_ctes() + explanation_ctes() + f""", part AS (
+  SELECT doc_id, 0 AS section, generate_subscripts(head, 1) AS item, unnest(head) AS text, 0 AS width
+  FROM (SELECT doc_id, [{_HEAD}] AS head FROM verdict)
+  UNION ALL SELECT doc_id, 1, 2 * rule_ord, '- ' || rule_id || ' | ' || category || ' | ' || label, 0 FROM hits
+  UNION ALL SELECT doc_id, 1, 2 * rule_ord + 1, '  Evidence: ' || evidence, {report.EVIDENCE_WIDTH} FROM hits WHERE evidence <> ''
+  UNION ALL SELECT doc_id, 1, 0, '- None', 0 FROM verdict WHERE doc_id NOT IN (SELECT doc_id FROM hits)
+  UNION ALL SELECT doc_id, section, item, unnest(['', title]), 0 FROM verdict,
+    (VALUES (2, 0, 'Explanation:'), (4, 0, 'Mitigation Recommendations:'), (6, 0, 'Original Prompt:')) AS t(section, item, title)
+  UNION ALL SELECT doc_id, 3, generate_subscripts(string_split(explanations, ' | '), 1),
+    '- ' || unnest(string_split(explanations, ' | ')), {report.TEXT_WIDTH} FROM told
+  UNION ALL SELECT doc_id, 5, generate_subscripts(string_split(mitigations, ' | '), 1),
+    '- ' || unnest(string_split(mitigations, ' | ')), {report.TEXT_WIDTH} FROM advice
+  UNION ALL SELECT doc_id, 7, 0, prompt, {report.TEXT_WIDTH} FROM prompts)
+SELECT doc_id::VARCHAR AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, item, text <> '') - 1)::INTEGER AS block_no,
+  text, width::INTEGER AS width FROM part
+"""

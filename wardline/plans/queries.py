@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -26,9 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 JOINER = " | "
-VOCABULARY_CAP = 5000
 WEAK_RULES = tuple(replace(rule, weight=rule.weight // 10) for rule in RULES)
-STRATA = len(LABELS) * len(corpus.SOURCE_ORDER)  # fixed domains: the cuts table has at most this many rows
 
 
 def query(function: Query) -> Query:
@@ -56,7 +53,7 @@ def rule_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rule_scan_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixtures.read_texts(spark, d, "pages", "page_id")
+    pages = fixtures.read(spark, d, "pages")
     return scan.rule_hits(pages, "page_id", "html").select("page_id", "rule_id", "evidence")
 
 
@@ -246,10 +243,21 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return report.report_lines(records.withColumn("id", F.col("doc_id").cast("string")))
 
 
+@query
+def report_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What a report says before its lines are wrapped: blocks in order with their width."""
+    records = _records(spark, d).withColumn("generated_at", F.lit("2024-01-31 00:00:00"))
+    # Written first: the blocks name every field several times, and the scoring expressions must not be copied into each.
+    records = materialize(records.withColumn("id", F.col("doc_id").cast("string")), "records")
+    return report.report_blocks(records).select("id", F.posexplode("blocks").alias("block_no", "block")).select(
+        "id", "block_no", "block.text", "block.width"
+    )
+
+
 @query
 def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
     """Every turn of every conversation scanned, by role and strongest rule."""
-    turns = fixtures.read_texts(spark, d, "conversations", "conv_id")
+    turns = fixtures.read(spark, d, "conversations")
     scanned = scan.scan_prompts(turns.select("role", F.col("text").alias("prompt")))
     strongest = scanned.select(
         "role", F.array_max(scan.category_scores(F.col("triggered_indicators"))).alias("rule_score")
@@ -262,7 +270,7 @@ def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def admission_reasons(spark: SparkSession, d: str) -> DataFrame:
-    admitted = admission.admit(fixtures.planted_prompts(spark, d))
+    admitted = admission.admit(fixtures.planted_prompts(spark, d), max_chars=admission.INTERACTIVE_CHARS)
     return admitted.groupBy(F.coalesce("rejection", F.lit("accepted")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("prompts"), F.max(F.length("prompt")).cast("long").alias("longest")
     )
@@ -335,7 +343,7 @@ def _resolution(spark: SparkSession, d: str) -> corpus.Resolution:
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return split.assign_splits(corpus.keep_first(_working(spark, d)), strata_checked=STRATA)
+    return split.assign_splits(corpus.keep_first(_working(spark, d)))
 
 
 @query
@@ -442,7 +450,7 @@ def split_overlap(spark: SparkSession, d: str) -> DataFrame:
 def prep_report(spark: SparkSession, d: str) -> DataFrame:
     annotated = materialize(_resolution(spark, d).annotated, "annotated")
     resolution = corpus.Resolution(annotated)
-    assigned = materialize(split.assign_splits(resolution.cleaned, strata_checked=STRATA), "splits")
+    assigned = materialize(split.assign_splits(resolution.cleaned), "splits")
     pages = fixtures.read(spark, d, "pages").count()  # stands in for the excluded side corpus
     return preparation_report(resolution, assigned, pages)
 
@@ -560,7 +568,7 @@ def candidate_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return tfidf.fit_vocabulary(fixtures.documents(spark, d), "doc_id", max_features=VOCABULARY_CAP)
+    return tfidf.fit_vocabulary(fixtures.documents(spark, d), "doc_id", max_features=tfidf.MAX_FEATURES)
 
 
 def _coefficients(vocabulary: DataFrame) -> DataFrame:
@@ -664,12 +672,12 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
 def train_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """Fit both weightings on the labelled documents and report the selected one's metrics."""
     working = corpus.with_identity(corpus.relabel_safe_attacks(fixtures.labelled_corpus(spark, d)))
-    assigned = materialize(split.assign_splits(corpus.keep_first(working), strata_checked=STRATA), "labelled")
+    assigned = materialize(split.assign_splits(corpus.keep_first(working)), "labelled")
     parts = [assigned.filter(F.col("split") == name) for name in split.SPLITS]
-    run = fit_and_evaluate(*parts, settings=TrainSettings(max_iterations=60))
+    run = fit_and_evaluate(*parts, settings=TrainSettings())
     scores = evaluate.overall_metrics(evaluate.confusion_counts(run.predictions, ["split"]), ["split"])
     return scores.withColumns(
-        {"selected_candidate": F.lit(run.selected.name), "vocabulary_size": F.lit(run.selected.model.numFeatures)}
+        {"selected_candidate": F.lit(run.selected.name), "vocabulary_size": F.lit(run.selected.model.numFeatures), "converged": F.lit(run.converged)}
     )
 
 
@@ -713,20 +721,18 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a small aggregate stream over all present data; the sink keeps its result table."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(table).outputMode(mode)
-    running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(table)
+def _run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregate stream in complete mode over all present data; the result table and its state are shared."""
+    path = new_table_path(spark, name)
+    jobs.table_stream(stream, path, new_table_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a prompt stream, scored and appended to a log, read back."""
     arriving = _stream(spark, d, "documents")
-    prompts = fixtures.spread(arriving, fixtures.read(spark, d, "documents"), "doc_id").select(
+    prompts = arriving.select(
         "doc_id", F.expr(fixtures.PLANTED).alias("prompt"), fixtures.probabilities().alias("probabilities")
     )
     when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
@@ -746,16 +752,16 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_trend(spark: SparkSession, d: str) -> DataFrame:
-    return _run_to_table(spark, jobs.trend_stream(fixtures.as_log(_stream(spark, d, "events"))), "trend", "complete")
+    return _run_to_table(spark, jobs.trend_stream(fixtures.as_log(_stream(spark, d, "events"))), "trend")
 
 
 @query
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     log = fixtures.as_log(_stream(spark, d, "events"))
-    return _run_to_table(spark, jobs.headline_stream(log), "headline", "complete")
+    return _run_to_table(spark, jobs.headline_stream(log), "headline")
 
 
 @query
 def stream_class_mix(spark: SparkSession, d: str) -> DataFrame:
     log = fixtures.as_log(_stream(spark, d, "events"))
-    return _run_to_table(spark, jobs.class_mix_stream(log), "mix", "complete")
+    return _run_to_table(spark, jobs.class_mix_stream(log), "mix")

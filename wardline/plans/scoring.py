@@ -30,10 +30,12 @@ def classify_prompts(prompts: DataFrame, model: LinearTextModel, keep=()) -> Dat
     )
 
 
-def analyze_prompts(prompts: DataFrame, model: LinearTextModel, rules=RULES, keep=()) -> DataFrame:
+def analyze_prompts(
+    prompts: DataFrame, model: LinearTextModel, rules=RULES, keep=(), max_chars: int | None = None
+) -> DataFrame:
     """Strip and admit prompts, score them with the model and the rules, build the records.
 
-    Row-local throughout: batches and streams alike, no shuffle. `admission.rejected` gives
-    the prompts left out.
+    Row-local throughout: batches and streams alike, no shuffle. `admission.rejected` with
+    the same ``max_chars`` gives the prompts left out.
     """
-    return analyze(with_probabilities(accepted(prompts), model), rules, keep=keep)
+    return analyze(with_probabilities(accepted(prompts, max_chars=max_chars), model), rules, keep=keep)

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import utc_day
-from ..operators.admission import accepted
-from ..operators.history import is_safe
-from ..operators.hybrid import HIGH_AT, analyze
+from ..operators.admission import accepted, rejected
+from ..operators.history import headline_columns, is_safe
+from ..operators.hybrid import analyze
 from ..sources.history import identify, log_rows, stream_part
 from ..sources.rules import RULES
 
 
 def scored_stream(
-    prompts: DataFrame, key: Column, created_at: Column | None = None, rules=RULES
+    prompts: DataFrame, key: Column, created_at: Column | None = None, rules=RULES, max_chars: int | None = None
 ) -> DataFrame:
     """Admitted prompts with ``probabilities`` to identified analyses.
 
     Row-local from end to end: no state, no shuffle, the same code as a batch.
     """
-    keyed = accepted(prompts).withColumn("_key", key)
+    keyed = accepted(prompts, max_chars=max_chars).withColumn("_key", key)
     kept = ["_key"]
     if created_at is not None:
         keyed, kept = keyed.withColumn("_at", created_at), ["_key", "_at"]
@@ -41,6 +41,23 @@ def append_stream(analyses: DataFrame, log_path: str, checkpoint: str) -> DataSt
     )
 
 
+def table_stream(result: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Keep the complete result of an aggregate stream in one table, overwritten by every batch."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (
+        result.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete")
+    )
+
+
+def rejected_stream(prompts: DataFrame, path: str, checkpoint: str, max_chars: int | None = None) -> DataStreamWriter:
+    """Append the prompts that `scored_stream` leaves out, with their reason, to a table."""
+    writer = rejected(prompts, max_chars=max_chars).writeStream.format("parquet").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def _counts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("count"),
@@ -66,12 +83,7 @@ def bounded_trend_stream(log: DataFrame, delay: str) -> DataFrame:
 
 def headline_stream(log: DataFrame) -> DataFrame:
     """Total, safe, threat and high-risk counts; run in complete mode."""
-    return log.groupBy().agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(is_safe()).alias("safe"),
-        F.count_if(~is_safe()).alias("threats"),
-        F.count_if(F.col("risk_score") >= HIGH_AT).alias("high_risk"),
-    )
+    return log.groupBy().agg(*headline_columns())
 
 
 def class_mix_stream(log: DataFrame) -> DataFrame:
