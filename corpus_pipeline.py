@@ -17,6 +17,10 @@ from wardline.llm import lines, packing, secret_scan, simhash, token_counts, tox
 from wardline.session import shared_dir
 
 
+#: Documents have no frame of navigation as pages have; one that loses most of its text is a copy, for the next stage.
+LINES = lines.Settings(max_lost=0.5)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted to labelled rows of docs, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,8 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; lines on too many documents of a source are gone, and n_chars follows the text."""
-    return _counted(lines.drop_boilerplate(docs, F.col("source"), "text"))
+    """All documents; lines on too many documents of a source are gone, and n_chars follows the text.
+
+    A document that would lose over half of its shown characters keeps them all, so near copies reach the next stage whole.
+    """
+    return _counted(lines.drop_boilerplate(docs, F.col("source"), "text", LINES))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

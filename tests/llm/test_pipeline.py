@@ -47,6 +47,19 @@ def test_secrets_do_not_reach_the_last_stage(spark):
     assert row.text == "my [REDACTED] here" and row.n_chars == len(row.text)
 
 
+def test_near_copies_reach_near_dedup_whole(spark):
+    """A third of a source are near copies, each with one line of its own; one of them is left, with its whole text."""
+    prose = lambda seed, size: " ".join(f"w{seed * 7919 + k}" for k in range(size))
+    shared = "\n".join(prose(k, 60) for k in range(1, 9))
+    rows = [(i, f"{shared}\nedit {i}", "s") for i in range(20)] + [(i, prose(100 + i, 80) + "\n" + prose(200 + i, 80), "s") for i in range(20, 60)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    cleaned = corpus_pipeline.drop_boilerplate(spark, docs, SMALL)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == {i: t for i, t, _ in rows}
+    left = corpus_pipeline.keep_distinct(spark, cleaned, SMALL).collect()
+    copies = [r for r in left if r.doc_id < 20]
+    assert len(copies) == 1 and copies[0].text.startswith(shared) and len(left) == 41
+
+
 def test_ten_operators_and_the_pipeline_are_registered():
     names = set(contract.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names

@@ -8,8 +8,9 @@ shuffle in which every host is dealt over ``spread`` parts.
 
 Defined results: a null or empty text has no lines and stays as it is; a null host is a host of its own; blank lines are
 no lines and always stay; a line repeated in a page counts once. A page all of whose lines are boilerplate is a copy of
-other pages and no frame around something, so it keeps its text and is left to near-duplicate detection. Repeated rows
-are pages of their own. Other columns are kept.
+other pages and no frame around something, so it keeps its text and is left to near-duplicate detection. With
+``max_lost`` below 1 so does a page that would lose more than this share of the characters of its shown lines: near
+copies differ in a few lines and share the rest. Repeated rows are pages of their own. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Settings:
     max_ratio: float = 0.1
     min_pages: int = 3
     spread: int = 64
+    max_lost: float = 1.0  # share of a page's shown characters beyond which it is a copy and keeps its text
 
 
 def host_of(url: Column) -> Column:
@@ -59,6 +61,11 @@ def _shown(text: Column) -> Column:
     return F.filter(_lines(text), lambda line: line.rlike(SHOWN))
 
 
+def _characters(lines: Column) -> Column:
+    """Characters of those lines that are not blank."""
+    return F.length(F.array_join(F.filter(lines, lambda line: line.rlike(SHOWN)), ""))
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, settings: Settings = Settings()) -> DataFrame:
     """host, key, pages, ratio of the lines to drop."""
     keys = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(_shown(F.col(text)), _key)).alias("keys"))
@@ -88,6 +95,8 @@ def drop_boilerplate(
     kept = F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~F.array_contains(F.col("_drop"), _key(line)))
     changed = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
     some_left = F.exists("_kept", lambda line: line.rlike(SHOWN))
+    if settings.max_lost < 1:
+        some_left &= _characters(F.col("_kept")) >= (1 - settings.max_lost) * _characters(_lines(F.col("_text")))
     cleaned = F.when(some_left, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
     out = {c: F.col("_row").getField(c) for c in names}
     return changed.select(*[(cleaned if c == text else value).alias(c) for c, value in out.items()])
