@@ -17,8 +17,9 @@ from wardline.llm import lines, packing, secret_scan, simhash, token_counts, tox
 from wardline.session import shared_dir
 
 
-#: Documents have no frame of navigation as pages have; one that loses most of its text is a copy, for the next stage.
-LINES = lines.Settings(max_lost=0.5)
+#: Sources are far larger than hosts, so a passage of 50 words counts as repeated from min_pages documents on. A document
+#: that loses most of its text is a copy, for the next stage.
+LINES = lines.Settings(long_words=50, max_lost=0.5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

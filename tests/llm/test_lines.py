@@ -60,3 +60,27 @@ def test_no_python_in_the_plan(spark):
     plan = lines.drop_boilerplate(rows_of(spark)[1], F.col("host"), "text")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
+
+def test_long_passages_of_a_large_source_are_found(spark):
+    """Planted on 3 of 600 documents: a passage of 60 words goes, a line of 9 words stays; on 55 of 600 the line goes too."""
+    prose = lambda seed, size: " ".join(f"w{seed}x{k}" for k in range(size))
+    passage, rare, common, twice = prose("p", 60), prose("r", 9), prose("c", 9), prose("t", 60)
+    rows = []
+    for i in range(600):
+        planted = [line for line, among in ((passage, i < 3), (rare, i < 3), (common, i < 55), (twice, i < 2)) if among]
+        rows.append((i, [f"{prose(i, 100)}", *planted, prose(f"{i}e", 100)], planted))
+    frame = spark.createDataFrame([(i, "s", "\n".join(t)) for i, t, _ in rows], "doc_id long, source string, text string")
+    for small_table in (1000, 0):
+        settings = Settings(long_words=50, max_lost=0.5)
+        found = {r.doc_id: r.text for r in lines.drop_boilerplate(frame, F.col("source"), "text", settings, small_table=small_table).collect()}
+        assert found == {i: "\n".join(x for x in t if x not in (passage, common)) for i, t, _ in rows}
+
+
+def test_a_long_list_is_looked_up_in_slots(spark):
+    """200 passages to drop in one source, 13 slots; and a null host with a list of its own."""
+    line = lambda k: " ".join(f"l{k}w{j}" for j in range(50))
+    own = lambda i: " ".join(f"o{i}w{j}" for j in range(300))
+    rows = [(i, None if i % 4 == 3 else "s", "\n".join([own(i), *(line(k) for k in range(i // 4 % 50, 200, 50))])) for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = lines.drop_boilerplate(frame, F.col("source"), "text", Settings(long_words=50)).collect()
+    assert {r.doc_id: r.text for r in found} == {i: own(i) for i, _, _ in rows}

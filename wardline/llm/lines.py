@@ -1,10 +1,13 @@
 """Line dedup by site-relative frequency. Native only.
 
 Rows are pages of hosts. For every host, a line's ratio is the share of the host's pages that contain it; lines above
-``max_ratio`` on at least ``min_pages`` pages are boilerplate and are dropped from all pages of the host. Lines travel as
-two 64-bit hashes with partial counts, never as text. The lines to drop are few (a page of L lines allows at most
-L / max_ratio of them a host); if their table is small by its count it is broadcast, otherwise rows and lists meet in a
-shuffle in which every host is dealt over ``spread`` parts.
+``max_ratio`` on at least ``min_pages`` pages are boilerplate and are dropped from all pages of the host. With
+``long_words`` the ratio to exceed falls in proportion to a line's words, from ``max_ratio`` for a line without any to zero
+for lines of so many words and more: what is long and stands on ``min_pages`` pages is no coincidence. Lines travel as
+two 64-bit hashes with partial counts, never as text. The lines to drop are few where the ratio is fixed (a page of L lines
+allows at most L / max_ratio of them a host), and at most one in ``min_pages`` otherwise; so a host's list is dealt over
+slots by hash, and a line is looked up in its slot only. If the table of these lines is small by its count it is broadcast,
+otherwise rows and lists meet in a shuffle in which every host is dealt over ``spread`` parts.
 
 Defined results: a null or empty text has no lines and stays as it is; a null host is a host of its own; blank lines are
 no lines and always stay; a line repeated in a page counts once. A page all of whose lines are boilerplate is a copy of
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
@@ -27,6 +30,8 @@ SMALL_TABLE = 500_000  # lines to drop (16 bytes each) up to which their lists a
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 LINE_TAG = r"(?i)</?(p|br|li|ul|ol|div|h[1-6]|tr|table|nav|article|section|header|footer|title|body|head|html)\b[^>]*>"
 ANY_TAG = r"<[^>]*>"
+WORD = r"[^\x20\x09-\x0D]+"
+SLOT_KEYS = 16  # lines to drop in a slot of a host's list, on average at most
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,7 @@ class Settings:
     max_ratio: float = 0.1
     min_pages: int = 3
     spread: int = 64
+    long_words: int | None = None  # words of a line from which min_pages alone decides; without it all lines share max_ratio
     max_lost: float = 1.0  # share of a page's shown characters beyond which it is a copy and keeps its text
 
 
@@ -68,13 +74,38 @@ def _characters(lines: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host: str, text: str, settings: Settings = Settings()) -> DataFrame:
     """host, key, pages, ratio of the lines to drop."""
-    keys = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(_shown(F.col(text)), _key)).alias("keys"))
+    key_of = lambda line: F.struct(_key(line).alias("key"), _words(line, settings).alias("words"))
+    keys = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(_shown(F.col(text)), key_of)).alias("keys"))
     totals = keys.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = keys.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages"))
+    counts = keys.select("host", F.inline("keys")).groupBy("host", "key", "words").agg(F.count(F.lit(1)).alias("pages"))
     counts = counts.filter(F.col("pages") >= settings.min_pages)
     totals = totals.select(F.col("host").alias("_host"), "total")
     rated = counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).withColumn("ratio", F.col("pages") / F.col("total"))
-    return rated.filter(F.col("ratio") > settings.max_ratio).select("host", "key", "pages", "ratio")
+    limit = F.lit(settings.max_ratio)
+    if settings.long_words:
+        limit *= F.greatest(1 - F.col("words") / settings.long_words, F.lit(0.0))
+    return rated.filter(F.col("ratio") > limit).select("host", "key", "pages", "ratio")
+
+
+def _words(line: Column, settings: Settings) -> Column:
+    return F.regexp_count(line, F.lit(WORD)) if settings.long_words else F.lit(0)
+
+
+def _slotted(found: DataFrame) -> DataFrame:
+    """host, _drop: the keys of every host, dealt over slots by their hash."""
+    keys = F.count(F.lit(1)).over(Window.partitionBy("host"))
+    sized = found.select("host", "key", F.ceil(keys / SLOT_KEYS).cast("int").alias("_slots"))
+    keyed = sized.select("host", _slot(F.col("key"), F.col("_slots")).alias("slot"), "key")
+    none = F.lit(None).cast(found.schema["key"].dataType).alias("key")
+    every = sized.groupBy("host").agg(F.first("_slots").alias("_slots"))
+    empty = every.select("host", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"), none)
+    slots = keyed.union(empty).groupBy("host", "slot").agg(F.collect_list("key").alias("keys"))
+    ordered = F.array_sort(F.collect_list(F.struct("slot", "keys")))
+    return slots.groupBy("host").agg(F.transform(ordered, lambda x: x["keys"]).alias("_drop"))
+
+
+def _slot(key: Column, slots: Column) -> Column:
+    return F.pmod(key["a"], slots).cast("int")
 
 
 def drop_boilerplate(
@@ -84,7 +115,7 @@ def drop_boilerplate(
     names = pages.columns
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host.alias("_host"), F.col(f"`{text}`").alias("_text"))
     found = materialize(boilerplate(rows, "_host", "_text", settings), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_list("key").alias("_drop"))
+    lists = _slotted(found)
     if found.count() <= small_table:
         joined = rows.join(F.broadcast(lists), F.col("_host").eqNullSafe(F.col("host")), "left")
     else:
@@ -92,7 +123,8 @@ def drop_boilerplate(
         copies = lists.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1)).cast("array<long>")))
         same = F.col("_host").eqNullSafe(F.col("host")) & (F.col("_part") == F.col("_copy"))
         joined = rows.withColumn("_part", part).join(copies, same, "left")
-    kept = F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~F.array_contains(F.col("_drop"), _key(line)))
+    of_slot = lambda key: F.get(F.col("_drop"), _slot(key, F.size("_drop")))
+    kept = F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~F.array_contains(of_slot(_key(line)), _key(line)))
     changed = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
     some_left = F.exists("_kept", lambda line: line.rlike(SHOWN))
     if settings.max_lost < 1:
