@@ -49,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, length in tokens, bucket, padded_length, batch_id, position of all documents."""
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return packing.pack(counted.withColumnRenamed("n_tokens", "length"), ["doc_id", "length"])
+    return packing.pack(counted.withColumnRenamed("n_tokens", "length"), ["doc_id", "length"], packing.Settings(to_rows=True))
 
 
 def _counted(docs: DataFrame) -> DataFrame:

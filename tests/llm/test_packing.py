@@ -59,6 +59,16 @@ def test_batches_fill_the_budget_and_hold_every_row_once(spark):
     assert sum(n for _, n, _ in counts) == 4500
 
 
+def test_long_rows_are_padded_to_rows(spark):
+    """Beyond the exact cells a boundary is the longest row of its bucket, and the plan's padding is that of the rows."""
+    lengths = [10] * 5 + [5001] * 4 + [9001, 9002, 70_001, 70_001]
+    frame = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    packed = packing.pack(frame, ["doc_id"], Settings(buckets=4, to_rows=True)).toPandas()
+    longest = packed.groupby("bucket").length.max()
+    assert longest.tolist() == [10, 5001, 9002, 70_001] and (packed.padded_length == packed.bucket.map(longest)).all()
+    assert packing.plan(frame.select("length"), Settings(buckets=4, to_rows=True)).padding == 1
+
+
 def test_result_does_not_depend_on_partitions(spark):
     frame = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 7 % 90).alias("length"))
     settings = Settings(buckets=4, batch_tokens=300, part_rows=30)

@@ -1,8 +1,9 @@
 """Packing into optimal length buckets, with token-budget batches inside each bucket.
 
-The global histogram of lengths has a bounded number of cells: exact up to FINE, then 256 to each doubling. Dynamic
-programming over the cells finds the bucket boundaries that pad least in total; its cost is exact because a row is padded
-to a boundary, and boundaries are cells. Every bucket is dealt over parts of about ``part_rows`` rows, so that ranks inside
+The global histogram of lengths has a bounded number of cells: exact up to FINE, then 256 to each doubling. With ``to_rows``
+the longest row of a cell stands for it, otherwise its upper grid value, which may exceed all rows. Dynamic programming over
+the cells finds the bucket boundaries that pad least in total; its cost is exact because a row is padded to a boundary, and
+boundaries are cells. Beyond FINE a boundary inside a cell is not considered: a cell is at most 1/256 of its lengths wide. Every bucket is dealt over parts of about ``part_rows`` rows, so that ranks inside
 a bucket come from a window over a part plus the counts of the parts before it: a hot bucket is never in one task.
 
 Defined results: a null length counts as 0; rows of length 0 are padded to the least boundary; a row longer than the budget
@@ -27,6 +28,7 @@ class Settings:
     buckets: int = 16
     batch_tokens: int = 65_536
     part_rows: int = 20_000
+    to_rows: bool = False  # boundaries are lengths of rows, not values of the grid
 
 
 @dataclass(frozen=True)
@@ -106,8 +108,11 @@ def _useless(first: tuple, second: tuple, slope: int, intercept: int) -> bool:
 
 def plan(lengths: DataFrame, settings: Settings = Settings()) -> Plan:
     """The plan for a column ``length`` of non-negative longs."""
-    cells = lengths.groupBy(cell(F.col("length")).alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("total"))
-    return best_boundaries(sorted((r.cell, r.rows, r.total) for r in cells.collect()), settings.buckets)
+    cells = lengths.groupBy(cell(F.col("length")).alias("cell")).agg(
+        F.max("length").alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum("length").alias("total")
+    )
+    ends = ((r.longest if settings.to_rows else r.cell, r.rows, r.total) for r in cells.collect())
+    return best_boundaries(sorted(ends), settings.buckets)
 
 
 def pack(rows: DataFrame, order: list[str], settings: Settings = Settings()) -> DataFrame:

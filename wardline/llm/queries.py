@@ -54,7 +54,7 @@ def op7_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) ->
 
 def op8_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     counted = op3_token_counts(spark, folder, vocabulary).withColumnRenamed("n_tokens", "length")
-    return packing.pack(counted, ["doc_id", "length"])
+    return packing.pack(counted, ["doc_id", "length"], packing.Settings(to_rows=True))
 
 
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
