@@ -57,4 +57,55 @@ FROM scored WHERE units > 0
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_search": OP2, "op9_lines": OP9}
+#: What five filters remove in each of their 120 orders.
+OP12 = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+counted AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+        min(doc_id) OVER (PARTITION BY text) AS first_id
+    FROM doc),
+failed AS (
+    SELECT doc_id, part,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * capitals > 3 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS failed
+    FROM counted),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cell AS (
+    SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, failed),
+orders AS (
+    SELECT '' AS o UNION ALL
+    SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE strpos(o, l) = 0),
+stepped AS (
+    SELECT o AS filter_order, step, o[step] AS letter, o[1:step - 1] AS before
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5),
+each AS (
+    SELECT part, filter_order, step, letter, strpos(failed, letter) > 0 AS fails,
+        length(translate(before, failed, '')) < length(before) AS gone, failed = letter AS alone, n, good, toxic
+    FROM stepped, cell),
+summed AS (
+    SELECT part, filter_order, step, letter,
+        sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM each GROUP BY ALL)
+SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM summed
+"""
+
+#: Equal texts without their separators, the longest original first.
+OP13 = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+    FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    doc_id = first_value(doc_id) OVER best AS kept, text_sha256
+FROM doc WINDOW best AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_search": OP2, "op9_lines": OP9, "op12_filter_audit": OP12, "op13_exact_dedup": OP13}

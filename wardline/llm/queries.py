@@ -1,4 +1,4 @@
-"""The ten registered queries: each applies its operator with production settings to its whole table."""
+"""The registered queries: each applies its operator with production settings to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, lines, outliers, packing, search, secret_scan, simhash, token_counts, toxicity, weak_quality
+from . import bpe, digest_index, filter_audit, lines, outliers, packing, search, secret_scan, simhash, token_counts, toxicity
+from . import weak_quality, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,4 +72,17 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_search": op2_search, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers}
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failed = filter_audit.failures(_table(spark, folder, "documents"))
+    return filter_audit.audit(filter_audit.with_labels(failed, _table(spark, folder, "labels")))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_index.ingest(digest_index.new_index(spark), _table(spark, folder, "documents"), "documents")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_search": op2_search, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_lines": op9_lines, "op10_outliers": op10_outliers, "op11_whitening": op11_whitening, "op12_filter_audit": op12_filter_audit, "op13_exact_dedup": op13_exact_dedup}
