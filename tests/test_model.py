@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,21 +64,66 @@ def test_vocabulary_bounds(docs):
     assert "the" not in {r["term"] for r in rare.collect()}
 
 
+def _with_odd_texts(spark, small):
+    odd = [(-1, ""), (-2, "zz qq"), (-3, "É"), (-4, None), (-5, " \t "), (-6, "the " * 30_000)]
+    return fixtures.documents(spark, small).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+
+
+def _exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_row_local_weights_equal_the_joined_weights(spark, small):
+    documents = _with_odd_texts(spark, small)
+    vocabulary = materialize(tfidf.fit_vocabulary(documents, "doc_id", max_features=3000), "vocabulary")
+    joined = {(r[0], r[1]): r[2] for r in tfidf.joined_weights(documents, vocabulary, "doc_id").collect()}
+    weights = tfidf.tfidf_weights(documents, vocabulary, "doc_id")
+    assert _exchanges(weights) == 0
+    local = {(r[0], r[1]): r[2] for r in weights.collect()}
+    assert set(local) == set(joined) and max(abs(local[k] - joined[k]) for k in joined) < 1e-9
+    vectors = tfidf.with_vectors(documents, tfidf.local_vocabulary(vocabulary)).filter("doc_id < 0").collect()
+    assert {r["doc_id"]: len(r["indices"]) > 0 for r in vectors} == {-1: False, -2: False, -3: False, -4: False, -5: False, -6: True}
+    assert all((r["norm"] > 0) == bool(r["weights"]) for r in vectors)
+
+
 def test_row_local_scores_equal_the_joined_scores(spark, small):
-    documents = fixtures.documents(spark, small).select("doc_id", "text").unionByName(
-        spark.createDataFrame([(-1, ""), (-2, "zz qq"), (-3, "É")], "doc_id bigint, text string")
-    )
+    documents = _with_odd_texts(spark, small)
     vocabulary = materialize(tfidf.fit_vocabulary(documents, "doc_id", max_features=3000), "vocabulary")
     coefficients = _coefficients(vocabulary)
     joined = {
-        (r["doc_id"], r["label"]): r["probability"]
-        for r in linear.linear_scores(documents, vocabulary, coefficients, INTERCEPTS, "doc_id").collect()
+        (r["doc_id"], r["label"]): (r["margin"], r["probability"])
+        for r in linear.joined_scores(documents, vocabulary, coefficients, INTERCEPTS, "doc_id").collect()
     }
-    model = training.local_model(vocabulary, coefficients, INTERCEPTS)
-    local = documents.select("doc_id", F.explode(linear.model_probabilities(spark, model, F.col("text"))).alias("label", "p"))
-    rows = {(r["doc_id"], r["label"]): r["p"] for r in local.collect()}
-    assert set(rows) == set(joined) and len(rows) == 5 * documents.count()
-    assert all(rows[k] == pytest.approx(joined[k], abs=1e-9) for k in rows)
+    model = linear.local_model(vocabulary, coefficients, INTERCEPTS)
+    scores = linear.linear_scores(documents, model, "doc_id")
+    assert _exchanges(scores) == 0
+    local = {(r["doc_id"], r["label"]): (r["margin"], r["probability"]) for r in scores.collect()}
+    assert set(local) == set(joined) and len(local) == 5 * documents.count()
+    assert all(local[k] == pytest.approx(joined[k], abs=1e-9) for k in local)
+    maps = linear.with_probabilities(documents, model, "text").select("doc_id", F.explode_outer("probabilities").alias("label", "p"))
+    assert all(r["p"] == pytest.approx(joined[r["doc_id"], r["label"]][1], abs=1e-9) for r in maps.collect())
+
+
+def test_models_without_terms_and_models_too_large(spark, docs):
+    none = linear.LinearTextModel([], [], np.empty((0, 2)), [0.0, 1.0], ["a", "b"])
+    scored = linear.linear_scores(docs, none, "doc_id").collect()
+    assert len(scored) == 2 * len(TEXTS) and {r["margin"] for r in scored} == {0.0, 1.0}
+    with pytest.raises(ValueError):
+        tfidf.LocalVocabulary(["t"] * (tfidf.MAX_LOCAL_TERMS + 1), np.empty(0))
+    with pytest.raises(ValueError):
+        linear.LinearTextModel([], [], np.empty((linear.MAX_LOCAL_NUMBERS, 2)), [0.0, 1.0], ["a", "b"])
+
+
+def test_scoring_works_on_streams(spark, docs, tmp_path):
+    vocabulary = tfidf.fit_vocabulary(docs, "doc_id")
+    model = linear.local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
+    docs.write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    scored = linear.with_probabilities(arriving, model, "text")
+    query = scored.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    batch = {r["doc_id"]: r["probabilities"] for r in linear.with_probabilities(docs, model, "text").collect()}
+    assert {r["doc_id"]: r["probabilities"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
 
 
 @pytest.fixture(scope="module")
@@ -111,12 +157,12 @@ def test_training_learns_and_reports(run):
 def test_stationary_point_of_the_penalised_loss(spark, run):
     """At the optimum the gradient of C x weighted loss + half squared weights vanishes."""
     coefs = {(r["term"], r["label"]): r["coefficient"] for r in training.coefficient_table(run).collect()}
-    model = training.local_model(run.vocabulary, training.coefficient_table(run), training.intercepts(run))
+    model = linear.local_model(run.vocabulary, training.coefficient_table(run), training.intercepts(run))
     weights = run.selected.class_weight
     train = run.predictions.filter("split = 'test'").select("prompt", "label")  # same rows as train here
     keyed = materialize(train.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
     vectors = tfidf.tfidf_weights(keyed, run.vocabulary, "doc_id", "prompt").collect()
-    p = {r["doc_id"]: (r["label"], r["p"]) for r in keyed.select("doc_id", "label", linear.model_probabilities(spark, model, F.col("prompt")).alias("p")).collect()}
+    p = {r["doc_id"]: (r["label"], r["p"]) for r in linear.with_probabilities(keyed, model, "prompt", "p").collect()}
     terms = {r["term_id"]: r["term"] for r in run.vocabulary.collect()}
     gradient = {}
     for r in vectors:
@@ -136,7 +182,7 @@ def test_save_and_load(spark, run, tmp_path):
     assert model.classes == run.classes
     loaded = model_store.load_classifier(path)
     assert loaded.coefficientMatrix == run.selected.model.coefficientMatrix
-    scored = run.predictions.filter("split = 'test'").withColumn("p", linear.model_probabilities(spark, model, F.col("prompt")))
+    scored = linear.with_probabilities(run.predictions.filter("split = 'test'"), model, "prompt", "p")
     for r in scored.collect():
         assert max(r["p"].values()) == pytest.approx(r["confidence"], abs=1e-9)
     summary = model_store.model_summary(spark, path).first()

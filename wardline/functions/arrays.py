@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` with the value computed once, however often the function names it.
+
+    Spark copies a named expression into every place that names it where it merges projections
+    or pushes a filter below them, also into lambdas that run for every element of an array.
+    """
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
 def inline_rows(

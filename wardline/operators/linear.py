@@ -1,35 +1,34 @@
-"""Linear classification of documents from a long-form coefficient table.
+"""Linear classification of documents.
 
-`linear_scores` is plain joins and sums. `model_probabilities` gives the same numbers
-without moving the text: one Arrow-batched function over a broadcast model.
+A model that executors can hold scores rows where they are (`with_margins`). `joined_scores`
+gives the same numbers from long-form tables by joins, for a model of any size.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
-from collections import Counter
-
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
-
-from ..functions.text import _combining_marks
-from .tfidf import document_terms
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.arrays import bound
+from .tfidf import (
+    MAX_LOCAL_TERMS,
+    LocalVocabulary,
+    document_terms,
+    products,
+    scaled_values,
+    sublinear_factors,
+    total,
+    with_term_counts,
+)
 
 TOP_FEATURES = 30
+MAX_LOCAL_NUMBERS = 20_000_000  # terms x classes of a model that executors hold
 
 
 def softmax(margins: Column) -> Column:
     """Softmax of an array<double>, shifted by its maximum."""
-    top = F.array_max(margins)
-    powers = F.transform(margins, lambda m: F.exp(m - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
-    return F.transform(powers, lambda p: p / total)
+    powers = bound(margins, lambda m: F.transform(m, lambda x: F.exp(x - F.array_max(m))))
+    return bound(powers, lambda p: F.transform(p, lambda x: x / total(p)))
 
 
 def class_coefficients(coefficients: DataFrame, classes) -> DataFrame:
@@ -41,7 +40,17 @@ def class_coefficients(coefficients: DataFrame, classes) -> DataFrame:
     return coefficients.groupBy("term").agg(F.array(*columns).alias("coefs"))
 
 
-def linear_scores(
+def _score_rows(scored: DataFrame, classes, key: str) -> DataFrame:
+    labels = F.array(*[F.lit(name) for name in classes])
+    return scored.select(
+        key,
+        F.inline(F.arrays_zip(labels.alias("label"), "margins", "probabilities")).alias(
+            "label", "margin", "probability"
+        ),
+    )
+
+
+def joined_scores(
     documents: DataFrame,
     vocabulary: DataFrame,
     coefficients: DataFrame,
@@ -73,60 +82,73 @@ def linear_scores(
         ]
     )
     staged = sums.select(key, margins.alias("margins"))
-    scored = staged.select(key, "margins", softmax(F.col("margins")).alias("probabilities"))
-    labels = F.array(*[F.lit(name) for name in classes])
-    return scored.select(
-        key,
-        F.inline(F.arrays_zip(labels.alias("label"), "margins", "probabilities")).alias(
-            "label", "margin", "probability"
-        ),
-    )
+    return _score_rows(staged.select(key, "margins", softmax(F.col("margins")).alias("probabilities")), classes, key)
 
 
 class LinearTextModel:
     """A fitted model small enough for every executor: vocabulary x classes numbers."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, coefs: np.ndarray, intercepts: np.ndarray, classes):
-        self.positions = {term: i for i, term in enumerate(terms)}
-        self.idf = np.asarray(idf, dtype=float)
+        self.vocabulary = LocalVocabulary(list(terms), np.asarray(idf, dtype=float))
         self.coefs = np.asarray(coefs, dtype=float)  # terms x classes
         self.intercepts = np.asarray(intercepts, dtype=float)
         self.classes = tuple(classes)
+        if self.coefs.size > MAX_LOCAL_NUMBERS:
+            raise ValueError(f"a model of {self.coefs.size} numbers is too large to be held; use joined_scores")
 
 
-def model_probabilities(spark: SparkSession, model: LinearTextModel, text: Column) -> Column:
-    """A label->probability map column; row-local, so it also serves streams."""
-    shared = spark.sparkContext.broadcast(
-        (model.positions, model.idf, model.coefs, model.intercepts)
+def local_model(vocabulary: DataFrame, coefficients: DataFrame, biases: dict[str, float]) -> LinearTextModel:
+    """Gather a fitted model on the driver: at most max_features terms x classes."""
+    classes = sorted(biases)
+    wide = vocabulary.join(
+        coefficients.groupBy("term").pivot("label", classes).agg(F.first("coefficient")), "term"
+    )
+    pdf = wide.limit(MAX_LOCAL_TERMS + 1).toPandas().sort_values("term_id")
+    return LinearTextModel(
+        pdf["term"].tolist(),
+        pdf["idf"].to_numpy(),
+        pdf[classes].to_numpy(),
+        np.array([biases[c] for c in classes]),
+        classes,
     )
-    marks = _combining_marks()
-    width = len(model.classes)
-
-    def score(values: pd.Series) -> pd.Series:
-        positions, idf, coefs, intercepts = shared.value
-        drop, words = re.compile(marks).sub, re.compile(r"\w\w+").findall
-        out = []
-        for value in values:
-            margin = intercepts.copy()
-            value = (value or "").lower()
-            if not value.isascii():
-                value = drop("", unicodedata.normalize("NFKD", value))
-            tokens = words(value)
-            counts = Counter(tokens)
-            counts.update(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))
-            known = [(positions[t], n) for t, n in counts.items() if t in positions]
-            if known:
-                ids, tf = (np.array(part) for part in zip(*known))
-                weights = (np.log(tf) + 1.0) * idf[ids]
-                margin += weights @ coefs[ids] / np.sqrt(weights @ weights)
-            powers = np.exp(margin - margin.max())
-            out.append(powers / powers.sum())
-        return pd.Series(out, dtype=object)
-
-    score.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    scores = F.pandas_udf(score, T.ArrayType(T.DoubleType()))(text)
-    assert width > 1
-    return F.map_from_arrays(F.array(*[F.lit(name) for name in model.classes]), scores)
+
+
+def with_margins(rows: DataFrame, model: LinearTextModel, text_col: str, out: str = "margins") -> DataFrame:
+    """Add the class margins of every row's text as an array in class order.
+
+    margin = (sum of raw weight x coefficient) / norm + intercept. Counts meet idf and the
+    coefficients of each class as scalings of one sparse vector: no join, no shuffle, no Python.
+    """
+    idf = model.vocabulary.idf
+    scaling = {"_m_idf": idf} | {f"_m_{i}": idf * model.coefs[:, i] for i in range(len(model.classes))}
+    counted = with_term_counts(rows, model.vocabulary.terms, text_col, "_m_counts")
+    counted = scaled_values(counted, "_m_counts", scaling)
+    values = F.struct(
+        sublinear_factors(F.unwrap_udt(F.col("_m_counts"))["values"]).alias("factors"), *scaling
+    )
+
+    def margins(row: Column) -> Column:
+        raw = products(row["factors"], row["_m_idf"])
+        norm = F.sqrt(total(F.transform(raw, lambda w: w * w)))
+        dots = F.array(*[total(products(row["factors"], row[name])) for name in list(scaling)[1:]])
+        unbiased = bound(norm, lambda n: F.transform(dots, lambda dot: F.when(n > 0, dot / n).otherwise(F.lit(0.0))))
+        return F.zip_with(unbiased, F.array(*[F.lit(float(b)) for b in model.intercepts]), lambda a, b: a + b)
+
+    return counted.withColumn(out, bound(values, margins)).drop("_m_counts", *scaling)
+
+
+def with_probabilities(rows: DataFrame, model: LinearTextModel, text_col: str, out: str = "probabilities") -> DataFrame:
+    """Add a label->probability map; row-local, so it also serves streams."""
+    scored = with_margins(rows, model, text_col, "_m_margins").withColumn("_m_softmax", softmax(F.col("_m_margins")))
+    names = F.array(*[F.lit(name) for name in model.classes])
+    return scored.withColumn(out, F.map_from_arrays(names, F.col("_m_softmax"))).drop("_m_margins", "_m_softmax")
+
+
+def linear_scores(documents: DataFrame, model: LinearTextModel, key: str, text_col: str = "text") -> DataFrame:
+    """Class scores per document in long form: (key, label, margin, probability)."""
+    scored = with_margins(documents.select(key, text_col), model, text_col)
+    scored = scored.select(key, "margins", softmax(F.col("margins")).alias("probabilities"))
+    return _score_rows(scored, model.classes, key)
 
 
 def top_features(coefficients: DataFrame, n: int = TOP_FEATURES) -> DataFrame:

@@ -1,19 +1,28 @@
-"""TF-IDF over word unigrams and bigrams, in long form.
+"""TF-IDF over word unigrams and bigrams.
 
-A document's terms are counted inside its own row (sort, then run lengths), so term
-statistics need one shuffle, on the term, with map-side combining; no shuffle by document.
+A document's terms are counted inside its own row, so term statistics need one shuffle, on the
+term, with map-side combining. Vectors are row-local too: a vocabulary held by every executor
+turns a row's terms into its weights, without a shuffle by document (`with_vectors`). The join
+form (`joined_weights`) gives the same numbers for a vocabulary too large to be held.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import inline_rows
+from ..functions.arrays import bound, inline_rows
 from ..functions.text import fold_accents, with_bigrams, word_tokens
 
 MIN_DOCUMENTS = 2
 MAX_DOCUMENT_SHARE = 0.995
 MAX_FEATURES = 60_000
+MAX_LOCAL_TERMS = 2_000_000  # a vocabulary beyond this size takes the join form
+_VECTOR = "_tfidf_"  # prefix of working columns
 
 
 def _run_lengths(terms: Column) -> Column:
@@ -128,8 +137,8 @@ def document_vectors(weighted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def tfidf_weights(documents: DataFrame, vocabulary: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """L2-normalised weights in long form: (key, term_id, weight)."""
+def joined_weights(documents: DataFrame, vocabulary: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """L2-normalised weights in long form by joins: (key, term_id, weight)."""
     weighted = raw_weights(document_terms(documents, key, text_col), vocabulary, key)
     vectors = document_vectors(weighted, key)
     zipped = vectors.select(
@@ -138,6 +147,96 @@ def tfidf_weights(documents: DataFrame, vocabulary: DataFrame, key: str, text_co
     return inline_rows(zipped, "cells", ["term_id", "weight"], [key])
 
 
+@dataclass(frozen=True)
+class LocalVocabulary:
+    """A vocabulary small enough for every executor: terms in ``term_id`` order and their idf."""
+
+    terms: list[str]
+    idf: np.ndarray
+
+    def __post_init__(self):
+        if len(self.terms) > MAX_LOCAL_TERMS:
+            raise ValueError(f"a vocabulary of {len(self.terms)} terms is too large to be held; use joined_weights")
+
+
+def local_vocabulary(vocabulary: DataFrame) -> LocalVocabulary:
+    """Gather a fitted vocabulary: at most its max_features rows."""
+    rows = vocabulary.select("term_id", "term", "idf").limit(MAX_LOCAL_TERMS + 1).toPandas().sort_values("term_id")
+    return LocalVocabulary(rows["term"].tolist(), rows["idf"].to_numpy(dtype=float))
+
+
+def _count_model(rows: DataFrame, terms: list[str]) -> CountVectorizerModel:
+    """`CountVectorizerModel.from_vocabulary`, which sends the JVM one term a call, by one call.
+
+    An empty vocabulary is no model; a blank is no term of any text, and no term has a line break.
+    """
+    split = rows.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile("\n").split
+    return CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", split("\n".join(terms or [" "]))
+    )
+
+
+def with_term_counts(rows: DataFrame, terms: list[str], text_col: str, out: str) -> DataFrame:
+    """Add the sparse vector of known terms' counts; narrow, batch or stream."""
+    listed = rows.withColumn(f"{_VECTOR}folded", fold_accents(F.coalesce(F.col(text_col), F.lit(""))))
+    listed = listed.withColumn(f"{_VECTOR}words", word_tokens(F.col(f"{_VECTOR}folded")))
+    listed = listed.withColumn(f"{_VECTOR}terms", with_bigrams(F.col(f"{_VECTOR}words")))
+    counter = _count_model(listed, terms).setInputCol(f"{_VECTOR}terms").setOutputCol(out)
+    return counter.transform(listed).drop(f"{_VECTOR}folded", f"{_VECTOR}words", f"{_VECTOR}terms")
+
+
+def scaled_values(rows: DataFrame, vector_col: str, scaling: dict[str, np.ndarray]) -> DataFrame:
+    """Add, for every name, the vector's values times the scaling at their indices, in index order.
+
+    A vector keeps an entry whose scaling is zero, so all arrays of a row are parallel.
+    """
+    for name, factors in scaling.items():
+        scaling_vector = Vectors.dense(factors if len(factors) else [0.0])
+        product = ElementwiseProduct(scalingVec=scaling_vector, inputCol=vector_col, outputCol=f"{name}_vector")
+        rows = product.transform(rows)
+    arrays = {name: F.unwrap_udt(F.col(f"{name}_vector"))["values"] for name in scaling}
+    return rows.withColumns(arrays).drop(*[f"{name}_vector" for name in scaling])
+
+
+def sublinear_factors(counts: Column) -> Column:
+    """What makes a count's product with anything that of 1 + ln(count)."""
+    return F.transform(counts, lambda tf: (F.log(tf) + 1.0) / tf)
+
+
+def products(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: a * b)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def with_vectors(rows: DataFrame, vocabulary: LocalVocabulary, text_col: str = "text") -> DataFrame:
+    """Add ``indices`` and ``weights`` (parallel, unit length) and ``norm`` of every row's text.
+
+    Row-local from end to end, so it serves batches and streams. A null, empty or unknown text
+    has empty arrays and norm 0.
+    """
+    counted = with_term_counts(rows, vocabulary.terms, text_col, f"{_VECTOR}counts")
+    counted = scaled_values(counted, f"{_VECTOR}counts", {f"{_VECTOR}idf": vocabulary.idf})
+    found = F.unwrap_udt(F.col(f"{_VECTOR}counts"))
+    staged = counted.withColumns(
+        {"indices": found["indices"], f"{_VECTOR}raw": products(sublinear_factors(found["values"]), F.col(f"{_VECTOR}idf"))}
+    )
+    raw = F.col(f"{_VECTOR}raw")
+    norm = F.sqrt(total(F.transform(raw, lambda w: w * w)))
+    unit = bound(norm, lambda n: F.transform(raw, lambda w: w / n))
+    staged = staged.withColumns({"norm": norm, "weights": unit})
+    return staged.drop(f"{_VECTOR}counts", f"{_VECTOR}idf", f"{_VECTOR}raw")
+
+
+def tfidf_weights(documents: DataFrame, vocabulary: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """L2-normalised weights in long form: (key, term_id, weight); no shuffle by document."""
+    vectors = with_vectors(documents.select(key, text_col), local_vocabulary(vocabulary), text_col)
+    zipped = vectors.select(key, F.arrays_zip(F.col("indices").alias("term_id"), F.col("weights").alias("weight")).alias("cells"))
+    return inline_rows(zipped, "cells", ["term_id", "weight"], [key])
+
+
 def matrix_stats(weighted: DataFrame) -> DataFrame:
     """Nonzero values of the document-term matrix and the terms in use."""
     return weighted.agg(F.count(F.lit(1)).alias("nonzero"), F.count_distinct("term_id").alias("terms_used"))

@@ -18,7 +18,7 @@ from ..streaming import jobs
 from . import fixtures
 from .preparation import preparation_report
 from .scoring import classify_prompts
-from .training import TrainSettings, local_model
+from .training import TrainSettings
 from .training import train_and_evaluate as fit_and_evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,44 +611,39 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return weights.select("doc_id", "term_id", F.round("weight", 9).alias("weight"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = tfidf.local_vocabulary(_vocabulary(spark, d))
+    return tfidf.with_vectors(fixtures.documents(spark, d).select("doc_id", "text"), vocabulary).filter(F.size("indices") > 0)
+
+
 @query
 def document_norms(spark: SparkSession, d: str) -> DataFrame:
-    terms = tfidf.document_terms(fixtures.documents(spark, d), "doc_id")
-    weighted = tfidf.raw_weights(terms, _vocabulary(spark, d), "doc_id")
-    norms = weighted.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("nonzero"),
-        F.sqrt(F.sum(F.col("raw_weight") * F.col("raw_weight"))).alias("norm"),
-    )
-    return norms.withColumn("norm", F.round("norm", 6))
+    return _vectors(spark, d).select("doc_id", F.size("indices").cast("long").alias("nonzero"), F.round("norm", 6).alias("norm"))
 
 
 @query
 def matrix_stats(spark: SparkSession, d: str) -> DataFrame:
-    terms = tfidf.document_terms(fixtures.documents(spark, d), "doc_id")
-    return tfidf.matrix_stats(tfidf.raw_weights(terms, _vocabulary(spark, d), "doc_id"))
+    return tfidf.matrix_stats(_vectors(spark, d).select(F.explode("indices").alias("term_id")))
+
+
+def _stand_in_model(spark: SparkSession, d: str) -> linear.LinearTextModel:
+    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")
+    return linear.local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
 
 
 @query
 def linear_scores(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")  # serves two sides of a join
-    scores = linear.linear_scores(
-        fixtures.documents(spark, d), vocabulary, _coefficients(vocabulary), INTERCEPTS, "doc_id"
-    )
+    scores = linear.linear_scores(fixtures.documents(spark, d), _stand_in_model(spark, d), "doc_id")
     return scores.select(
         "doc_id", "label", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability")
     )
 
 
-def _stand_in_model(spark: SparkSession, d: str) -> linear.LinearTextModel:
-    vocabulary = materialize(_vocabulary(spark, d), "vocabulary")
-    return local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
-
-
 @query
 def model_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores without moving the text: one row-local function over a broadcast model."""
-    p = linear.model_probabilities(spark, _stand_in_model(spark, d), F.col("text"))
-    scored = fixtures.documents(spark, d).select("doc_id", p.alias("p"))
+    """The probabilities as the scoring path carries them: a map per prompt."""
+    docs = fixtures.documents(spark, d).select("doc_id", "text")
+    scored = linear.with_probabilities(docs, _stand_in_model(spark, d), "text", "p")
     return scored.select("doc_id", F.explode_outer("p").alias("label", "probability")).withColumn(
         "probability", F.round("probability", 6)
     )

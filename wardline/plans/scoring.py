@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.admission import accepted
 from ..operators.hybrid import analyze, ranked_probabilities
-from ..operators.linear import LinearTextModel, model_probabilities
+from ..operators.linear import LinearTextModel, with_probabilities
 from ..sources.rules import RULES
 
 
-def with_probabilities(prompts: DataFrame, model: LinearTextModel, text_col: str = "prompt") -> DataFrame:
-    return prompts.withColumn(
-        "probabilities", model_probabilities(prompts.sparkSession, model, F.col(text_col))
-    )
-
-
 def classify_prompts(prompts: DataFrame, model: LinearTextModel, keep=()) -> DataFrame:
     """Model verdict per prompt: best class, its probability, all classes ranked (six decimals)."""
-    scored = with_probabilities(prompts, model)
+    scored = with_probabilities(prompts, model, "prompt")
     ranked = scored.select(*keep, "prompt", ranked_probabilities(F.col("probabilities")).alias("ranked"))
     best = F.get("ranked", F.lit(0))
     return ranked.select(
@@ -38,4 +32,4 @@ def analyze_prompts(
     Row-local throughout: batches and streams alike, no shuffle. `admission.rejected` with
     the same ``max_chars`` gives the prompts left out.
     """
-    return analyze(with_probabilities(accepted(prompts, max_chars=max_chars), model), rules, keep=keep)
+    return analyze(with_probabilities(accepted(prompts, max_chars=max_chars), model, "prompt"), rules, keep=keep)

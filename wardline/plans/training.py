@@ -14,7 +14,6 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import evaluate, tfidf
-from ..operators.linear import LinearTextModel
 from ..session import materialize, new_table_path
 
 CANDIDATES = ("balanced", "sqrt_balanced")
@@ -73,22 +72,18 @@ def _sparse_struct(size: Column, indices: Column, values: Column) -> Column:
     )
 
 
-def feature_table(rows: DataFrame, vocabulary: DataFrame, key: str, text_col: str, keep) -> DataFrame:
+def feature_table(rows: DataFrame, vocabulary: tfidf.LocalVocabulary, text_col: str, keep) -> DataFrame:
     """``keep`` columns plus an ML ``features`` vector for every row, written to the shared folder.
 
-    Vectors are assembled by built-in functions as the struct an ML vector is stored as, and
-    read back under the vector type: no Python per row, and the iterative fit that follows
-    starts from a table instead of a lineage.
+    Vectors are made in the row by built-in functions, as the struct an ML vector is stored as,
+    and read back under the vector type: no shuffle, no Python per row, and the iterative fit
+    that follows starts from a table instead of a lineage.
     """
     spark = rows.sparkSession
-    width = vocabulary.agg(F.count(F.lit(1))).first()[0]
-    weighted = tfidf.raw_weights(tfidf.document_terms(rows, key, text_col), vocabulary, key)
-    vectors = tfidf.document_vectors(weighted, key)
-    joined = rows.select(*keep).join(vectors.select(key, "indices", "values"), key, "left")
+    vectors = tfidf.with_vectors(rows.select(*keep, text_col), vocabulary, text_col)
+    width = F.lit(max(1, len(vocabulary.terms)))
     path = new_table_path(spark, "features")
-    joined.select(
-        *keep, _sparse_struct(F.lit(width), F.col("indices"), F.col("values")).alias("features")
-    ).write.parquet(path)
+    vectors.select(*keep, _sparse_struct(width, F.col("indices"), F.col("weights")).alias("features")).write.parquet(path)
     fields = [rows.schema[c] for c in keep] + [T.StructField("features", VectorUDT())]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
@@ -159,9 +154,8 @@ def train_and_evaluate(
         ),
         "vocabulary",
     )
-    features = feature_table(
-        rows, vocabulary, "row_id", "prompt", ["row_id", "label", "source_dataset", "split"]
-    )
+    local = tfidf.local_vocabulary(vocabulary)
+    features = feature_table(rows, local, "prompt", ["row_id", "label", "source_dataset", "split"])
     train_features = features.filter("split = 'train'")
     nonzero = train_features.agg(
         F.coalesce(F.sum(F.size(F.unwrap_udt("features")["indices"])), F.lit(0))
@@ -229,22 +223,6 @@ def intercepts(run: TrainingRun) -> dict[str, float]:
     return dict(zip(run.classes, (float(v) for v in run.selected.model.interceptVector)))
 
 
-def local_model(vocabulary: DataFrame, coefficients: DataFrame, biases: dict[str, float]) -> LinearTextModel:
-    """Gather a fitted model on the driver: at most max_features terms x classes."""
-    classes = sorted(biases)
-    wide = vocabulary.join(
-        coefficients.groupBy("term").pivot("label", classes).agg(F.first("coefficient")), "term"
-    ).orderBy("term_id")
-    pdf = wide.toPandas()
-    return LinearTextModel(
-        pdf["term"].tolist(),
-        pdf["idf"].to_numpy(),
-        pdf[classes].to_numpy(),
-        np.array([biases[c] for c in classes]),
-        classes,
-    )
-
-
 def evaluation_tables(run: TrainingRun, split: str) -> dict[str, DataFrame]:
     """The five evaluation outputs of one split."""
     rows = run.predictions.filter(F.col("split") == split).drop("split")

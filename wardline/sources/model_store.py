@@ -6,12 +6,11 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..labels import LABELS
-from ..operators.linear import LinearTextModel, top_features
+from ..operators.linear import LinearTextModel, local_model, top_features
 from ..plans.training import (
     TrainingRun,
     coefficient_table,
     intercepts,
-    local_model,
     metadata_row,
     write_evaluation,
 )
@@ -53,7 +52,7 @@ def load_bundle(spark: SparkSession, path: str) -> dict:
 
 
 def load_model(spark: SparkSession, path: str) -> LinearTextModel:
-    """The saved model, ready for `linear.model_probabilities`."""
+    """The saved model, ready for `linear.with_probabilities`."""
     bundle = load_bundle(spark, path)
     return local_model(
         spark.read.parquet(f"{path}/vocabulary"),
