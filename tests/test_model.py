@@ -175,6 +175,31 @@ def test_stationary_point_of_the_penalised_loss(spark, run):
     assert residual < 0.05 * max(abs(v) for v in gradient.values())
 
 
+def test_certificate_is_the_gradient_of_the_objective(spark, run):
+    """Objective and gradient norm against numpy over the same feature table."""
+    local = tfidf.local_vocabulary(run.vocabulary)
+    rows = run.predictions.filter("split = 'test'").select("prompt", "label")  # same rows as train here
+    table = training.feature_table(rows, local, "prompt", ["label"])
+    collected = table.collect()
+    x = np.array([r["features"].toArray() for r in collected])
+    y = np.array([[r["label"] == c for c in run.classes] for r in collected], float)
+    for candidate in run.candidates:
+        weight = np.array([candidate.class_weight[r["label"]] for r in collected])
+        found = training.certify(candidate.model, table, run.classes, candidate.class_weight, 2.0)
+        w, b = candidate.model.coefficientMatrix.toArray(), candidate.model.interceptVector.toArray()
+        for w, b, objective, gradient in ((w, b, found.objective, found.gradient), (0 * w, 0 * b, found.start_objective, found.start_gradient)):
+            margin = x @ w.T + b
+            p = np.exp(margin - margin.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            assert objective == pytest.approx(2.0 * -(weight * np.log((p * y).sum(1))).sum() + 0.5 * (w * w).sum(), rel=1e-9)
+            residual = weight[:, None] * (p - y)
+            slopes = np.vstack([2.0 * (x.T @ residual) + w.T, 2.0 * residual.sum(0)])
+            assert gradient == pytest.approx(np.linalg.norm(slopes), rel=1e-6)
+        assert found.ratio < training.GRADIENT_BOUND and found.objective < found.start_objective
+        assert found.ratio == pytest.approx(candidate.certificate.ratio, rel=1e-6)
+    assert run.certified and run.best_is_selected
+
+
 def test_save_and_load(spark, run, tmp_path):
     path = str(tmp_path / "model")
     model_store.save_run(run, path)

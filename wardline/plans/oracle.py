@@ -582,6 +582,23 @@ ORACLE_SQL["top_features"] = TERMS + VOCAB + COEFS + (
     "(SELECT *, row_number() OVER (PARTITION BY label ORDER BY coefficient DESC, term) AS rank FROM coefs) WHERE rank <= 30"
 )
 
+# The labelled part of the corpus alone, split; then the facts of a training run on it.
+LABELLED_CORPUS = CORPUS.replace(
+    CORPUS[CORPUS.index("  UNION ALL SELECT") : CORPUS.index("),\nrelabeled AS")], ""
+)
+TRAIN_TERMS = TERMS.replace("WITH tok AS", ", tok AS").replace("FROM documents)", "FROM train_docs)", 1)
+ORACLE_SQL["train_and_evaluate"] = LABELLED_CORPUS + SPLITS + (
+    ", train_docs AS (SELECT prompt_key AS doc_id, prompt AS text FROM assigned WHERE split = 'train') "
+    + TRAIN_TERMS
+    + ", classes AS (SELECT label, count(*) AS n FROM assigned WHERE split = 'train' GROUP BY label), "
+    "held_out AS (SELECT label, count(*) AS n FROM assigned WHERE split <> 'train' GROUP BY label) "
+    f"SELECT label, round({BALANCED.replace('n)', 'c.n)')}, 9) AS balanced, round(sqrt({BALANCED.replace('n)', 'c.n)')}), 9) AS sqrt_balanced, "
+    "coalesce(h.n, 0) AS held_out_rows, "
+    + ", ".join(f"(SELECT count(*) FROM assigned WHERE split = '{name}') AS {name}_rows" for name in ("train", "validation", "test"))
+    + f", (SELECT least({MAX_FEATURES}, count(*)) FROM stats WHERE df >= 2 AND df <= 0.995e0 * (SELECT count(*) FROM train_docs)) AS vocabulary_size, "
+    "true AS converged, true AS gradient_is_small, true AS best_is_selected FROM classes c LEFT JOIN held_out h USING (label)"
+)
+
 # --- history and streams ------------------------------------------------------------------
 
 LOG = (

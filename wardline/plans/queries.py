@@ -665,14 +665,28 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def train_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    """Fit both weightings on the labelled documents and report the selected one's metrics."""
+    """Fit both weightings on the labelled documents; what is determined about the run, whatever the optimizer did.
+
+    One row a class: rows of the three splits, vocabulary, class weights, and whether the fits converged, their gradients
+    on the whole training set are small, and the better one was selected.
+    """
     working = corpus.with_identity(corpus.relabel_safe_attacks(fixtures.labelled_corpus(spark, d)))
     assigned = materialize(split.assign_splits(corpus.keep_first(working)), "labelled")
     parts = [assigned.filter(F.col("split") == name) for name in split.SPLITS]
     run = fit_and_evaluate(*parts, settings=TrainSettings())
-    scores = evaluate.overall_metrics(evaluate.confusion_counts(run.predictions, ["split"]), ["split"])
-    return scores.withColumns(
-        {"selected_candidate": F.lit(run.selected.name), "vocabulary_size": F.lit(run.selected.model.numFeatures), "converged": F.lit(run.converged)}
+    weights = {c.name: c.class_weight for c in run.candidates}
+    rows = [(name, weights["balanced"][name], weights["sqrt_balanced"][name]) for name in run.classes]
+    table = spark.createDataFrame(rows, "label string, balanced double, sqrt_balanced double")
+    scored = run.predictions.groupBy("label").agg(F.count(F.lit(1)).alias("held_out_rows"))
+    facts = {f"{name}_rows": F.lit(run.split_rows.get(name, 0)).cast("long") for name in split.SPLITS}
+    return _rounded(table, "balanced", "sqrt_balanced").join(scored, "label", "left").fillna(0, ["held_out_rows"]).withColumns(
+        {
+            **facts,
+            "vocabulary_size": F.lit(run.vocabulary.count()).cast("long"),
+            "converged": F.lit(run.converged),
+            "gradient_is_small": F.lit(run.certified),
+            "best_is_selected": F.lit(run.best_is_selected),
+        }
     )
 
 
