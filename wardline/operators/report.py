@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-import textwrap
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import inline_rows
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..functions.wrap import wrap
 
 # Wrap widths.
 EVIDENCE_WIDTH = 92
@@ -19,21 +13,13 @@ TEXT_WIDTH = 94
 TITLE = "Prompt Security Analysis Report"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def wrap_blocks(blocks: pd.Series, widths: pd.Series) -> pd.Series:
+def wrap_blocks(blocks: Column) -> Column:
     """Wrap each block at its width; width 0 keeps the block as one line."""
-
-    def lines(text: str, width: int) -> list[str]:
-        if width == 0:
-            return [text]
-        return textwrap.wrap(text, int(width))
-
-    return pd.Series(
-        [
-            [line for text, width in zip(texts, limits) for line in lines(text, width)]
-            for texts, limits in zip(blocks, widths)
-        ],
-        dtype=object,
+    return F.flatten(
+        F.transform(
+            blocks,
+            lambda block: F.when(block["width"] == 0, F.array(block["text"])).otherwise(wrap(block["text"], block["width"])),
+        )
     )
 
 
@@ -106,9 +92,7 @@ def report_blocks(analyses: DataFrame, key: str = "id", title: str = TITLE) -> D
 def report_lines(analyses: DataFrame, key: str = "id", title: str = TITLE, max_lines: int | None = None) -> DataFrame:
     """One row per report line: (key, line_no from 0, line); with ``max_lines`` the first lines of each report."""
     laid_out = report_blocks(analyses, key, title)
-    wrapped = laid_out.select(
-        key, wrap_blocks(F.col("blocks.text"), F.col("blocks.width")).alias("lines")
-    )
+    wrapped = laid_out.select(key, wrap_blocks(F.col("blocks")).alias("lines"))
     shown = F.col("lines") if max_lines is None else F.slice("lines", 1, max_lines)
     numbered = F.transform(
         shown, lambda line, i: F.struct(i.cast("int").alias("line_no"), line.alias("line"))

@@ -653,3 +653,71 @@ ORACLE_SQL["report_blocks"] = scored(ADMITTED) + mitigation_ctes() + explanation
 SELECT doc_id::VARCHAR AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, item, text <> '') - 1)::INTEGER AS block_no,
   text, width::INTEGER AS width FROM part
 """
+
+# Blocks wrapped greedily, a line a round. Pieces are told apart by a mark: words end at blanks, after a hyphen between
+# letters, and around dashes. RE2 cannot look around, so hyphenated words are cut by a test at each of their positions.
+_MARK = "chr(1)"
+_LT, _WP, _WD = r"[\p{L}\p{Nl}\p{No}_]", r"[\p{L}\p{N}_!\x22''&.,?]", r"[\p{L}\p{N}_]"
+_CUT_AFTER = f"""(
+  regexp_matches(substr(w, 1, i), '({_LT}{_LT}|{_LT}-{_WP})-$') AND regexp_matches(substr(w, i + 1), '^{_LT}-?{_LT}')
+  OR regexp_matches(substr(w, 1, i), '{_WP}$') AND regexp_matches(substr(w, i + 1), '^--+{_WD}')
+  OR regexp_matches(substr(w, 1, i), '{_WP}--+$') AND regexp_matches(substr(w, i + 1), '^{_WD}'))"""
+_CUT_WORD = (
+    "CASE WHEN contains(w, '-') THEN list_aggregate(list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 1) || "
+    f"CASE WHEN i < length(w) AND {_CUT_AFTER} THEN {_MARK} ELSE '' END), 'string_agg', '') ELSE w END"
+)
+_NO_TABS = (
+    "CASE WHEN contains(text, chr(9)) THEN array_to_string(list_transform(regexp_split_to_array(text, '[\\n\\r]'), "
+    "lambda line: array_to_string(list_transform(string_split(line, chr(9)), lambda cell, n: "
+    "CASE WHEN n < len(string_split(line, chr(9))) THEN cell || repeat(' ', 8 - length(cell) % 8) ELSE cell END), '')), ' ') "
+    "ELSE text END"
+)
+
+
+def _blank(x: str) -> str:
+    return f"NOT regexp_matches({x}, '[^{WS[1:-1]}]')"
+
+
+ORACLE_SQL["report_lines"] = ORACLE_SQL["report_blocks"].replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "SELECT doc_id::VARCHAR AS id, (row_number()", ", blocks AS (SELECT doc_id::VARCHAR AS id, (row_number()"
+) + f"""),
+flat AS (SELECT id, block_no, width, regexp_replace({_NO_TABS}, '[\\t\\n\\x0b\\x0c\\r]', ' ', 'g') AS text FROM blocks WHERE width > 0),
+marked AS (
+  SELECT id, block_no, width, array_to_string(list_transform(regexp_extract_all(text, ' +|[^ ]+'), lambda w: {_CUT_WORD}), {_MARK}) AS rest
+  FROM flat),
+wrapped AS (
+  SELECT id, block_no, width, 0 AS line_no, rest, NULL::VARCHAR AS line, false AS any_line FROM marked
+  UNION ALL
+  SELECT id, block_no, width, line_no + 1,
+    CASE WHEN next_is_long THEN substr(after, piece_end + 1) ELSE after END,
+    CASE WHEN next_is_long THEN head || CASE WHEN {_blank("substr(after, 1, piece_end)")} THEN '' ELSE substr(after, 1, piece_end) END
+      ELSE array_to_string(shown, '') END,
+    any_line OR (CASE WHEN next_is_long THEN head || CASE WHEN {_blank("substr(after, 1, piece_end)")} THEN '' ELSE substr(after, 1, piece_end) END
+      ELSE array_to_string(shown, '') END) <> ''
+  FROM (
+    SELECT *, CASE WHEN length(upcoming) > space AND hyphen > 1 AND regexp_matches(substr(upcoming, 1, hyphen - 1), '[^-]')
+        THEN hyphen ELSE space END AS piece_end
+    FROM (
+      SELECT *,
+        CASE WHEN contains(substr(upcoming, 1, space), '-') THEN space - instr(reverse(substr(upcoming, 1, space)), '-') + 1 ELSE 0 END AS hyphen
+      FROM (
+        SELECT *, length(upcoming) > width AS next_is_long, width - length(head) AS space,
+          CASE WHEN k > 0 AND {_blank("cells[k]")} THEN cells[1:k - 1] ELSE cells[1:k] END AS shown
+        FROM (
+          SELECT *, CASE WHEN contains(after, {_MARK}) THEN substr(after, 1, instr(after, {_MARK}) - 1) ELSE after END AS upcoming
+          FROM (
+            SELECT *, array_to_string(cells[1:k], '') AS head,
+              substr(begun, length(array_to_string(cells[1:k], {_MARK})) + CASE WHEN k > 0 THEN 2 ELSE 1 END) AS after
+            FROM (
+              SELECT *, len(list_filter(range(1, len(cells) + 1), lambda n: list_sum(list_transform(cells[1:n], lambda c: length(c))) <= width)) AS k
+              FROM (
+                SELECT *, string_split(substr(begun, 1, 2 * width + 2), {_MARK}) AS cells
+                FROM (
+                  SELECT * REPLACE (NULL AS line), CASE WHEN any_line AND {_blank(f"string_split(substr(rest, 1, 2 * width + 2), {_MARK})[1]")}
+                    THEN CASE WHEN contains(rest, {_MARK}) THEN substr(rest, instr(rest, {_MARK}) + 1) ELSE '' END ELSE rest END AS begun
+                  FROM wrapped WHERE rest <> ''))))))))),
+every_line AS (
+  SELECT id, block_no, 0 AS line_no, text AS line FROM blocks WHERE width = 0
+  UNION ALL SELECT id, block_no, line_no, line FROM wrapped WHERE line <> '')
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY block_no, line_no) - 1)::INTEGER AS line_no, line FROM every_line
+"""

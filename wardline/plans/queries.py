@@ -237,19 +237,22 @@ def analysis_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Records ready for reports; written first, as the blocks name every field several times and the scoring
+    expressions must not be copied into each."""
+    records = _records(spark, d).withColumn("generated_at", F.lit("2024-01-31 00:00:00"))
+    return materialize(records.withColumn("id", F.col("doc_id").cast("string")), "records")
+
+
 @query
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d).withColumn("generated_at", F.lit("2024-01-31 00:00:00"))
-    return report.report_lines(records.withColumn("id", F.col("doc_id").cast("string")))
+    return report.report_lines(_reports(spark, d))
 
 
 @query
 def report_blocks(spark: SparkSession, d: str) -> DataFrame:
     """What a report says before its lines are wrapped: blocks in order with their width."""
-    records = _records(spark, d).withColumn("generated_at", F.lit("2024-01-31 00:00:00"))
-    # Written first: the blocks name every field several times, and the scoring expressions must not be copied into each.
-    records = materialize(records.withColumn("id", F.col("doc_id").cast("string")), "records")
-    return report.report_blocks(records).select("id", F.posexplode("blocks").alias("block_no", "block")).select(
+    return report.report_blocks(_reports(spark, d)).select("id", F.posexplode("blocks").alias("block_no", "block")).select(
         "id", "block_no", "block.text", "block.width"
     )
 
