@@ -57,6 +57,18 @@ def test_vocabulary_and_weights(docs):
     assert all(got[k] == pytest.approx(weights[k]) for k in got)
 
 
+def test_numbering_by_ranges(spark):
+    """Many range partitions, of different sizes, number like one sorted list; nothing gathers the terms."""
+    terms = sorted({f"{chr(97 + i % 7)}{i * i % 1009}" for i in range(4000)})
+    kept = spark.createDataFrame([(t, 1, 1, 1.0) for t in reversed(terms)], "term string, df long, tf long, idf double")
+    numbered = tfidf.number_terms(kept)
+    assert [r["term"] for r in numbered.orderBy("term_id").collect()] == terms
+    assert sorted(r["term_id"] for r in numbered.collect()) == list(range(len(terms)))
+    assert tfidf.number_terms(kept.limit(0)).count() == 0
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_vocabulary_bounds(docs):
     capped = tfidf.fit_vocabulary(docs, "doc_id", max_features=2).collect()
     assert {r["term"] for r in capped} == {"the", "cat"}

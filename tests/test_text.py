@@ -49,6 +49,22 @@ def test_fold_accents_and_tokens(spark):
         assert grams == words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def test_both_routes_agree_and_ascii_stays_in_the_jvm(spark):
+    every_ascii = "".join(map(chr, range(128)))
+    values = [every_ascii, "Plain ASCII Text", None, "", "\x00A", *TRICKY]
+    got = _apply(spark, values, text.normalize_prompt(F.col("x")), text.fold_accents(F.col("x")), text.casefold(F.col("x")))
+    for value, (normalized, folded, cased) in zip(values, got):
+        if value is None:
+            assert (normalized, folded, cased) == (None, None, None)
+            continue
+        assert normalized == " ".join(value.split()).casefold() and cased == value.casefold()
+        assert folded == "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
+    frame = spark.createDataFrame([(v,) for v in values], "x string")
+    plan = frame.select(text.fold_accents(F.col("x")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    # What the Python node reads is the text or null, by the test for ASCII.
+    assert "ArrowEvalPython [fold(CASE WHEN NOT (octet_length(x" in plan or "fold(_" in plan and "CASE WHEN NOT (octet_length(x" in plan
+
+
 def test_round_even_and_percent(spark):
     frame = spark.createDataFrame([(2.5,), (3.5,), (0.5,), (34.5,)], "v double")
     assert [r[0] for r in frame.select(text.round_even(F.col("v"), 0)).collect()] == [2.0, 4.0, 0.0, 34.0]

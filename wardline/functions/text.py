@@ -1,7 +1,7 @@
 """Text functions on columns.
 
-Everything stays in JVM expressions except full case folding and accent removal,
-which Spark SQL lacks: those are two Arrow-batched pandas UDFs.
+Everything stays in JVM expressions except full case folding and accent removal of texts
+beyond ASCII, which Spark SQL lacks: those are two Arrow-batched pandas UDFs.
 """
 
 from __future__ import annotations
@@ -49,14 +49,27 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(text, f"{WHITESPACE}+", " ")
 
 
+def _routed(raw: Column, prepared: Column, fold) -> Column:
+    """``fold`` of the prepared text: lower case in the JVM where the raw text is ASCII, the function elsewhere.
+
+    On ASCII both agree. The function sees null in place of an ASCII text, so none of those leaves the JVM.
+    """
+    is_ascii = F.octet_length(raw) == F.length(raw)
+    return F.when(is_ascii, F.lower(prepared)).otherwise(fold(F.when(~is_ascii, prepared)))
+
+
 @F.pandas_udf(T.StringType())
-def casefold(values: pd.Series) -> pd.Series:
+def _casefold(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
 
+def casefold(text: Column) -> Column:
+    return _routed(text, text, _casefold)
+
+
 def normalize_prompt(text: Column) -> Column:
     """Whitespace-collapsed, stripped, case-folded text: the identity of a prompt."""
-    return casefold(squash(strip(text)))
+    return _routed(text, squash(strip(text)), _casefold)
 
 
 def text_key(normalized: Column) -> Column:
@@ -106,7 +119,7 @@ def fold_accents(text: Column) -> Column:
         return values.map(one)
 
     fold.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(fold, T.StringType())(text)
+    return _routed(text, text, F.pandas_udf(fold, T.StringType()))
 
 
 def word_tokens(text: Column) -> Column:

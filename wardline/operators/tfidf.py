@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import bound, inline_rows
 from ..functions.text import fold_accents, with_bigrams, word_tokens
+from ..session import materialize
 
 MIN_DOCUMENTS = 2
 MAX_DOCUMENT_SHARE = 0.995
@@ -105,12 +106,28 @@ def fit_vocabulary(
     n_docs = corpus_size(documents)
     stats = term_stats(document_terms(documents, key, text_col))
     bounded = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
-    kept = _most_frequent(bounded, max_features).withColumn("idf", smooth_idf(n_docs, F.col("df")))
-    # Numbering gathers the vocabulary in one row: at most max_features entries.
-    gathered = kept.agg(F.sort_array(F.collect_list(F.struct("term", "df", "tf", "idf"))).alias("entries"))
-    return gathered.select(F.posexplode("entries").alias("term_id", "entry")).select(
-        "entry.term", "term_id", "entry.df", "entry.tf", "entry.idf"
+    return number_terms(_most_frequent(bounded, max_features).withColumn("idf", smooth_idf(n_docs, F.col("df"))))
+
+
+def number_terms(kept: DataFrame) -> DataFrame:
+    """Add ``term_id``, the alphabetical position of every term from 0; terms are distinct.
+
+    Range partitions hold the terms in order; a term's position in its partition plus the sizes of the partitions before
+    is its number. The partitions are written first, so that both parts speak of the same ones; only their sizes, a row a
+    partition, are summed up in one place.
+    """
+    runs = kept.repartitionByRange("term").sortWithinPartitions("term")
+    # Spark's increasing ids carry the partition in the upper bits and count within it in the lower 33.
+    runs = runs.withColumn("_id", F.monotonically_increasing_id())
+    runs = materialize(
+        runs.withColumns({"_run": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"),
+        "vocabulary-runs",
     )
+    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_terms"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # over the partitions' sizes only
+    offsets = sizes.select("_run", F.coalesce(F.sum("_terms").over(before), F.lit(0)).alias("_offset"))
+    numbered = runs.join(F.broadcast(offsets), "_run")  # a row a partition
+    return numbered.select("term", (F.col("_offset") + F.col("_place")).cast("int").alias("term_id"), "df", "tf", "idf")
 
 
 def raw_weights(doc_terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
