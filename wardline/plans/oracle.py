@@ -191,6 +191,15 @@ ORACLE_SQL["rule_catalog_summary"] = (
 ORACLE_SQL["category_scores"] = scored() + "SELECT doc_id, label, rule_score::INTEGER AS rule_score FROM grid"
 ORACLE_SQL["strongest_rule"] = scored() + "SELECT doc_id, s::INTEGER AS rule_score FROM verdict"
 
+ORACLE_SQL["catalog_scan"] = r"""
+WITH rule AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS word
+  FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)),
+token AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT 'word:' || word AS rule_id, count(*) AS documents, min(doc_id) AS first_doc, word AS evidence
+FROM rule JOIN token USING (word) GROUP BY word
+"""
+
 # --- hybrid verdict -----------------------------------------------------------------------
 
 ORACLE_SQL["hybrid_scores"] = scored() + "SELECT doc_id, label, round(h, 6) AS hybrid_score FROM grid"

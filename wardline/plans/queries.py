@@ -8,8 +8,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..functions.regex import WORD_END, WORD_START
 from ..labels import LABELS
-from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, scan, split, tfidf
+from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, rule_index, scan, split, tfidf
 from ..session import materialize, new_table_path
 from ..sources.corpus import number_records, tag_lineage
 from ..sources.history import read_log, result_json
@@ -86,6 +87,34 @@ def strongest_rule(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("doc_id", F.col("strongest").alias("rule_score"))
 
 
+def _word_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A user catalog of thousands of rules: one for every longer word of the conversations and the benchmark."""
+    texts = fixtures.read(spark, d, "conversations").select("text").unionByName(fixtures.read(spark, d, "benchmark").select("text"))
+    words = texts.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), 1)).alias("word"))
+    distinct = words.filter(F.col("word").isNotNull()).distinct()
+    return distinct.select(
+        F.pmod(F.xxhash64("word"), F.lit(1 << 31)).cast("int").alias("rule_ord"),
+        F.concat(F.lit("word:"), "word").alias("rule_id"),
+        F.lit("words").alias("category"),
+        F.lit(LABELS[1]).alias("label"),
+        F.lit(10).alias("weight"),
+        F.concat(F.lit(f"(?ui){WORD_START}"), "word", F.lit(WORD_END)).alias("pattern"),
+        F.lit("").alias("explanation"),
+        F.lit("").alias("mitigation"),
+        F.array("word").alias("literals"),
+    )
+
+
+@query
+def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Thousands of user rules over all documents by the literal index: documents hit by every rule."""
+    catalog = materialize(_word_rules(spark, d), "catalog")
+    hits = rule_index.catalog_hits(fixtures.documents(spark, d), catalog, ["doc_id"], "text")
+    return hits.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"), F.min(F.lower("evidence")).alias("evidence")
+    )
+
+
 # --- hybrid verdict -----------------------------------------------------------------------
 
 
