@@ -630,7 +630,7 @@ TREND = (
 )
 ORACLE_SQL["history_counts"] = ORACLE_SQL["stream_counts"] = LOG + HEADLINE
 ORACLE_SQL["history_by_type"] = ORACLE_SQL["stream_class_mix"] = LOG + MIX
-ORACLE_SQL["history_trend"] = ORACLE_SQL["stream_trend"] = LOG + TREND
+ORACLE_SQL["history_trend"] = ORACLE_SQL["stream_trend"] = ORACLE_SQL["stream_trend_bounded"] = LOG + TREND
 ORACLE_SQL["stream_score"] = scored(ADMITTED) + RECORD_LISTS + (
     "SELECT sha256(p.prompt) AS prompt_digest, v.classification, v.confidence, v.risk_score::INTEGER AS risk_score, "
     "v.risk_level, v.severity, coalesce(l.all_rules, '') AS rule_ids "

@@ -766,7 +766,7 @@ def _run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     """Run an aggregate stream in complete mode over all present data; the result table and its state are shared."""
     path = new_table_path(spark, name)
     jobs.table_stream(stream, path, new_table_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return jobs.latest_table(spark, path, stream.schema)
 
 
 @query
@@ -806,3 +806,26 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_class_mix(spark: SparkSession, d: str) -> DataFrame:
     log = fixtures.as_log(_stream(spark, d, "events"))
     return _run_to_table(spark, jobs.class_mix_stream(log), "mix")
+
+
+TREND_DELAY = "2 days"
+
+
+@query
+def stream_trend_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The daily trend in event time over events that arrive out of order, in update mode with a watermark.
+
+    The events come in twelve shuffled parts. What a closed day refuses is set aside and added in the end, so the sum is
+    that of the batch trend however the parts arrive.
+    """
+    log = fixtures.as_log(fixtures.read(spark, d, "events")).select("created_at", "classification")
+    parts, gate, trend = (new_table_path(spark, name) for name in ("parts", "gate", "trend"))
+    log.repartition(12, F.xxhash64("created_at")).write.parquet(parts)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(parts)
+    jobs.gate_stream(arriving, TREND_DELAY, gate, new_table_path(spark, "gate-offsets")).trigger(availableNow=True).start().awaitTermination()
+    counted = jobs.bounded_trend_stream(jobs.on_time_rows(spark, gate, log.schema), TREND_DELAY)
+    writer = jobs.table_stream(counted, trend, new_table_path(spark, "trend-state"), "update")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    in_time = jobs.latest_rows(spark, trend, counted.schema, ["day"])
+    late = history.daily_trend(jobs.late_rows(spark, gate, log.schema))
+    return in_time.unionByName(late).groupBy("day").agg(F.sum("count").alias("count"), F.sum("threats").alias("threats"))
