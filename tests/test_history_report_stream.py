@@ -37,6 +37,34 @@ def test_append_read_lookup_clear(spark, records, tmp_path):
     assert log_store.read_log(spark, path).count() == 0
 
 
+def test_appending_twice_leaves_one_copy(spark, records, tmp_path):
+    path = str(tmp_path / "log")
+    at = F.lit("2024-03-01 10:00:00").cast("timestamp")
+    rows = log_store.identify(records, F.col("doc_id"), created_at=at)
+    for again in (rows, rows.repartition(3)):
+        log_store.append_analyses(again, path)
+    assert log_store.read_log(spark, path).count() == records.count()
+    log_store.append_analyses(rows.limit(5), path, "named")
+    log_store.append_analyses(rows.limit(7), path, "named")
+    assert log_store.read_log(spark, path).count() == records.count() + 7
+    log_store.clear_log(spark, path)
+    log_store.append_analyses(rows, path)
+    assert log_store.read_log(spark, path).count() == records.count()
+
+
+def test_log_reads_are_pruned(spark, small, tmp_path):
+    log = fixtures.analyses_log(spark, small).withColumn("day", text.utc_day(F.col("created_at")))
+    log_store.write_log_part(log, str(tmp_path / "log"), "all")
+    written = log_store.read_log(spark, str(tmp_path / "log"))
+    newest = history.recent(written, 30)
+    assert newest.collect() == history.recent(log.drop("day"), 30).collect()
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-30" in plan
+    assert history.recent(written.filter("risk_score < 0"), 5).count() == 0
+    one = history.lookup(written, "evt-321", "2024-01-02")
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_retry_gives_the_same_ids(records):
     at = F.lit("2024-03-01 10:00:00").cast("timestamp")
     once = {r["id"] for r in log_store.identify(records, F.col("doc_id"), created_at=at).select("id").collect()}

@@ -3,7 +3,7 @@
     jobs.py prepare  --root DIR --source NAME=FILE ... --output DIR [--side FILE] [--on-conflict report]
     jobs.py train    --data DIR --model DIR [--weighting auto|balanced|sqrt_balanced] ...
     jobs.py classify --model DIR --prompts TABLE --output TABLE
-    jobs.py analyze  --model DIR --prompts TABLE --log TABLE --rejected TABLE [--max-chars N]
+    jobs.py analyze  --model DIR --prompts TABLE --log TABLE --rejected TABLE [--batch NAME] [--max-chars N]
     jobs.py stats    --log TABLE --output DIR
 """
 
@@ -52,7 +52,7 @@ def run_analyze(spark: SparkSession, args: argparse.Namespace) -> None:
     table = spark.read.parquet(args.prompts)
     prompts = table.select("prompt_id", "prompt")
     records = analyze_prompts(prompts, load_model(spark, args.model), keep=["prompt_id"], max_chars=args.max_chars)
-    append_analyses(identify(records, F.col("prompt_id")), args.log)
+    append_analyses(identify(records, F.col("prompt_id")), args.log, args.batch)
     rejected(table, max_chars=args.max_chars).write.mode("append").parquet(args.rejected)
 
 
@@ -100,6 +100,7 @@ def parser() -> argparse.ArgumentParser:
     job = jobs.add_parser("analyze")
     for name in ("--model", "--prompts", "--log", "--rejected"):
         job.add_argument(name, required=True)
+    job.add_argument("--batch", help="name of the run; a run of the same name replaces it (default: by the analyses' ids)")
     job.add_argument("--max-chars", type=int, help="reject longer prompts; by default none is too long")
     job.set_defaults(run=run_analyze)
 

@@ -20,14 +20,31 @@ def is_safe() -> Column:
 
 
 def recent(log: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest analyses; the limit is held within [1, 200]. Equal instants order by id."""
+    """The newest analyses; the limit is held within [1, 200]. Equal instants order by id.
+
+    A log partitioned by ``day`` is read from the youngest days that hold enough rows: their counts come from the
+    partition values alone, and a day has a row at least, so ``limit`` days are always enough to look at.
+    """
     limit = max(1, min(limit, MAX_LIMIT))
+    if "day" in log.columns:
+        log = log.filter(F.col("day") >= _oldest_day_needed(log, limit))
     return log.select(*LISTING).orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
 
 
-def lookup(log: DataFrame, analysis_id: str) -> DataFrame:
-    """The analysis with this id, or no row."""
-    return log.filter(F.col("id") == analysis_id)
+def _oldest_day_needed(log: DataFrame, limit: int) -> Column:
+    counts = log.groupBy("day").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("day").desc()).limit(limit).collect()
+    total, oldest = 0, None
+    for row in counts:  # a row a day, `limit` at most
+        oldest, total = row["day"], total + row["rows"]
+        if total >= limit:
+            break
+    return F.lit(oldest)
+
+
+def lookup(log: DataFrame, analysis_id: str, day=None) -> DataFrame:
+    """The analysis with this id, or no row; with the day it was made only that partition is read."""
+    found = log.filter(F.col("id") == analysis_id)
+    return found if day is None else found.filter(F.col("day") == day)
 
 
 def headline_columns() -> list[Column]:

@@ -618,6 +618,7 @@ LOG = (
 LISTING = "id, created_at, prompt, classification, confidence, risk_score, risk_level, severity"
 ORACLE_SQL["history_recent"] = LOG + f"SELECT {LISTING} FROM (SELECT * FROM log ORDER BY ts DESC, id LIMIT 25)"
 ORACLE_SQL["history_lookup"] = LOG + f"SELECT {LISTING} FROM log WHERE id = 'evt-321'"
+ORACLE_SQL["log_recent"], ORACLE_SQL["log_lookup"] = ORACLE_SQL["history_recent"], ORACLE_SQL["history_lookup"]
 HEADLINE = (
     "SELECT count(*) AS total, count(*) FILTER (WHERE classification = 'Safe Prompt') AS safe, "
     "count(*) FILTER (WHERE classification <> 'Safe Prompt') AS threats, "
@@ -628,7 +629,7 @@ TREND = (
     "SELECT substr(created_at, 1, 10) AS day, count(*) AS count, "
     "sum(CASE WHEN classification = 'Safe Prompt' THEN 0 ELSE 1 END)::BIGINT AS threats FROM log GROUP BY 1"
 )
-ORACLE_SQL["history_counts"] = ORACLE_SQL["stream_counts"] = LOG + HEADLINE
+ORACLE_SQL["history_counts"] = ORACLE_SQL["stream_counts"] = ORACLE_SQL["log_append"] = LOG + HEADLINE
 ORACLE_SQL["history_by_type"] = ORACLE_SQL["stream_class_mix"] = LOG + MIX
 ORACLE_SQL["history_trend"] = ORACLE_SQL["stream_trend"] = ORACLE_SQL["stream_trend_bounded"] = LOG + TREND
 ORACLE_SQL["stream_score"] = scored(ADMITTED) + RECORD_LISTS + (

@@ -13,7 +13,7 @@ from ..labels import LABELS
 from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, rule_index, scan, split, tfidf
 from ..session import materialize, new_table_path
 from ..sources.corpus import number_records, tag_lineage
-from ..sources.history import read_log, result_json
+from ..sources.history import read_log, result_json, write_log_part
 from ..sources.rules import RULES
 from ..streaming import jobs
 from . import fixtures
@@ -754,6 +754,35 @@ def history_trend(spark: SparkSession, d: str) -> DataFrame:
     return history.daily_trend(fixtures.analyses_log(spark, d))
 
 
+def _written_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of analyses as it lies on disk: two batches, one of them written twice."""
+    log = fixtures.analyses_log(spark, d).withColumn("day", text.utc_day(F.col("created_at")))
+    path = new_table_path(spark, "log")
+    early = F.col("risk_score") < 50
+    for rows, batch in ((log.filter(early), "low"), (log.filter(~early), "high"), (log.filter(early), "low")):
+        write_log_part(rows, path, batch)
+    return read_log(spark, path)
+
+
+@query
+def log_append(spark: SparkSession, d: str) -> DataFrame:
+    """Headline counts of a log one of whose batches was run twice."""
+    return history.headline_counts(_written_log(spark, d))
+
+
+@query
+def log_recent(spark: SparkSession, d: str) -> DataFrame:
+    return _listing(history.recent(_written_log(spark, d), 25)).select(*history.LISTING)
+
+
+@query
+def log_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Point read of a written log by id and day."""
+    log = _written_log(spark, d)
+    day = log.filter(F.col("id") == "evt-321").agg(F.max("day")).first()[0]
+    return _listing(history.lookup(log, "evt-321", day)).select(*history.LISTING)
+
+
 # --- streams ------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import now_utc_seconds, utc_day
-from ..session import path_exists
+from ..session import materialize, path_exists
 
 DETAIL_COLUMNS = [
     "confidence_percent",
@@ -65,9 +65,31 @@ def log_rows(analyses: DataFrame) -> DataFrame:
     return analyses.select(*LOG_COLUMNS).withColumn("day", utc_day(F.col("created_at")))
 
 
-def append_analyses(analyses: DataFrame, path: str) -> None:
-    """Append identified analyses to the log."""
-    log_rows(analyses).write.mode("append").partitionBy("day").parquet(batch_part(path))
+#: A bloom filter on the id lets a point read skip row groups; values a filter is laid out for, in a row group.
+BLOOM_IDS = 1_000_000
+
+
+def write_log_part(rows: DataFrame, path: str, batch: str) -> None:
+    """Write rows with ``id`` and ``day`` as one batch of a log, in place of what that batch wrote before.
+
+    The batch's own folder is the unit of commit: a run that is repeated leaves one copy, other batches are untouched.
+    """
+    writer = rows.write.mode("overwrite").partitionBy("day")
+    writer = writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", str(BLOOM_IDS))
+    writer.parquet(f"{batch_part(path)}/run={batch}")
+
+
+def append_analyses(analyses: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append identified analyses to the log, once however often it is run.
+
+    ``batch`` names the run; a run of the same name replaces the earlier one. By default the name is a digest of the ids,
+    so the same analyses again, in whatever order, are the same batch.
+    """
+    rows = materialize(log_rows(analyses), "log-rows")  # an id may hold the current time, so it is taken once
+    if batch is None:
+        told = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("id"))).alias("y"))
+        batch = told.select(F.sha2(F.concat_ws("|", "n", "x", "y"), 256)).first()[0][:ID_CHARS]
+    write_log_part(rows, path, batch)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +97,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     parts = [p for p in (batch_part(path), stream_part(path)) if path_exists(spark, p)]
     if not parts:
         raise FileNotFoundError(f"no log at {path}")
-    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])
+    return reduce(DataFrame.unionByName, [spark.read.parquet(p).drop("run") for p in parts])
 
 
 def clear_log(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from ..functions.text import utc_day
 from ..operators.admission import accepted, rejected
 from ..operators.history import headline_columns, is_safe
 from ..operators.hybrid import analyze
-from ..sources.history import identify, log_rows, stream_part
+from ..sources.history import BLOOM_IDS, identify, log_rows, stream_part
 from ..session import path_exists
 from ..sources.rules import RULES
 
@@ -36,6 +36,8 @@ def append_stream(analyses: DataFrame, log_path: str, checkpoint: str) -> DataSt
         log_rows(analyses)
         .writeStream.format("parquet")
         .partitionBy("day")
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("parquet.bloom.filter.expected.ndv#id", str(BLOOM_IDS))
         .option("path", stream_part(log_path))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
