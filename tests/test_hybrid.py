@@ -105,3 +105,12 @@ def test_ranked_probabilities_order(spark):
     ranked = spark.range(1).select(hybrid.ranked_probabilities(p).alias("r")).first()["r"]
     assert [e["label"] for e in ranked] == [SAFE, "Data Extraction", "Jailbreak"]
     assert ranked[0]["probability"] == 0.4
+
+
+def test_ranked_probabilities_round_by_the_binary_value(spark):
+    """As Python's round does: seven digits ending in five are ties in their text alone."""
+    values = [(2 * i + 1) / 2_000_000 for i in range(3000, 4000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    ranked = hybrid.ranked_probabilities(F.create_map(F.lit("Jailbreak"), F.col("v")))
+    got = [r["ranked"][0]["probability"] for r in frame.select(ranked.alias("ranked")).collect()]
+    assert got == [round(v, 6) for v in values]

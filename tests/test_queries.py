@@ -40,6 +40,8 @@ def test_scans_read_only_what_they_need(spark, small):
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
     plan = QUERIES["history_lookup"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Filter" in plan and "Exchange" not in plan
+    plan = QUERIES["source_lineage"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "text:string" not in plan
     plan = QUERIES["class_weights"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "text:string" not in plan
 
@@ -56,7 +58,7 @@ def _nodes(plan):
 def test_no_window_runs_in_one_partition_over_data(spark, small):
     """Windows partition by file, stratum or label; only the frequency histogram and the sizes of ranges are ordered whole."""
     seen = 0
-    for name in ("stratified_split", "top_features", "source_lineage", "resolved_labels", "dedup_keep_first"):
+    for name in ("stratified_split", "top_features", "vocabulary_topk", "resolved_labels", "dedup_keep_first"):
         for node in _nodes(QUERIES[name](spark, small)._jdf.queryExecution().executedPlan()):
             if node.nodeName() == "Window":
                 seen += 1

@@ -238,5 +238,5 @@ def ranked_probabilities(probabilities: Column) -> Column:
     present = F.filter(entries, lambda e: e["rank_key"].isNotNull())
     return F.transform(
         F.sort_array(present),
-        lambda e: F.struct(e["label"].alias("label"), F.bround(-e["rank_key"], 6).alias("probability")),
+        lambda e: F.struct(e["label"].alias("label"), round_even(-e["rank_key"], 6).alias("probability")),
     )

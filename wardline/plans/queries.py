@@ -12,7 +12,7 @@ from ..functions.regex import WORD_END, WORD_START
 from ..labels import LABELS
 from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, rule_index, scan, split, tfidf
 from ..session import materialize, new_table_path
-from ..sources.corpus import number_records, tag_lineage
+from ..sources.corpus import number_rows, tag_lineage
 from ..sources.history import read_log, result_json, write_log_part
 from ..sources.rules import RULES
 from ..streaming import jobs
@@ -359,7 +359,7 @@ def text_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_lineage(spark: SparkSession, d: str) -> DataFrame:
-    tagged = tag_lineage(number_records(fixtures.read(spark, d, "documents")), "documents", "given\\documents.csv")
+    tagged = tag_lineage(number_rows(fixtures.read(spark, d, "documents")), "documents", "given\\documents.csv")
     return tagged.select("doc_id", "source_dataset", "source_file", "source_row")
 
 
