@@ -46,6 +46,12 @@ def test_scans_read_only_what_they_need(spark, small):
     assert "text:string" not in plan
 
 
+def test_the_main_path_is_narrow(spark, small):
+    """Text to verdict in one stage: no shuffle, no join, no Python for the model."""
+    plan = QUERIES["model_verdicts"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def _nodes(plan):
     if plan.nodeName() == "AdaptiveSparkPlan":
         plan = plan.initialPlan()

@@ -637,6 +637,15 @@ ORACLE_SQL["stream_score"] = scored(ADMITTED) + RECORD_LISTS + (
     "v.risk_level, v.severity, coalesce(l.all_rules, '') AS rule_ids "
     "FROM verdict v JOIN prompts p USING (doc_id) LEFT JOIN listed l USING (doc_id)"
 )
+# The main path: probabilities of the stand-in model over the admitted prompts, in place of those of the fixtures.
+MODEL_PROBS = (TERMS + VOCAB + COEFS).replace("WITH tok AS", "tok AS", 1).replace("lower(text)", "lower(prompt)").replace(
+    "FROM documents", "FROM prompts"
+) + ", probs AS (SELECT doc_id, label, p FROM softmax)"
+ORACLE_SQL["model_verdicts"] = scored(ADMITTED).replace(probability_table(), MODEL_PROBS) + (
+    "SELECT doc_id, ml_label, CAST(printf('%.4f', ml_p) AS DOUBLE) AS ml_confidence, classification, confidence, "
+    "risk_score::INTEGER AS risk_score, risk_level, severity FROM verdict"
+)
+ORACLE_SQL["stream_verdicts"] = ORACLE_SQL["stream_score"].replace(probability_table(), MODEL_PROBS)
 assert set(THREATS) < set(LABELS)
 
 # --- report -------------------------------------------------------------------------------

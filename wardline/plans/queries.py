@@ -18,7 +18,7 @@ from ..sources.rules import RULES
 from ..streaming import jobs
 from . import fixtures
 from .preparation import preparation_report
-from .scoring import classify_prompts
+from .scoring import analyze_prompts, classify_prompts
 from .training import TrainSettings
 from .training import train_and_evaluate as fit_and_evaluate
 
@@ -273,6 +273,29 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     return materialize(records.withColumn("id", F.col("doc_id").cast("string")), "records")
 
 
+def _verdict_model(spark: SparkSession, d: str) -> linear.LinearTextModel:
+    """The stand-in model over the vocabulary of the admitted prompts."""
+    admitted = admission.accepted(fixtures.planted_prompts(spark, d))
+    vocabulary = materialize(tfidf.fit_vocabulary(admitted, "doc_id", "prompt"), "vocabulary")
+    return linear.local_model(vocabulary, _coefficients(vocabulary), INTERCEPTS)
+
+
+@query
+def model_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The main path in one plan: prompts through the text model and the rules to verdicts; nothing is shuffled."""
+    records = analyze_prompts(fixtures.planted_prompts(spark, d), _verdict_model(spark, d), keep=["doc_id"])
+    return records.select(
+        "doc_id",
+        F.col("ml_prediction.label").alias("ml_label"),
+        F.col("ml_prediction.confidence").alias("ml_confidence"),
+        "classification",
+        "confidence",
+        "risk_score",
+        "risk_level",
+        "severity",
+    )
+
+
 @query
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return report.report_lines(_reports(spark, d))
@@ -798,13 +821,8 @@ def _run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     return jobs.latest_table(spark, path, stream.schema)
 
 
-@query
-def stream_score(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a prompt stream, scored and appended to a log, read back."""
-    arriving = _stream(spark, d, "documents")
-    prompts = arriving.select(
-        "doc_id", F.expr(fixtures.PLANTED).alias("prompt"), fixtures.probabilities().alias("probabilities")
-    )
+def _score_stream(spark: SparkSession, prompts: DataFrame) -> DataFrame:
+    """A stream of prompts with probabilities scored and appended to a log, read back."""
     when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     analyses = jobs.scored_stream(prompts, F.col("doc_id"), text.instant_from_utc(when))
     log, checkpoint = new_table_path(spark, "log"), new_table_path(spark, "offsets")
@@ -820,6 +838,22 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def stream_score(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a prompt stream, scored and appended to a log, read back."""
+    arriving = _stream(spark, d, "documents")
+    return _score_stream(
+        spark, arriving.select("doc_id", F.expr(fixtures.PLANTED).alias("prompt"), fixtures.probabilities().alias("probabilities"))
+    )
+
+
+@query
+def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The main path on a stream: the model's probabilities are computed on the arriving prompts."""
+    arriving = _stream(spark, d, "documents").select("doc_id", F.expr(fixtures.PLANTED).alias("prompt"))
+    return _score_stream(spark, linear.with_probabilities(arriving, _verdict_model(spark, d), "prompt"))
+
+
 @query
 def stream_trend(spark: SparkSession, d: str) -> DataFrame:
     return _run_to_table(spark, jobs.trend_stream(fixtures.as_log(_stream(spark, d, "events"))), "trend")
