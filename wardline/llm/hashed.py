@@ -21,6 +21,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _POWERS = np.cumprod(np.full(CHUNK_BYTES + 1, _BASE, np.uint64))
 _INVERSES = np.cumprod(np.full(CHUNK_BYTES + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+# A sum modulo 2^64 is the same for some different words (those of Thue and Morse) whatever the base, so words that must be
+# told apart get a second one modulo a prime. A chunk's sum of bytes times residues stays below 2^60.
+_PRIME, _ROOT = (1 << 31) - 1, 16807
+
+
+def _residues(factor: int) -> np.ndarray:
+    """factor^1 .. factor^(CHUNK_BYTES + 1) modulo the prime, by doubling."""
+    out = np.array([factor], np.uint64)
+    while len(out) <= CHUNK_BYTES:
+        out = np.append(out, out * np.uint64(pow(factor, len(out), _PRIME)) % np.uint64(_PRIME))
+    return out[: CHUNK_BYTES + 1]
+
+
+_PRIME_POWERS, _PRIME_INVERSES = _residues(_ROOT), _residues(pow(_ROOT, -1, _PRIME))
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[128:] = True
@@ -54,54 +68,106 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _word_keys(hashes: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64 bits of a word from its two sums and its length."""
+    return mix(hashes ^ mix(second | (lengths.astype(np.uint64) << np.uint64(31)), 5), 6)
+
+
 class Words:
     """The words of a slice of texts: hash, hashes of proper prefixes, and the text each word is in.
 
-    Words are runs of ASCII letters, ASCII digits and all bytes of other characters. A run of more than CHUNK_BYTES
-    is cut into several words.
+    Words are runs of ASCII letters, ASCII digits and all bytes of other characters, of any length; they end with their
+    text. Chunks end between words, so a word's hash does not depend on what is around it. With ``exact``, ``keys`` tells
+    words apart by two sums and their length.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), exact: bool = False):
         begin, end = int(offsets[0]), int(offsets[-1])
-        breaks = offsets - begin
-        data = data[begin:end]
-        hashes, starts_at = [], []
-        heads: list[list[np.ndarray]] = [[] for _ in prefixes]
+        self._breaks = offsets - begin
+        self._data = data[begin:end]
         self.prefixes = prefixes
+        self._exact = exact
+        hashes, keys, starts_at = [], [], []
+        heads: list[list[np.ndarray]] = [[] for _ in prefixes]
         at = 0
-        while at < len(data):
-            stop = min(at + CHUNK_BYTES, len(data))
-            if stop < len(data):
-                gaps = np.flatnonzero(~_IN_WORD[data[at:stop]])
-                stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
-            part = data[at:stop]
-            inside = _IN_WORD[part]
-            before = np.empty_like(inside)
-            before[0] = False
-            before[1:] = inside[:-1]
-            edges = breaks[np.searchsorted(breaks, at) : np.searchsorted(breaks, stop)] - at
-            before[edges] = False
-            starts = np.flatnonzero(inside & ~before)
-            after = np.empty_like(inside)
-            after[-1] = False
-            after[:-1] = inside[1:]
-            after[edges[edges > 0] - 1] = False
-            ends = np.flatnonzero(inside & ~after) + 1
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)], out=sums[1:])
-            first, scale = sums[starts], _INVERSES[starts]
-            hashes.append((sums[ends] - first) * scale)
-            for k, head in zip(prefixes, heads):
-                value = (sums[np.minimum(starts + k, ends)] - first) * scale
-                value[ends - starts <= k] = 0
-                head.append(value)
-            starts_at.append(starts + at)
+        while at < len(self._data):
+            stop = self._cut(at)
+            if stop - at > CHUNK_BYTES:
+                found = self._long_word(at, stop)
+            else:
+                found = self._chunk(at, stop)
+            for parts, values in zip((hashes, keys, starts_at, *heads), found):
+                parts.append(values)
             at = stop
         joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.hashes = joined(hashes)
+        self.hashes, self.keys = joined(hashes), joined(keys)
         self.heads = [joined(head) for head in heads]
         places = np.concatenate(starts_at) if starts_at else np.empty(0, np.int64)
-        self.text = np.searchsorted(breaks, places, "right") - 1
+        self.text = np.searchsorted(self._breaks, places, "right") - 1
+
+    def _cut(self, at: int) -> int:
+        """Where the chunk from ``at`` ends: after the last separator or text of CHUNK_BYTES, else where its only word ends."""
+        stop = at + CHUNK_BYTES
+        if stop >= len(self._data):
+            return len(self._data)
+        gaps = np.flatnonzero(~_IN_WORD[self._data[at:stop]])
+        border = int(self._breaks[np.searchsorted(self._breaks, stop, "right") - 1])
+        last = max(at + int(gaps[-1]) + 1 if len(gaps) else at, border)
+        if last > at:
+            return last
+        border = int(self._breaks[np.searchsorted(self._breaks, stop, "right")])
+        while stop < border:
+            gaps = np.flatnonzero(~_IN_WORD[self._data[stop : min(stop + CHUNK_BYTES, border)]])
+            if len(gaps):
+                return stop + int(gaps[0])
+            stop = min(stop + CHUNK_BYTES, border)
+        return border
+
+    def _chunk(self, at: int, stop: int) -> tuple[np.ndarray, ...]:
+        part = self._data[at:stop]
+        inside = _IN_WORD[part]
+        before = np.empty_like(inside)
+        before[0] = False
+        before[1:] = inside[:-1]
+        edges = self._breaks[np.searchsorted(self._breaks, at) : np.searchsorted(self._breaks, stop)] - at
+        before[edges] = False
+        starts = np.flatnonzero(inside & ~before)
+        after = np.empty_like(inside)
+        after[-1] = False
+        after[:-1] = inside[1:]
+        after[edges[edges > 0] - 1] = False
+        ends = np.flatnonzero(inside & ~after) + 1
+        values = part.astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values * _POWERS[: len(part)], out=sums[1:])
+        first, scale = sums[starts], _INVERSES[starts]
+        hashes = (sums[ends] - first) * scale
+        heads = []
+        for k in self.prefixes:
+            value = (sums[np.minimum(starts + k, ends)] - first) * scale
+            value[ends - starts <= k] = 0
+            heads.append(value)
+        keys = np.empty(0, np.uint64)
+        if self._exact:
+            np.cumsum(values * _PRIME_POWERS[: len(part)], out=sums[1:])
+            second = (sums[ends] - sums[starts]) % np.uint64(_PRIME) * _PRIME_INVERSES[starts] % np.uint64(_PRIME)
+            keys = _word_keys(hashes, second, ends - starts)
+        return hashes, keys, starts + at, *heads
+
+    def _long_word(self, at: int, stop: int) -> tuple[np.ndarray, ...]:
+        """A word of more than CHUNK_BYTES, summed piece by piece; its bytes stand from ``at`` to ``stop``."""
+        whole = second = 0
+        for piece in range(at, stop, CHUNK_BYTES):
+            values = self._data[piece : min(piece + CHUNK_BYTES, stop)].astype(np.uint64) + np.uint64(1)
+            whole += int((values * _POWERS[: len(values)]).sum()) * pow(_BASE, piece - at, 1 << 64)
+            second += int((values * _PRIME_POWERS[: len(values)]).sum()) * pow(_ROOT, piece - at, _PRIME)
+        base, root = pow(_BASE, -1, 1 << 64), pow(_ROOT, -1, _PRIME)
+        hashes = np.array([whole * base % (1 << 64)], np.uint64)
+        second = np.array([second * root % _PRIME], np.uint64)
+        keys = _word_keys(hashes, second, np.array([stop - at])) if self._exact else np.empty(0, np.uint64)
+        sums = (self._data[at : at + max(self.prefixes, default=0)].astype(np.uint64) + np.uint64(1)) * _POWERS[: max(self.prefixes, default=0)]
+        heads = [np.array([int(sums[:k].sum()) * base % (1 << 64)], np.uint64) for k in self.prefixes]
+        return hashes, keys, np.array([at]), *heads
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text) of words, word pairs, pairs around one skipped word, and word beginnings."""
