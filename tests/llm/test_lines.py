@@ -30,7 +30,7 @@ def test_equals_brute_force_both_ways(spark):
     rows, frame = rows_of(spark)
     expected = brute([(h, t) for _, h, t in rows], 0.3, 3)
     for small_table in (1000, 0):
-        result = lines.drop_boilerplate(frame, F.col("host"), "text", Settings(0.3, 3, 4), small_table=small_table)
+        result = lines.drop_boilerplate(frame, F.col("host"), "text", Settings(0.3, 3), small_table=small_table)
         found = {(r.page_id, r.host): r.text for r in result.collect()}
         assert [found[i, h] for i, h, _ in rows] == expected
     assert any(e != t for e, (_, _, t) in zip(expected, rows))
@@ -84,3 +84,29 @@ def test_a_long_list_is_looked_up_in_slots(spark):
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
     found = lines.drop_boilerplate(frame, F.col("source"), "text", Settings(long_words=50)).collect()
     assert {r.doc_id: r.text for r in found} == {i: own(i) for i, _, _ in rows}
+
+
+def test_frames_go_and_near_copies_stay(spark):
+    """Two frame lines on all pages of a host go though they are most of a page; copies on a third of a host keep their text."""
+    prose = lambda seed, size: " ".join(f"w{seed}x{k}" for k in range(size))
+    head, foot = prose("h", 30), prose("f", 30)
+    framed = [(i, f"{head}\n{prose(i, 20)}\n{foot}", "framed") for i in range(100)]
+    shared = "\n".join(prose(f"s{k}", 60) for k in range(8))
+    copies = [(200 + i, f"{shared}\nedit {i}", "copied") for i in range(20)]
+    others = [(300 + i, prose(f"o{i}", 80) + "\n" + prose(f"p{i}", 80), "copied") for i in range(40)]
+    frame = spark.createDataFrame(framed + copies + others, "doc_id long, text string, source string")
+    settings = Settings(long_words=50, max_lost=0.5)
+    for small_table in (1000, 0):
+        found = lines.drop_boilerplate(frame, F.col("source"), "text", settings, small_table=small_table)
+        expected = {i: prose(i, 20) for i in range(100)} | {i: t for i, t, _ in copies + others}
+        assert {r.doc_id: r.text for r in found.collect()} == expected
+
+
+def test_hot_lines_and_repeated_rows_in_the_large_form(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_LINE", 5)
+    rows, frame = rows_of(spark)
+    frame, rows = frame.union(frame), rows + rows
+    expected = brute([(h, t) for _, h, t in rows], 0.3, 3)
+    result = lines.drop_boilerplate(frame, F.col("host"), "text", Settings(0.3, 3), small_table=0)
+    order = lambda found: sorted(found, key=str)
+    assert order((r.page_id, r.host, r.text) for r in result.collect()) == order((i, h, e) for (i, h, _), e in zip(rows, expected))

@@ -4,16 +4,20 @@ Rows are pages of hosts. For every host, a line's ratio is the share of the host
 ``max_ratio`` on at least ``min_pages`` pages are boilerplate and are dropped from all pages of the host. With
 ``long_words`` the ratio to exceed falls in proportion to a line's words, from ``max_ratio`` for a line without any to zero
 for lines of so many words and more: what is long and stands on ``min_pages`` pages is no coincidence. Lines travel as
-two 64-bit hashes with partial counts, never as text. The lines to drop are few where the ratio is fixed (a page of L lines
-allows at most L / max_ratio of them a host), and at most one in ``min_pages`` otherwise; so a host's list is dealt over
-slots by hash, and a line is looked up in its slot only. If the table of these lines is small by its count it is broadcast,
-otherwise rows and lists meet in a shuffle in which every host is dealt over ``spread`` parts.
+two 64-bit hashes with partial counts, never as text.
+
+The lines to drop are counted. Up to ``small_table`` of them are broadcast, every host's list dealt over slots by hash, and a
+line is looked up in its slot only. More of them never become one list: rows get a number, their line hashes meet the lines
+to drop in a join whose hot lines are broadcast (`operators.lookup`), and a row gets back the hashes of its own lines alone.
 
 Defined results: a null or empty text has no lines and stays as it is; a null host is a host of its own; blank lines are
 no lines and always stay; a line repeated in a page counts once. A page all of whose lines are boilerplate is a copy of
 other pages and no frame around something, so it keeps its text and is left to near-duplicate detection. With
-``max_lost`` below 1 so does a page that would lose more than this share of the characters of its shown lines: near
-copies differ in a few lines and share the rest. Repeated rows are pages of their own. Other columns are kept.
+``max_lost`` below 1 so does a near copy, whose lines are shared by copies rather than by the host: lines on more than
+``frame_ratio`` of the host's pages are its frame and go whatever their share; a page that would lose more than ``max_lost``
+of the characters of its other shown lines keeps its text, and so does one of which less than ``least_left`` would be left.
+Repeated rows are pages of their own; a very long text is one page and its lines are looked up like any other. Other columns
+are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.lookup import attach_key_facts
 from ..session import materialize
 
 SHOWN = r"[^\x20\x09-\x0D]"  # a line with such a character is no blank line
@@ -32,15 +37,17 @@ LINE_TAG = r"(?i)</?(p|br|li|ul|ol|div|h[1-6]|tr|table|nav|article|section|heade
 ANY_TAG = r"<[^>]*>"
 WORD = r"[^\x20\x09-\x0D]+"
 SLOT_KEYS = 16  # lines to drop in a slot of a host's list, on average at most
+HOT_LINE = 1000  # a line on fewer pages is never hot
 
 
 @dataclass(frozen=True)
 class Settings:
     max_ratio: float = 0.1
     min_pages: int = 3
-    spread: int = 64
     long_words: int | None = None  # words of a line from which min_pages alone decides; without it all lines share max_ratio
-    max_lost: float = 1.0  # share of a page's shown characters beyond which it is a copy and keeps its text
+    max_lost: float = 1.0  # share of a page's own and copied characters beyond which it is a copy and keeps its text
+    frame_ratio: float = 0.5  # lines on more of a host's pages are its frame, whatever max_lost
+    least_left: float = 0.1  # a page of which less would be left is a copy too, if max_lost is below 1
 
 
 def host_of(url: Column) -> Column:
@@ -91,23 +98,56 @@ def _words(line: Column, settings: Settings) -> Column:
     return F.regexp_count(line, F.lit(WORD)) if settings.long_words else F.lit(0)
 
 
+def _marked(found: DataFrame, settings: Settings) -> DataFrame:
+    """host, key, frame: the lines to drop, and whether they belong to the host's frame."""
+    return found.select("host", "key", (F.col("ratio") > settings.frame_ratio).alias("frame"))
+
+
 def _slotted(found: DataFrame) -> DataFrame:
-    """host, _drop: the keys of every host, dealt over slots by their hash."""
+    """host, _drop, _frame: the keys of every host, dealt over slots by their hash; and those of its frame."""
     keys = F.count(F.lit(1)).over(Window.partitionBy("host"))
-    sized = found.select("host", "key", F.ceil(keys / SLOT_KEYS).cast("int").alias("_slots"))
-    keyed = sized.select("host", _slot(F.col("key"), F.col("_slots")).alias("slot"), "key")
+    sized = found.select("host", "key", "frame", F.ceil(keys / SLOT_KEYS).cast("int").alias("_slots"))
+    keyed = sized.select("host", _slot(F.col("key"), F.col("_slots")).alias("slot"), "key", "frame")
     none = F.lit(None).cast(found.schema["key"].dataType).alias("key")
     every = sized.groupBy("host").agg(F.first("_slots").alias("_slots"))
-    empty = every.select("host", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"), none)
-    slots = keyed.union(empty).groupBy("host", "slot").agg(F.collect_list("key").alias("keys"))
-    ordered = F.array_sort(F.collect_list(F.struct("slot", "keys")))
-    return slots.groupBy("host").agg(F.transform(ordered, lambda x: x["keys"]).alias("_drop"))
+    empty = every.select("host", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"), none, F.lit(False).alias("frame"))
+    of_frame = F.collect_list(F.when(F.col("frame"), F.col("key")))
+    slots = keyed.union(empty).groupBy("host", "slot").agg(F.collect_list("key").alias("keys"), of_frame.alias("frames"))
+    ordered = F.array_sort(F.collect_list(F.struct("slot", "keys", "frames")))
+    lists = slots.groupBy("host").agg(ordered.alias("slots"))
+    return lists.select(
+        "host",
+        F.transform("slots", lambda x: x["keys"]).alias("_drop"),
+        F.transform("slots", lambda x: x["frames"]).alias("_frame"),
+    )
 
 
 def _slot(key: Column, slots: Column) -> Column:
     return F.pmod(key["a"], slots).cast("int")
 
 
+def _by_broadcast(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows with the slots of their host's lists."""
+    return rows.join(F.broadcast(_slotted(marked)), F.col("_host").eqNullSafe(F.col("host")), "left").drop("host")
+
+
+def _by_lines(rows: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    """Rows with those of their own lines that are to be dropped, in one slot.
+
+    A line of a host may stand on a third of all pages; such lines are few, and `attach_key_facts` broadcasts them.
+    """
+    numbered = materialize(rows.withColumn("_number", F.monotonically_increasing_id()), "pages")
+    own = numbered.select("_number", "_host", F.explode(F.array_distinct(F.transform(_shown(F.col("_text")), _key))).alias("key"))
+    parts = lambda host: F.concat_ws(":", F.col("key.a"), F.col("key.b"), F.xxhash64(host), host)
+    own = own.select("_number", "key", parts(F.col("_host")).alias("_line"))
+    facts = found.select(parts(F.col("host")).alias("_line"), (F.col("ratio") > settings.frame_ratio).alias("frame"), F.col("pages").alias("copies"))
+    hits = attach_key_facts(own, facts, "_line", F.struct("_number", "key"), hot_floor=HOT_LINE).filter("frame is not null")
+    lists = hits.groupBy("_number").agg(
+        F.array(F.collect_list("key")).alias("_drop"), F.array(F.collect_list(F.when(F.col("frame"), F.col("key")))).alias("_frame")
+    )
+    return numbered.join(lists, "_number", "left").drop("_number")
+
+
 def drop_boilerplate(
     pages: DataFrame, host: Column, text: str, settings: Settings = Settings(), *, small_table: int = SMALL_TABLE
 ) -> DataFrame:
@@ -115,20 +155,19 @@ def drop_boilerplate(
     names = pages.columns
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host.alias("_host"), F.col(f"`{text}`").alias("_text"))
     found = materialize(boilerplate(rows, "_host", "_text", settings), "boilerplate")
-    lists = _slotted(found)
     if found.count() <= small_table:
-        joined = rows.join(F.broadcast(lists), F.col("_host").eqNullSafe(F.col("host")), "left")
+        joined = _by_broadcast(rows, _marked(found, settings))
     else:
-        part = F.pmod(F.xxhash64("_text"), F.lit(settings.spread))
-        copies = lists.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1)).cast("array<long>")))
-        same = F.col("_host").eqNullSafe(F.col("host")) & (F.col("_part") == F.col("_copy"))
-        joined = rows.withColumn("_part", part).join(copies, same, "left")
-    of_slot = lambda key: F.get(F.col("_drop"), _slot(key, F.size("_drop")))
-    kept = F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~F.array_contains(of_slot(_key(line)), _key(line)))
-    changed = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
+        joined = _by_lines(rows, found, settings)
+    among = lambda slots, key: F.array_contains(F.get(F.col(slots), _slot(key, F.size(slots))), key)
+    without = lambda slots: F.filter(_lines(F.col("_text")), lambda line: ~line.rlike(SHOWN) | ~among(slots, _key(line)))
+    listed = F.col("_drop").isNotNull()
+    changed = joined.withColumn("_kept", F.when(listed, without("_drop")))
     some_left = F.exists("_kept", lambda line: line.rlike(SHOWN))
     if settings.max_lost < 1:
-        some_left &= _characters(F.col("_kept")) >= (1 - settings.max_lost) * _characters(_lines(F.col("_text")))
+        left, unframed = _characters(F.col("_kept")), _characters(F.when(listed, without("_frame")))
+        some_left &= left >= (1 - settings.max_lost) * unframed
+        some_left &= left >= settings.least_left * _characters(_lines(F.col("_text")))
     cleaned = F.when(some_left, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
     out = {c: F.col("_row").getField(c) for c in names}
     return changed.select(*[(cleaned if c == text else value).alias(c) for c, value in out.items()])
