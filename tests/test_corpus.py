@@ -249,3 +249,48 @@ def test_admission(spark):
     assert [r["rejection"] for r in got] == [None, "empty", "too_long", None, "empty"]
     assert admission.accepted(frame, max_chars=20000).count() == 2 and admission.rejected(frame, max_chars=20000).count() == 3
     assert admission.accepted(frame).count() == 3 and admission.rejected(frame).count() == 2
+
+
+def test_survivors_are_keep_first_without_texts(spark):
+    rows = [
+        ("Same  text", "Safe Prompt", "safe_evaluation", "b.csv", 2),
+        ("same text", "Jailbreak", "jailbreak", "a.csv", 9),
+        ("odd", "Jailbreak", "jailbreak", "a.csv", 3),
+        ("odd", "Data Extraction", "injection_benign", "c.csv", 3),
+        ("alone", "Safe Prompt", "injection_benign", "c.csv", 4),
+        ("", "Safe Prompt", "injection_benign", "c.csv", 5),
+    ]
+    raw = spark.createDataFrame(rows, "prompt string, label string, source_dataset string, source_file string, source_row long")
+    working = corpus.with_identity(corpus.relabel_safe_attacks(raw))
+    whole = corpus.keep_first(working)
+    narrow = corpus.survivors(working)
+    assert set(whole.columns) - set(narrow.columns) == {"prompt", "normalized_prompt"}
+    columns = narrow.columns
+    assert sorted(map(str, narrow.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    back = corpus.with_prompts(narrow, working, "normalized_prompt").select(whole.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, whole.collect()))
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("normalized_prompt") <= 2
+
+
+def test_a_resolution_without_texts_is_that_of_the_whole_rows(spark):
+    rows = [(f"p{i % 7}", ["Safe Prompt", "Jailbreak", "Data Extraction"][i % (1 + i % 3)], "jailbreak", "a.csv", i) for i in range(60)]
+    raw = spark.createDataFrame(rows, "prompt string, label string, source_dataset string, source_file string, source_row long")
+    working = corpus.with_identity(corpus.relabel_safe_attacks(raw))
+    whole = corpus.resolve_duplicates(working, "report")
+    narrow = corpus.resolve_duplicates(corpus.identities(working), "report")
+    assert sorted(map(str, corpus.relabel_audit(whole).collect())) == sorted(map(str, corpus.relabel_audit(narrow, raw).collect()))
+    assert whole.quarantined.count() == narrow.quarantined.count()
+    with pytest.raises(ValueError, match="Cannot safely resolve"):
+        corpus.resolve_duplicates(corpus.identities(working))
+
+
+def test_csv_keeps_blanks_around_texts(spark, tmp_path):
+    texts = ["  lead", "trail \t", 'a "quoted", text', "two\nlines", "plain"]
+    from wardline.sources.corpus import load_labelled_csv, numbered_csv, write_table
+
+    frame = spark.createDataFrame([(t, "Safe Prompt") for t in texts], "prompt string, label string").coalesce(1)
+    write_table(frame, f"{tmp_path}/raw/one", "csv")
+    loaded = load_labelled_csv(spark, str(tmp_path), {"jailbreak": "raw\\one"})
+    assert {r.prompt: r.source_row for r in loaded.collect()} == {t: i + 2 for i, t in enumerate(texts)}
+    assert {r.source_row for r in numbered_csv(spark, f"{tmp_path}/raw/one").collect()} == set(range(2, 7))

@@ -120,3 +120,23 @@ def test_confidence_and_margin(spark):
     p = F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3))
     row = spark.range(1).select(*evaluate.confidence_and_margin(p)).first()
     assert row[0] == 0.5 and row[1] == pytest.approx(0.2)
+
+
+def test_metrics_struct_holds_the_long_document(spark):
+    """Scores of classes and sources in one row equal the long rows of the metrics document."""
+    rows = [(LABELS[i % 5], LABELS[(i * i) % 5], "s1" if i % 3 else "s2") for i in range(40)]
+    predictions = spark.createDataFrame(rows, "label string, prediction string, source_dataset string")
+    found = evaluate.metrics_struct(predictions).first()["metrics"]
+    long = {(r.slice, r.label, r.metric): r.value for r in evaluate.metrics_document(predictions).collect()}
+    for name in LABELS:
+        for metric in ("precision", "recall", "f1", "support"):
+            assert abs(found["per_class"][name][metric] - long["all", name, metric]) < 1e-12
+    for metric in ("rows", "accuracy", "macro_f1", "weighted_f1"):
+        assert abs(found[metric] - long["all", "all", metric]) < 1e-12
+        for source in ("s1", "s2"):
+            assert abs(found["by_source"][source][metric] - long[source, "all", metric]) < 1e-12
+
+
+def test_metrics_struct_of_nothing(spark):
+    empty = spark.createDataFrame([], "label string, prediction string, source_dataset string")
+    assert evaluate.metrics_struct(empty).first()["metrics"]["by_source"] == {}

@@ -18,6 +18,7 @@ from .lookup import HOT_FLOOR, attach_key_facts
 
 RELABEL_SOURCE = "safe_evaluation"
 SOURCE_ORDER = ("jailbreak", "injection_benign", "safe_evaluation")
+# The columns of the prepared corpus and of the audit.
 PREPARED_COLUMNS = [
     "prompt",
     "label",
@@ -37,6 +38,7 @@ AUDIT_COLUMNS = [
     "source_file",
     "source_row",
 ]
+LINEAGE = ("source_dataset", "source_file", "source_row")
 SAMPLE_CHARS = 120
 _SAFE_BIT = 1
 _THREAT_BITS = sum(1 << LABELS.index(name) for name in THREATS)
@@ -75,6 +77,22 @@ def with_identity(relabeled: DataFrame) -> DataFrame:
     return normalized.withColumn("prompt_key", text_key(F.col("normalized_prompt")))
 
 
+def identities(working: DataFrame) -> DataFrame:
+    """The rows without their texts: digest, labels and lineage, all that grouping and resolution need.
+
+    Written once (`session.materialize`), they serve any number of jobs without normalising a text again.
+    """
+    return working.select("prompt_key", "label", "original_label", "relabel_reason", *LINEAGE)
+
+
+def with_prompts(rows: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """Give rows back their prompt and other ``columns`` of ``texts`` by their lineage, which is unique."""
+    names = ["prompt", *columns]
+    found = texts.select(*[F.col(c).alias(f"_{c}") for c in LINEAGE], *names)
+    same = [F.col(c) == F.col(f"_{c}") for c in LINEAGE]
+    return rows.join(found, same).select(*rows.columns, *names)
+
+
 def label_groups(working: DataFrame) -> DataFrame:
     """One row per distinct prompt: its label set as bits, its copies, its first row.
 
@@ -125,8 +143,9 @@ def require_resolvable(working: DataFrame) -> None:
     if not found["groups"]:
         return
     sample = found["sample"]
+    shown = "normalized_prompt" if "normalized_prompt" in working.columns else "prompt_key"
     text = working.filter(F.col("prompt_key") == sample["prompt_key"]).select(
-        F.substring("normalized_prompt", 1, SAMPLE_CHARS)
+        F.substring(shown, 1, SAMPLE_CHARS)
     ).first()[0]
     names = sorted(n for i, n in enumerate(LABELS) if sample["label_mask"] >> i & 1)
     raise ValueError(
@@ -136,6 +155,7 @@ def require_resolvable(working: DataFrame) -> None:
 
 
 def _resolution_reason(label: Column) -> Column:
+    # Fixed value: the sentence around the label.
     return F.concat(
         F.lit("Duplicate prompt also appears in a threat dataset; resolved to "), label, F.lit(".")
     )
@@ -167,43 +187,38 @@ def annotate_rows(working: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     ).drop("_row", "first_row", "label_mask", "copies")
 
 
-def keep_first(working: DataFrame) -> DataFrame:
-    """The deduplicated corpus in a single shuffle.
-
-    After resolution a group has one label, so its survivor is its first row: a minimum
-    that combines before the shuffle. Unresolvable groups are left out.
-    """
-    payload = F.struct(
-        row_order().alias("row"),
-        "prompt",
-        "label",
-        "original_label",
-        "relabel_reason",
-        "source_dataset",
-        "source_file",
-        "source_row",
-        "normalized_prompt",
-    )
+def _first_rows(working: DataFrame, texts: tuple[str, ...]) -> DataFrame:
+    """The first row of every resolvable prompt, with its settled label and the given text columns."""
+    facts = ("label", "original_label", "relabel_reason", *LINEAGE)
+    payload = F.struct(row_order().alias("row"), *facts, *texts)
     merged = working.groupBy("prompt_key").agg(
         F.bit_or(label_bit(F.col("label"))).alias("label_mask"), F.min(payload).alias("first")
     )
     settled = resolved_label(F.col("label_mask"))
     moved = is_conflict(F.col("label_mask")) & (F.col("first.label") == SAFE)
+    reason = F.when(moved, _resolution_reason(settled)).otherwise(F.col("first.relabel_reason"))
     return merged.filter(settled.isNotNull()).select(
         "prompt_key",
-        F.col("first.prompt").alias("prompt"),
         settled.alias("label"),
-        F.col("first.source_dataset").alias("source_dataset"),
-        F.col("first.source_file").alias("source_file"),
-        F.col("first.source_row").alias("source_row"),
-        F.col("first.original_label").alias("original_label"),
-        F.when(moved, _resolution_reason(settled))
-        .otherwise(F.col("first.relabel_reason"))
-        .alias("relabel_reason"),
-        F.col("first.normalized_prompt").alias("normalized_prompt"),
+        *[F.col(f"first.{c}").alias(c) for c in ("original_label", *LINEAGE, *texts)],
+        reason.alias("relabel_reason"),
     )
 
 
+def keep_first(working: DataFrame) -> DataFrame:
+    """The deduplicated corpus in a single shuffle.
+
+    After resolution a group has one label, so its survivor is its first row: a minimum
+    that combines before the shuffle. Unresolvable groups are left out.
+    """
+    return _first_rows(working, ("prompt", "normalized_prompt"))
+
+
+def survivors(working: DataFrame) -> DataFrame:
+    """The rows of `keep_first` without their texts, which are neither sorted nor shuffled."""
+    return _first_rows(working, ())
+
+
 @dataclass(frozen=True)
 class Resolution:
     """Views over the annotated rows; all lazy."""
@@ -263,15 +278,19 @@ def is_changed() -> Column:
     return F.col("relabel_reason").isNotNull() | (F.col("original_label") != F.col("label"))
 
 
-def relabel_audit(resolution: Resolution) -> DataFrame:
+def relabel_audit(resolution: Resolution, texts: DataFrame | None = None) -> DataFrame:
     """Surviving rows whose label changed plus every row relabelled in a conflict.
 
     Both branches are tests on the same annotated row, so their union without repeats is
-    one filter: no second scan, no deduplication shuffle.
+    one filter: no second scan, no deduplication shuffle. A resolution of `identities` takes
+    the prompts of its audited rows from ``texts``.
     """
     survivor = F.col("resolvable") & F.col("is_first") & is_changed()
     conflict = F.col("in_conflict") & F.col("resolvable") & (F.col("original_label") != F.col("label"))
-    return resolution.annotated.filter(survivor | conflict).select(*AUDIT_COLUMNS)
+    found = resolution.annotated.filter(survivor | conflict)
+    if texts is not None:
+        found = with_prompts(found, texts)
+    return found.select(*AUDIT_COLUMNS)
 
 
 def ordered(corpus: DataFrame) -> DataFrame:

@@ -193,6 +193,25 @@ def metrics_document(predictions: DataFrame) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
 
 
+def metrics_struct(predictions: DataFrame) -> DataFrame:
+    """One row, ``metrics``: overall scores, a map of class scores and a map of scores by source, sorted by name.
+
+    The maps have an entry a class and one a source, from counts of at most 25 rows a source.
+    """
+    counts = confusion_counts(predictions, ["source_dataset"])
+    totals = counts.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
+    scores = F.struct("rows", "accuracy", "macro_f1", "weighted_f1").alias("scores")
+
+    def as_map(frame: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        return frame.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value)))).alias(name))
+
+    whole = overall_metrics(totals).agg(*[F.first(c).alias(c) for c in ("rows", "accuracy", "macro_f1", "weighted_f1")])
+    classes = as_map(class_metrics(totals), "label", F.struct("precision", "recall", "f1", "support"), "per_class")
+    sources = as_map(overall_metrics(counts, ["source_dataset"], present_only=True).select("source_dataset", scores), "source_dataset", F.col("scores"), "by_source")
+    parts = F.struct("accuracy", "macro_f1", "weighted_f1", "rows", classes.scalar().alias("per_class"), sources.scalar().alias("by_source"))
+    return whole.select(parts.alias("metrics"))
+
+
 def top_errors(predictions: DataFrame, n: int = TOP_ERRORS, tie_break: Sequence[str] = ()) -> DataFrame:
     """The n most confident errors, by confidence then margin."""
     wrong = with_correctness(predictions).filter(~F.col("correct"))

@@ -277,6 +277,18 @@ ORACLE_SQL["label_domain_diff"] = UNCHECKED + (
 ORACLE_SQL["null_counts"] = UNCHECKED + (
     "SELECT count(*) FILTER (WHERE prompt IS NULL) AS null_prompts, count(*) FILTER (WHERE label IS NULL) AS null_labels FROM flagged"
 )
+ORACLE_SQL["validation_errors"] = UNCHECKED + (
+    f", report AS (SELECT count(*) FILTER (WHERE prompt IS NULL OR {strip('prompt')} = '') AS p, "
+    f"count(*) FILTER (WHERE label IS NULL OR {strip('label')} = '') AS l, count(*) FILTER (WHERE unknown) AS u, "
+    "count(DISTINCT label) FILTER (WHERE unknown) AS k, count(*) FILTER (WHERE label IS NULL) AS n FROM flagged), "
+    "told AS (SELECT *, 'invalid labels: ' || k || ' labels in ' || u || ' rows (see invalid_labels)' AS unknown_text FROM report) "
+    "SELECT 'corpus' AS check, 'Input validation failed: ' || concat_ws('; ', CASE WHEN p > 0 THEN p || ' missing/empty prompts' END, "
+    "CASE WHEN l > 0 THEN l || ' missing/empty labels' END, CASE WHEN u > 0 THEN unknown_text END) AS error FROM told "
+    "UNION ALL SELECT 'known', NULL "
+    "UNION ALL SELECT 'columns', 'labels must contain exactly [''label'', ''prompt'']; found [''doc_id'', ''quality'', ''toxic'']' "
+    "UNION ALL SELECT 'split', CASE WHEN n > 0 THEN 'split contains missing required values' "
+    "WHEN u > 0 THEN 'split contains ' || unknown_text END FROM told"
+)
 ORACLE_SQL["normalized_prompt"] = (
     f"SELECT doc_id, {normalize(fx.PLANTED)} AS normalized_prompt, sha256({normalize(fx.PLANTED)}) AS prompt_key FROM documents"
 )
@@ -415,6 +427,22 @@ OVERLAP = (
     "(SELECT count(*) FROM (SELECT prompt_key FROM assigned WHERE split = 'validation' INTERSECT SELECT prompt_key FROM assigned WHERE split = 'test')) AS validation_test"
 )
 ORACLE_SQL["split_overlap"] = CORPUS + SPLITS + OVERLAP
+ORACLE_SQL["csv_sources"] = (
+    f"SELECT sha256(text) AS prompt_digest, {fx.LABEL} AS label, {fx.SOURCE_DATASET} AS source_dataset, "
+    f"'raw/' || {fx.SOURCE_DATASET} AS source_file FROM documents JOIN labels USING (doc_id)"
+)
+ORACLE_SQL["csv_record_numbers"] = "SELECT count(*) AS records, true AS dense FROM documents JOIN labels USING (doc_id)"
+ORACLE_SQL["side_source"] = "SELECT count(*) AS side_rows, NULL::BIGINT AS absent_rows FROM pages"
+ORACLE_SQL["written_prepared"] = CORPUS + (
+    "SELECT sha256(prompt) AS prompt_digest, label, source_dataset, source_file, source_row, original_label, relabel_reason, "
+    "prompt_key FROM cleaned"
+)
+ORACLE_SQL["loaded_splits"] = CORPUS + SPLITS + (
+    "SELECT split, label, source_dataset, count(*) AS rows, sum(length(prompt))::BIGINT AS chars FROM assigned GROUP BY ALL"
+)
+ORACLE_SQL["written_audit"] = ORACLE_SQL["relabel_audit"].replace(
+    "SELECT prompt, original_label, label,", "SELECT sha256(prompt) AS prompt_digest, original_label, label,"
+)
 ORACLE_SQL["prep_report"] = CORPUS + SPLITS + f""", counters AS ({COUNTERS}), overlap AS ({OVERLAP})
 SELECT 'counters' AS section, name, value FROM (UNPIVOT counters ON COLUMNS(*) INTO NAME name VALUE value)
 UNION ALL SELECT 'counters', 'excluded_rows', count(*) FROM pages
@@ -508,6 +536,16 @@ ORACLE_SQL["metrics_document"] = LABELLED + SLICED + class_ctes("slice", "sliced
     )
     + ") SELECT slice, label, metric, round(value, 9) AS value FROM out"
 )
+ORACLE_SQL["written_evaluation"] = LABELLED + (
+    ", facts AS (SELECT split, count(*) AS n, count(*) FILTER (WHERE label = prediction) AS good, "
+    "count(*) FILTER (WHERE label <> prediction AND confidence >= 0.9e0) AS issues FROM preds GROUP BY split) "
+    "SELECT split, 'predictions' AS sink, n AS rows, good AS value FROM facts "
+    "UNION ALL SELECT split, 'highest_confidence_errors', least(n - good, 200), least(n - good, 200) FROM facts "
+    "UNION ALL SELECT split, 'confusion_matrix', 5, n FROM facts "
+    "UNION ALL SELECT split, 'classification_report', 8, n FROM facts "
+    "UNION ALL SELECT split, 'metrics', 1, n FROM facts "
+    "UNION ALL SELECT split, 'probable_label_issues', issues, issues FROM facts WHERE issues > 0"
+)
 ORACLE_SQL["error_counts"] = LABELLED + (
     "SELECT source_dataset, label = prediction AS correct, count(*) AS rows FROM preds GROUP BY ALL"
 )
@@ -630,6 +668,9 @@ TREND = (
     "sum(CASE WHEN classification = 'Safe Prompt' THEN 0 ELSE 1 END)::BIGINT AS threats FROM log GROUP BY 1"
 )
 ORACLE_SQL["history_counts"] = ORACLE_SQL["stream_counts"] = ORACLE_SQL["log_append"] = LOG + HEADLINE
+ORACLE_SQL["log_clear"] = LOG + (
+    "SELECT count(*) AS before, 0::BIGINT AS after, count(*) FILTER (WHERE risk_score >= 90) AS again FROM log"
+)
 ORACLE_SQL["history_by_type"] = ORACLE_SQL["stream_class_mix"] = LOG + MIX
 ORACLE_SQL["history_trend"] = ORACLE_SQL["stream_trend"] = ORACLE_SQL["stream_trend_bounded"] = LOG + TREND
 ORACLE_SQL["stream_score"] = scored(ADMITTED) + RECORD_LISTS + (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,14 +13,25 @@ from ..functions.regex import WORD_END, WORD_START
 from ..labels import LABELS
 from ..operators import admission, corpus, evaluate, history, hybrid, linear, report, rule_index, scan, split, tfidf
 from ..session import materialize, new_table_path
-from ..sources.corpus import number_rows, tag_lineage
-from ..sources.history import read_log, result_json, write_log_part
+from ..sources.corpus import (
+    forward_slash,
+    load_labelled_csv,
+    load_split,
+    number_rows,
+    numbered_csv,
+    side_source_rows,
+    tag_lineage,
+    write_audit,
+    write_prepared,
+    write_table,
+)
+from ..sources.history import clear_log, read_log, result_json, write_log_part
 from ..sources.rules import RULES
 from ..streaming import jobs
 from . import fixtures
 from .preparation import preparation_report
 from .scoring import analyze_prompts, classify_prompts
-from .training import TrainSettings
+from .training import EVALUATED, TrainSettings, write_predictions
 from .training import train_and_evaluate as fit_and_evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,11 +406,13 @@ def _working(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolution(spark: SparkSession, d: str) -> corpus.Resolution:
-    return corpus.resolve_duplicates(_working(spark, d), on_conflict="report")
+    """Resolution over the rows without their texts, which are normalised once and written."""
+    rows = materialize(corpus.identities(_working(spark, d)), "identities")
+    return corpus.resolve_duplicates(rows, on_conflict="report")
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return split.assign_splits(corpus.keep_first(_working(spark, d)))
+    return split.assign_splits(materialize(corpus.survivors(_working(spark, d)), "survivors"))
 
 
 @query
@@ -427,7 +441,7 @@ def resolved_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.keep_first(_working(spark, d)).select(
+    return corpus.survivors(_working(spark, d)).select(
         "prompt_key", "source_file", "source_row", "label", "original_label", "relabel_reason"
     )
 
@@ -451,13 +465,13 @@ def quarantined_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def remaining_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    left = corpus.remaining_conflicts(corpus.keep_first(_working(spark, d)))
+    left = corpus.remaining_conflicts(corpus.survivors(_working(spark, d)))
     return left.agg(F.count(F.lit(1)).alias("groups"))
 
 
 @query
 def relabel_audit(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.relabel_audit(_resolution(spark, d))
+    return corpus.relabel_audit(_resolution(spark, d), fixtures.raw_corpus(spark, d))
 
 
 @query
@@ -472,12 +486,12 @@ def prep_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.distribution(corpus.keep_first(_working(spark, d)), "label")
+    return corpus.distribution(corpus.survivors(_working(spark, d)), "label")
 
 
 @query
 def source_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.distribution(corpus.keep_first(_working(spark, d)), "source_dataset")
+    return corpus.distribution(corpus.survivors(_working(spark, d)), "source_dataset")
 
 
 @query
@@ -488,7 +502,8 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 @query
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
     """A training split as the loader prunes it: three columns, no nulls."""
-    return _assigned(spark, d).filter("split = 'test'").select("prompt", "label", "source_dataset")
+    rows = _assigned(spark, d).filter("split = 'test'")
+    return corpus.with_prompts(rows, fixtures.raw_corpus(spark, d)).select("prompt", "label", "source_dataset")
 
 
 @query
@@ -510,6 +525,106 @@ def prep_report(spark: SparkSession, d: str) -> DataFrame:
     return preparation_report(resolution, assigned, pages)
 
 
+# --- sources and sinks ----------------------------------------------------------------------
+
+
+def _digested(frame: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the digest of their prompt, as they came back from a written table."""
+    return frame.select(F.sha2("prompt", 256).alias("prompt_digest"), *columns)
+
+
+@query
+def csv_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled documents written as CSV, a folder a source, and loaded with lineage."""
+    root, rows = new_table_path(spark, "csv"), fixtures.labelled_corpus(spark, d)
+    sources = {name: f"raw\\{name}" for name in corpus.SOURCE_ORDER}
+    for name, relative in sources.items():
+        write_table(rows.filter(F.col("source_dataset") == name).select("prompt", "label"), f"{root}/{forward_slash(relative)}", "csv")
+    loaded = load_labelled_csv(spark, root, sources)
+    return _digested(loaded, "label", "source_dataset", "source_file")
+
+
+@query
+def csv_record_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a CSV source and whether the numbers in each of its files are dense from 2 on."""
+    path = new_table_path(spark, "csv")
+    write_table(fixtures.labelled_corpus(spark, d).select("prompt", "label"), path, "csv")
+    per_file = numbered_csv(spark, path).groupBy("source_path").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source_row").alias("numbers"), F.min("source_row").alias("low"), F.max("source_row").alias("high")
+    )
+    dense = (F.col("n") == F.col("numbers")) & (F.col("low") == 2) & (F.col("high") == F.col("n") + 1)
+    return per_file.agg(F.sum("n").alias("records"), F.bool_and(dense).alias("dense"))
+
+
+@query
+def side_source(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a corpus kept out of the core, pages as CSV, and of one that is absent."""
+    path = new_table_path(spark, "side")
+    pages = fixtures.read(spark, d, "pages").select(F.col("html").alias("prompt"), F.lit("Safe Prompt").alias("label"))
+    write_table(pages, path, "csv")
+    schema = "side_rows long, absent_rows long"
+    return spark.createDataFrame([(side_source_rows(spark, path), side_source_rows(spark, f"{path}-absent"))], schema)
+
+
+@query
+def written_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """The prepared corpus written to its sink and read back."""
+    path = new_table_path(spark, "prepared")
+    write_prepared(corpus.keep_first(_working(spark, d)), path)
+    left = [c for c in corpus.PREPARED_COLUMNS if c not in ("prompt", "normalized_prompt")]
+    back = spark.read.parquet(path).select(*corpus.PREPARED_COLUMNS)
+    return _digested(back, *left, F.sha2("normalized_prompt", 256).alias("prompt_key"))
+
+
+@query
+def loaded_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The three splits written, loaded again and checked as training loads them; rows and characters of each."""
+    working = materialize(_working(spark, d), "working")
+    assigned = split.assign_splits(materialize(corpus.survivors(working), "survivors"))
+    placed = materialize(corpus.with_prompts(assigned, working, "normalized_prompt"), "placed")
+    parts = []
+    for name in split.SPLITS:
+        path = new_table_path(spark, name)
+        write_prepared(placed.filter(F.col("split") == name), path, "csv" if name == "test" else "parquet")
+        loaded = load_split(spark, path, "csv" if name == "test" else "parquet")
+        parts.append(loaded.withColumn("split", F.lit(name)))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("split", "label", "source_dataset").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length("prompt")).cast("long").alias("chars")
+    )
+
+
+@query
+def written_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit written to its sink and read back."""
+    path = new_table_path(spark, "audit")
+    write_audit(corpus.relabel_audit(_resolution(spark, d), fixtures.raw_corpus(spark, d)), path)
+    back = spark.read.parquet(path).select(*corpus.AUDIT_COLUMNS)
+    return _digested(back, *[c for c in corpus.AUDIT_COLUMNS if c != "prompt"])
+
+
+@query
+def validation_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The one error that names every problem of a corpus, and that of a table with other columns."""
+    unchecked = materialize(_unchecked_corpus(spark, d), "unchecked")
+    labels = fixtures.read(spark, d, "labels")
+    checks = {
+        "corpus": lambda: admission.require_valid(unchecked),
+        "known": lambda: admission.require_valid(unchecked.filter(F.col("label").isin(*LABELS) & (text.strip(F.col("prompt")) != ""))),
+        "columns": lambda: admission.require_columns(labels, ["prompt", "label"], "labels"),
+        "split": lambda: admission.require_split(unchecked.withColumn("source_dataset", F.lit("jailbreak"))),
+    }
+    return spark.createDataFrame([(name, _error_of(check)) for name, check in checks.items()], "check string, error string")
+
+
+def _error_of(check: Callable[[], None]) -> str | None:
+    try:
+        check()
+    except ValueError as error:
+        return str(error)
+    return None
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 
@@ -569,6 +684,33 @@ def metrics_document(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.metrics_document(fixtures.predictions(spark, d)), "value")
 
 
+@query
+def written_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation of both splits written to its sinks; what is read back, by split and table."""
+    predictions = materialize(
+        fixtures.predictions(spark, d).join(fixtures.documents(spark, d).select("doc_id", F.col("text").alias("prompt")), "doc_id"), "predictions"
+    )
+    path, parts = new_table_path(spark, "evaluation"), []
+    write_predictions(predictions, path)
+    for name in EVALUATED:
+        table = lambda kind: spark.read.parquet(f"{path}/{name}/{kind}")  # noqa: E731, B023
+        counts = {
+            "predictions": table("predictions").agg(F.count(F.lit(1)).alias("rows"), F.count_if("correct").alias("value")),
+            "highest_confidence_errors": table("highest_confidence_errors").agg(
+                F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("correct")).alias("value")
+            ),
+            "confusion_matrix": table("confusion_matrix").agg(F.count(F.lit(1)).alias("rows"), sum(F.sum(F.col(f"`predicted::{c}`")) for c in LABELS).alias("value")),
+            "classification_report": table("classification_report").agg(
+                F.count(F.lit(1)).alias("rows"), F.max("support").cast("long").alias("value")
+            ),
+            "metrics": table("metrics").filter("slice = 'all' AND metric = 'rows'").agg(F.count(F.lit(1)).alias("rows"), F.max("value").cast("long").alias("value")),
+        }
+        parts += [frame.select(F.lit(name).alias("split"), F.lit(kind).alias("sink"), "rows", "value") for kind, frame in counts.items()]
+    issues = spark.read.parquet(f"{path}/probable_label_issues").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    parts.append(issues.select("split", F.lit("probable_label_issues").alias("sink"), "rows", F.col("rows").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def error_counts(spark: SparkSession, d: str) -> DataFrame:
     checked = evaluate.with_correctness(fixtures.predictions(spark, d))
@@ -777,10 +919,10 @@ def history_trend(spark: SparkSession, d: str) -> DataFrame:
     return history.daily_trend(fixtures.analyses_log(spark, d))
 
 
-def _written_log(spark: SparkSession, d: str) -> DataFrame:
+def _written_log(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
     """The log of analyses as it lies on disk: two batches, one of them written twice."""
     log = fixtures.analyses_log(spark, d).withColumn("day", text.utc_day(F.col("created_at")))
-    path = new_table_path(spark, "log")
+    path = path or new_table_path(spark, "log")
     early = F.col("risk_score") < 50
     for rows, batch in ((log.filter(early), "low"), (log.filter(~early), "high"), (log.filter(early), "low")):
         write_log_part(rows, path, batch)
@@ -793,6 +935,18 @@ def log_append(spark: SparkSession, d: str) -> DataFrame:
     return history.headline_counts(_written_log(spark, d))
 
 
+@query
+def log_clear(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses of a written log before it is truncated, after, and after one more batch."""
+    path = new_table_path(spark, "log")
+    before = _written_log(spark, d, path).count()
+    clear_log(spark, path)
+    after = read_log(spark, path).count()
+    late = fixtures.analyses_log(spark, d).filter("risk_score >= 90").withColumn("day", text.utc_day(F.col("created_at")))
+    write_log_part(late, path, "again")
+    return spark.createDataFrame([(before, after, read_log(spark, path).count())], "before long, after long, again long")
+
+
 @query
 def log_recent(spark: SparkSession, d: str) -> DataFrame:
     return _listing(history.recent(_written_log(spark, d), 25)).select(*history.LISTING)

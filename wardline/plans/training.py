@@ -307,7 +307,12 @@ def intercepts(run: TrainingRun) -> dict[str, float]:
 
 def evaluation_tables(run: TrainingRun, split: str) -> dict[str, DataFrame]:
     """The five evaluation outputs of one split."""
-    rows = run.predictions.filter(F.col("split") == split).drop("split")
+    return prediction_tables(run.predictions, split)
+
+
+def prediction_tables(predictions: DataFrame, split: str) -> dict[str, DataFrame]:
+    """The same of any predictions (prompt, label, source_dataset, split, prediction, confidence, confidence_margin)."""
+    rows = predictions.filter(F.col("split") == split).drop("split")
     return {
         "predictions": evaluate.with_correctness(rows),
         "highest_confidence_errors": evaluate.top_errors(rows),
@@ -318,10 +323,15 @@ def evaluation_tables(run: TrainingRun, split: str) -> dict[str, DataFrame]:
 
 
 def write_evaluation(run: TrainingRun, path: str) -> None:
+    write_predictions(run.predictions, path)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Write the evaluation of both splits, and the labels to review, below ``path``."""
     for split in EVALUATED:
-        for name, table in evaluation_tables(run, split).items():
+        for name, table in prediction_tables(predictions, split).items():
             table.write.mode("overwrite").parquet(f"{path}/{split}/{name}")
-    by_split = {s: run.predictions.filter(F.col("split") == s).drop("split") for s in EVALUATED}
+    by_split = {s: predictions.filter(F.col("split") == s).drop("split") for s in EVALUATED}
     evaluate.review_queue(by_split).write.mode("overwrite").parquet(f"{path}/probable_label_issues")
 
 
@@ -366,9 +376,7 @@ def metadata_row(run: TrainingRun, spark: SparkSession) -> DataFrame:
     issues = evaluate.label_issues(run.predictions).agg(F.count(F.lit(1))).scalar()
 
     def metrics(split: str) -> Column:
-        counts = evaluate.confusion_counts(run.predictions.filter(F.col("split") == split))
-        scores = evaluate.overall_metrics(counts)
-        return scores.agg(F.first(F.struct("accuracy", "macro_f1", "weighted_f1"))).scalar()
+        return evaluate.metrics_struct(run.predictions.filter(F.col("split") == split)).scalar()
 
     return base.withColumns(
         {

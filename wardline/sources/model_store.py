@@ -69,7 +69,9 @@ def model_summary(spark: SparkSession, path: str) -> DataFrame:
     """One row: model, selected candidate, test metrics and training facts, with defaults."""
     document = spark.read.schema(
         "model string, selected_candidate string, "
-        "test_metrics struct<accuracy:double,macro_f1:double,weighted_f1:double>, "
+        "test_metrics struct<accuracy:double,macro_f1:double,weighted_f1:double,rows:bigint,"
+        "per_class:map<string,struct<precision:double,recall:double,f1:double,support:bigint>>,"
+        "by_source:map<string,struct<rows:bigint,accuracy:double,macro_f1:double,weighted_f1:double>>>, "
         "training struct<train_rows:bigint,vocabulary_size:bigint,converged:boolean,elapsed_seconds:double>"
     ).json(f"{path}/metadata")
     return document.select(
