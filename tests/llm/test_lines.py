@@ -110,3 +110,13 @@ def test_hot_lines_and_repeated_rows_in_the_large_form(spark, monkeypatch):
     result = lines.drop_boilerplate(frame, F.col("host"), "text", Settings(0.3, 3), small_table=0)
     order = lambda found: sorted(found, key=str)
     assert order((r.page_id, r.host, r.text) for r in result.collect()) == order((i, h, e) for (i, h, _), e in zip(rows, expected))
+
+
+def test_a_page_of_very_many_lines(spark):
+    """40,000 lines, half of them on all pages of the host; lists in slots, distinct lines by hashing."""
+    pages = [(i, "h", "\n".join(f"shared {k}" if k % 2 else f"own {i} {k}" for k in range(40_000))) for i in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, host string, text string")
+    expected = {i: "\n".join(f"own {i} {k}" for k in range(0, 40_000, 2)) for i in range(3)}
+    for small_table in (100_000, 0):
+        found = lines.drop_boilerplate(frame, F.col("host"), "text", small_table=small_table).collect()
+        assert {r.page_id: r.text for r in found} == expected

@@ -82,9 +82,12 @@ def _characters(lines: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str, text: str, settings: Settings = Settings()) -> DataFrame:
     """host, key, pages, ratio of the lines to drop."""
     key_of = lambda line: F.struct(_key(line).alias("key"), _words(line, settings).alias("words"))
-    keys = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(_shown(F.col(text)), key_of)).alias("keys"))
+    # Lines are made distinct as strings, which a hash set does; structs would be compared pair by pair.
+    keys = pages.select(F.col(host).alias("host"), F.transform(F.array_distinct(_shown(F.col(text))), key_of).alias("keys"))
     totals = keys.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = keys.select("host", F.inline("keys")).groupBy("host", "key", "words").agg(F.count(F.lit(1)).alias("pages"))
+    # inline_outer: for inline the optimizer would filter on the size of the keys first and compute them once more for that.
+    exploded = keys.select("host", F.inline_outer("keys")).filter(F.col("key").isNotNull())
+    counts = exploded.groupBy("host", "key", "words").agg(F.count(F.lit(1)).alias("pages"))
     counts = counts.filter(F.col("pages") >= settings.min_pages)
     totals = totals.select(F.col("host").alias("_host"), "total")
     rated = counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).withColumn("ratio", F.col("pages") / F.col("total"))
@@ -132,20 +135,19 @@ def _by_broadcast(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def _by_lines(rows: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
-    """Rows with those of their own lines that are to be dropped, in one slot.
+    """Rows with the slots of those of their own lines that are to be dropped.
 
     A line of a host may stand on a third of all pages; such lines are few, and `attach_key_facts` broadcasts them.
     """
     numbered = materialize(rows.withColumn("_number", F.monotonically_increasing_id()), "pages")
-    own = numbered.select("_number", "_host", F.explode(F.array_distinct(F.transform(_shown(F.col("_text")), _key))).alias("key"))
+    own = numbered.select("_number", "_host", F.explode_outer(F.transform(F.array_distinct(_shown(F.col("_text"))), _key)).alias("key"))
+    own = own.filter(F.col("key").isNotNull())
     parts = lambda host: F.concat_ws(":", F.col("key.a"), F.col("key.b"), F.xxhash64(host), host)
     own = own.select("_number", "key", parts(F.col("_host")).alias("_line"))
     facts = found.select(parts(F.col("host")).alias("_line"), (F.col("ratio") > settings.frame_ratio).alias("frame"), F.col("pages").alias("copies"))
     hits = attach_key_facts(own, facts, "_line", F.struct("_number", "key"), hot_floor=HOT_LINE).filter("frame is not null")
-    lists = hits.groupBy("_number").agg(
-        F.array(F.collect_list("key")).alias("_drop"), F.array(F.collect_list(F.when(F.col("frame"), F.col("key")))).alias("_frame")
-    )
-    return numbered.join(lists, "_number", "left").drop("_number")
+    lists = _slotted(hits.select(F.col("_number").alias("host"), "key", "frame"))
+    return numbered.join(lists, F.col("_number") == F.col("host"), "left").drop("_number", "host")
 
 
 def drop_boilerplate(
