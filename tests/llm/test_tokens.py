@@ -24,10 +24,10 @@ def library():
 
 
 def same(coder, library, text):
-    ids = coder.encode(text)
+    ids = b"".join(coder.encode(text))
     expected = library.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == expected, text[:200]
-    assert "".join(coder.decode(ids)) == library.decode(expected, skip_special_tokens=False)
+    assert "".join(coder.decode([ids])) == library.decode(expected, skip_special_tokens=False)
 
 
 @given(text=st.text(max_size=80))
@@ -81,12 +81,20 @@ def test_pairs_are_those_of_merging(coder):
 
 def test_invalid_bytes_are_replaced_as_in_the_library(coder, library):
     for ids in ([coder.byte_ids[0xE2], coder.byte_ids[0x82]], [coder.byte_ids[0xFF]] * 3, [coder.byte_ids[0xF0], 1000]):
-        assert "".join(coder.decode(np.array(ids, "<u4").tobytes())) == library.decode(ids, skip_special_tokens=False)
+        assert "".join(coder.decode([np.array(ids, "<u4").tobytes()])) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_blocks_do_not_cut_characters(coder, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 1)
-    assert "".join(coder.decode(coder.encode("é𝒳€ text"))) == "é𝒳€ text"
+def test_blocks_do_not_cut_characters(coder):
+    ids = b"".join(coder.encode("é𝒳€ text"))
+    assert "".join(coder.decode(ids[k : k + 4] for k in range(0, len(ids), 4))) == "é𝒳€ text"
+
+
+def test_ids_leave_the_encoder_block_by_block(coder, library):
+    text = "word " * (2 * bpe.CHUNK)
+    blocks = list(coder.encode(text))
+    assert len(blocks) > 5 and max(map(len, blocks)) < 8 * bpe.CHUNK
+    assert "".join(coder.decode(blocks)) == text
+    assert np.frombuffer(b"".join(blocks), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_query(spark, small, library):

@@ -1,13 +1,14 @@
 """Byte-level BPE encoding by a bounded-lookahead transducer, and decoding by an incremental byte-to-text machine.
 
 Encoding: a text is cut into pieces by the tokenizer's pattern, and every piece runs through a transducer that reads
-byte after byte. For each position it holds the last token of the encoding of the bytes so far: the one token that ends
-there and makes a valid pair with the last token of what precedes it. Only the last few positions can still be continued;
-what their encodings have in common is stable and is emitted, so the state stays bounded by the merge list's sufficient
-lookahead. Results of short pieces are remembered in a bounded table of the Python worker.
+token after token. Its state is the open end of the encoding of the bytes so far: tokens of which every two neighbours stay
+as they are when encoded together, which only one sequence does. Tokens farther back than the merge list's sufficient
+lookahead cannot change any more and are emitted, so the state stays bounded. Results of short pieces are remembered in a
+bounded table of the Python worker.
 
-Decoding: tokens are turned to bytes block by block, and an incremental UTF-8 decoder keeps the unfinished character
-between blocks; invalid bytes become U+FFFD.
+Decoding: ids are turned to bytes block by block as they are emitted, and an incremental UTF-8 decoder keeps the unfinished
+character between blocks; invalid bytes become U+FFFD. A block holds the pieces of CHUNK characters, so that digests never
+hold all ids of a text.
 
 Defined results: a null text is empty; an empty text has no tokens; the text of a special token is that token.
 """
@@ -18,7 +19,8 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +42,6 @@ WIDE = re.compile(r"[^\x00-\xff]")
 #: A piece always ends before white space that follows something else.
 SEAM = regex.compile(rf"[^{WHITE}](?=[{WHITE}])")
 CHUNK = 1 << 16  # characters of a text that are cut into pieces together
-BLOCK = 1 << 16  # tokens decoded together
 SHORT = 64  # bytes of a piece whose encoding is remembered
 REMEMBERED = 400_000  # pieces remembered by a worker
 PAIRS = 1_000_000  # token pairs remembered by a worker
@@ -74,9 +75,9 @@ class Coder:
         self.lookahead = sufficient_lookahead(merges)
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         usable = {token: number for token, number in self.ids.items() if self.merged(token) == [number]}
-        #: Endings of tokens, with the token if the ending is one and else -1: a walk back from a position stops where no
-        #: token can begin.
-        self.endings = dict.fromkeys((token[k:] for token in self.ids for k in range(len(token))), -1) | usable
+        #: Beginnings of tokens, with the token if the beginning is one and else -1: a walk from a position stops where no
+        #: token can end.
+        self.beginnings = dict.fromkeys((token[:k] for token in usable for k in range(1, len(token))), -1) | usable
         self.valid: dict[int, bool] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known = _Known(self)
@@ -134,61 +135,57 @@ class Coder:
             self.valid[key] = known
         return known
 
-    def step(self, data: bytes, at: int, floor: int, last: dict[int, int]) -> None:
-        """Adds to ``last``, the last tokens at earlier positions, that of the encoding of data[:at].
-
-        It is the only token that ends here and makes a valid pair with what precedes it; long ones are tried first, as
-        they are more often right.
-        """
-        endings, candidates = self.endings, []
-        start = at
-        while start > floor:
-            start -= 1
-            token = endings.get(data[start:at])
+    def candidates(self, data: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that stand in the data from ``at`` on, the longest last."""
+        beginnings, found, size = self.beginnings, [], len(data)
+        end = at + 1
+        while end <= size:
+            token = beginnings.get(data[at:end])
             if token is None:
                 break
             if token >= 0:
-                candidates.append((start, token))
-        valid = self.valid
-        for start, token in reversed(candidates):
-            if start == 0:
-                last[at] = token
-                return
-            before = last.get(start)
-            if before is not None:
-                pair = valid.get(before << 20 | token)
-                if pair or pair is None and self.is_pair(before, token):
-                    last[at] = token
-                    return
+                found.append((end, token))
+            end += 1
+        return found
 
     def transduce(self, data: bytes) -> Iterator[int]:
-        """The tokens of one piece, each yielded once no later byte can change it."""
-        last: dict[int, int] = {}  # position: last token there, for positions still needed
-        emitted, window = 0, 2 * (self.lookahead + self.longest)
-        for at in range(1, len(data) + 1):
-            self.step(data, at, max(emitted, at - self.longest), last)
-            if at - emitted >= window:
-                stable = self._common(last, range(at - self.longest + 1, at + 1))
-                yield from self._between(last, emitted, stable)
-                last = {p: x for p, x in last.items() if p >= stable}
-                emitted = stable
-        yield from self._between(last, emitted, len(data))
-
-    def _common(self, last: dict[int, int], live: range) -> int:
-        """The last position through which the encodings of all live positions pass."""
-        open_at = {p for p in live if p in last}
-        while len(open_at) > 1:
-            highest = max(open_at)
-            open_at.remove(highest)
-            open_at.add(highest - len(self.texts[last[highest]]))
-        return open_at.pop()
-
-    def _between(self, last: dict[int, int], start: int, end: int) -> list[int]:
-        tokens = []
-        while end > start:
-            tokens.append(last[end])
-            end -= len(self.texts[last[end]])
-        return tokens[::-1]
+        """The tokens of one piece, each yielded once no later byte can change it.
+
+        The open tokens are the encoding of the bytes read so far, as all their neighbours are valid pairs. A token goes
+        on from the last one, long ones first; where none makes a valid pair, the last one is taken back and its end is
+        not tried again, since only one encoding leads there. Were a token emitted too early, no sequence would go on from
+        it, and the search would fail instead of yielding another encoding.
+        """
+        size, valid, window = len(data), self.valid, self.lookahead + self.longest
+        tokens, ends, untried = [-1], [0], [self.candidates(data, 0)]  # the first of each stands for what is emitted
+        closed: set[int] = set()
+        while ends[-1] < size:
+            before, options = tokens[-1], untried[-1]
+            while options:
+                end, token = options.pop()
+                if end in closed:
+                    continue
+                if before >= 0:
+                    pair = valid.get(before << 20 | token)
+                    if pair is None:
+                        pair = self.is_pair(before, token)
+                    if not pair:
+                        continue
+                tokens.append(token)
+                ends.append(end)
+                untried.append(self.candidates(data, end))
+                break
+            else:
+                tokens.pop()
+                untried.pop()
+                closed.add(ends.pop())
+                continue
+            if ends[-1] - ends[0] >= window:
+                stable = bisect_right(ends, ends[-1] - self.lookahead) - 1
+                yield from tokens[1 : stable + 1]
+                del tokens[:stable], ends[:stable], untried[:stable]
+                closed = {place for place in closed if place > ends[0]}
+        yield from tokens[1:]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, chunk by chunk; chunks end at seams."""
@@ -202,27 +199,23 @@ class Coder:
             yield find(text[at:end])
             at = end
 
-    def encode(self, text: str) -> bytes:
-        """Token ids of a text as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Token ids of a text as little-endian unsigned 32-bit integers, block by block."""
         known = self.known
         parts = self.split.split(text) if self.split is not None and any(s in text for s in self.special) else [text]
-        out = []
         for part in parts:
             if part in self.special:
-                out.append(self.packed[self.special[part]])
+                yield self.packed[self.special[part]]
             else:
                 for pieces in self.pieces(part):
-                    out.append(b"".join(map(known.__getitem__, pieces)))
-        return b"".join(out)
+                    yield b"".join(map(known.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> Iterator[str]:
+    def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
         """The text of token ids, block by block."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        texts = self.texts
-        numbers = np.frombuffer(ids, "<u4")
-        for at in range(0, len(numbers), BLOCK):
-            block = numbers[at : at + BLOCK].tolist()
-            yield machine.decode(b"".join([texts[number] for number in block]))
+        of_token = self.texts.__getitem__
+        for block in blocks:
+            yield machine.decode(b"".join(map(of_token, np.frombuffer(block, "<u4").tolist())))
         yield machine.decode(b"", True)
 
 
@@ -272,8 +265,8 @@ def round_trip(text: Column, vocabulary: str) -> Column:
     @F.arrow_udf("ids binary, decoded string")
     def coded(column: pa.Array) -> pa.Array:
         coder = coder_of(content)
-        ids = [coder.encode(x.as_py() or "") for x in column]
-        texts = ["".join(coder.decode(x)) for x in ids]
+        ids = [b"".join(coder.encode(x.as_py() or "")) for x in column]
+        texts = ["".join(coder.decode([x])) for x in ids]
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["ids", "decoded"])
 
     return coded(text)
@@ -288,13 +281,20 @@ def digests(text: Column, vocabulary: str) -> Column:
         coder = coder_of(content)
         counts, of_ids, of_texts = [], [], []
         for value in column:
-            ids = coder.encode(value.as_py() or "")
-            digest = hashlib.sha256()
-            for part in coder.decode(ids):
-                digest.update(part.encode())
-            counts.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_texts.append(digest.hexdigest())
+            encoded, decoded, size = hashlib.sha256(), hashlib.sha256(), 0
+
+            def emitted() -> Iterator[bytes]:
+                nonlocal size
+                for block in coder.encode(value.as_py() or ""):
+                    encoded.update(block)
+                    size += len(block)
+                    yield block
+
+            for part in coder.decode(emitted()):
+                decoded.update(part.encode())
+            counts.append(size // 4)
+            of_ids.append(encoded.hexdigest())
+            of_texts.append(decoded.hexdigest())
         columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
