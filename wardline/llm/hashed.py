@@ -78,15 +78,24 @@ class Words:
 
     Words are runs of ASCII letters, ASCII digits and all bytes of other characters, of any length; they end with their
     text. Chunks end between words, so a word's hash does not depend on what is around it. With ``exact``, ``keys`` tells
-    words apart by two sums and their length.
+    words apart by two sums and their length. ``inside`` says of each byte whether it belongs to a word; ``starts`` are
+    places in the slice.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), exact: bool = False):
+    def __init__(
+        self,
+        data: np.ndarray,
+        offsets: np.ndarray,
+        prefixes: tuple[int, ...] = (),
+        exact: bool = False,
+        inside: np.ndarray = _IN_WORD,
+    ):
         begin, end = int(offsets[0]), int(offsets[-1])
         self._breaks = offsets - begin
         self._data = data[begin:end]
         self.prefixes = prefixes
         self._exact = exact
+        self._inside = inside
         hashes, keys, starts_at = [], [], []
         heads: list[list[np.ndarray]] = [[] for _ in prefixes]
         at = 0
@@ -102,22 +111,22 @@ class Words:
         joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.hashes, self.keys = joined(hashes), joined(keys)
         self.heads = [joined(head) for head in heads]
-        places = np.concatenate(starts_at) if starts_at else np.empty(0, np.int64)
-        self.text = np.searchsorted(self._breaks, places, "right") - 1
+        self.starts = np.concatenate(starts_at) if starts_at else np.empty(0, np.int64)
+        self.text = np.searchsorted(self._breaks, self.starts, "right") - 1
 
     def _cut(self, at: int) -> int:
         """Where the chunk from ``at`` ends: after the last separator or text of CHUNK_BYTES, else where its only word ends."""
         stop = at + CHUNK_BYTES
         if stop >= len(self._data):
             return len(self._data)
-        gaps = np.flatnonzero(~_IN_WORD[self._data[at:stop]])
+        gaps = np.flatnonzero(~self._inside[self._data[at:stop]])
         border = int(self._breaks[np.searchsorted(self._breaks, stop, "right") - 1])
         last = max(at + int(gaps[-1]) + 1 if len(gaps) else at, border)
         if last > at:
             return last
         border = int(self._breaks[np.searchsorted(self._breaks, stop, "right")])
         while stop < border:
-            gaps = np.flatnonzero(~_IN_WORD[self._data[stop : min(stop + CHUNK_BYTES, border)]])
+            gaps = np.flatnonzero(~self._inside[self._data[stop : min(stop + CHUNK_BYTES, border)]])
             if len(gaps):
                 return stop + int(gaps[0])
             stop = min(stop + CHUNK_BYTES, border)
@@ -125,7 +134,7 @@ class Words:
 
     def _chunk(self, at: int, stop: int) -> tuple[np.ndarray, ...]:
         part = self._data[at:stop]
-        inside = _IN_WORD[part]
+        inside = self._inside[part]
         before = np.empty_like(inside)
         before[0] = False
         before[1:] = inside[:-1]

@@ -8,12 +8,16 @@ fitted by FTRL to the posteriors of a bounded sample (``sample_rows``), in shard
 every whole text.
 
 Defined results: a null or empty text gets no votes and the posterior and score of such documents; if all documents have
-one pattern, all posteriors are equal; without any document there is no row. Repeated rows count each time.
+one pattern, all posteriors are equal; without any document there is no row. Repeated rows count each time. A very long
+text is a slice of its own. A share on a labeller's limit is no vote against or for. Other columns are not returned.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 from .hashed import Words, bounded_sample, buckets, distinct_rows, ftrl, mix, slices, text_buffers
 
-GAP = r"[\x20\x09-\x0D]+"
 LABELLERS = ("symbols", "word_length", "lines", "words", "capitals", "letters", "endings")
 GOOD, BAD, NOTHING = 2, 0, 1
 
@@ -42,41 +45,113 @@ class Settings:
     threshold: float = 0.6
 
 
-def _vote(value: Column, bad: Column, good: Column) -> Column:
-    return F.when(value.isNull(), NOTHING).when(bad, BAD).when(good, GOOD).otherwise(NOTHING)
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[32, *range(9, 14)]] = True
+_NOT_NEWLINE = np.ones(256, bool)
+_NOT_NEWLINE[10] = False
+_ASCII = np.arange(256) < 128
+_CONTINUES = (np.arange(256) & 0xC0) == 0x80
+_SYMBOL, _ENDS_LINE = np.zeros(256, bool), np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = _ENDS_LINE[list(b'.!?:;")')] = True
+_CAPITAL, _LETTER = 1, 2
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a capital, a letter, or both."""
+    kinds = (unicodedata.category(chr(point)) for point in range(sys.maxunicode + 1))
+    return np.fromiter(((_CAPITAL if k == "Lu" else 0) | (_LETTER if k[0] == "L" else 0) for k in kinds), np.uint8)
+
+
+def _wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points beyond ASCII whose first bytes stand at ``at``."""
+    follow = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    first = data[at].astype(np.int64)
+    two, three = (first & 0x1F) << 6 | follow[0], (first & 0x0F) << 12 | follow[0] << 6 | follow[1]
+    four = (first & 0x07) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2]
+    return np.minimum(np.select([first < 0xE0, first < 0xF0], [two, three], four), sys.maxunicode)
+
+
+def _distinct(keys: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the number of different keys, which are told apart by 64 bits less those that number the texts."""
+    low = np.uint64(64 - texts.bit_length())
+    both = np.sort((text.astype(np.uint64) << low) | (keys >> np.uint64(texts.bit_length())))
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return np.diff(np.searchsorted(both, np.arange(texts + 1, dtype=np.uint64) << low))
+
+
+def _line_votes(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray, word_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each text its lines that are more than spaces, the different ones of them, and those that end like a sentence."""
+    texts, breaks, part = len(offsets) - 1, offsets - offsets[0], data[offsets[0] : offsets[-1]]
+    lines = Words(data, offsets, exact=True, inside=_NOT_NEWLINE)
+    newlines = np.append(np.flatnonzero(~_NOT_NEWLINE[part]), len(part))
+    ends = np.minimum(newlines[np.searchsorted(newlines, lines.starts)], breaks[lines.text + 1])
+    used = np.searchsorted(spaces, ends) - np.searchsorted(spaces, lines.starts) < ends - lines.starts
+    last = word_ends[np.searchsorted(word_ends, ends[used]) - 1] if len(word_ends) else np.empty(0, np.int64)
+    starts, text = lines.starts[used], lines.text[used]
+    if not len(word_ends):
+        return np.bincount(text, minlength=texts), _distinct(lines.keys[used], text, texts), np.zeros(texts, np.int64)
+    one, two, three = (part[np.maximum(last - back, 0)] for back in (0, 1, 2))
+    closing = _ENDS_LINE[one] | (one == 0xBB) & (two == 0xC2) | (one == 0x9D) & (two == 0x80) & (three == 0xE2)  # », ”
+    ended = closing & (last >= starts) & (last < ends[used])
+    return np.bincount(text, minlength=texts), _distinct(lines.keys[used], text, texts), np.bincount(text[ended], minlength=texts)
+
+
+def _patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The labellers' votes on each text of a slice as one number, in base three."""
+    texts, breaks, part = len(offsets) - 1, offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+    def count(places: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(places, breaks))
+
+    gaps, beyond = np.flatnonzero(_IS_GAP[part]), np.flatnonzero(~_ASCII[part])
+    first = beyond[~_CONTINUES[part[beyond]]]
+    kinds = _letters()[_wide(part, first)] if len(first) else np.empty(0, np.uint8)
+    narrow = _letters()[:256] * _ASCII.astype(np.uint8)
+    capitals = count(np.flatnonzero((narrow & _CAPITAL).astype(bool)[part])) + count(first[(kinds & _CAPITAL) > 0])
+    others = count(np.flatnonzero((_ASCII & ~(narrow & _LETTER).astype(bool))[part])) + count(first[(kinds & _LETTER) == 0])
+    characters = np.diff(breaks) - count(beyond) + count(first)
+
+    words = Words(data, offsets, exact=True, inside=~_IS_GAP)
+    size = np.bincount(words.text, minlength=texts)
+    inside = ~_IS_GAP[part]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    borders = breaks[(breaks > 0) & (breaks <= len(part))] - 1
+    ends[borders] = inside[borders]
+    spaces = gaps[part[gaps] == 32]
+    lines, distinct_lines, ended = _line_votes(data, offsets, spaces, np.flatnonzero(ends))
+
+    def vote(defined: np.ndarray, top: np.ndarray, under: np.ndarray, bad, good) -> np.ndarray:
+        value = top / np.maximum(under, 1)
+        return np.where(~defined, NOTHING, np.where(bad(value), BAD, np.where(good(value), GOOD, NOTHING)))
+
+    some = size > 0
+    ballots = [
+        vote(some, count(np.flatnonzero(_SYMBOL[part])), size, lambda v: v > 0.2, lambda v: v < 0.05),
+        vote(some, characters - count(gaps), size, lambda v: (v < 2.5) | (v > 12), lambda v: (v >= 3.5) & (v <= 9)),
+        vote(lines > 1, lines - distinct_lines, lines, lambda v: v > 0.3, lambda v: v < 0.05),
+        vote(size >= 30, _distinct(words.keys, words.text, texts), size, lambda v: v < 0.15, lambda v: v > 0.3),
+        vote(size >= 5, capitals, characters, lambda v: v > 0.3, lambda v: v < 0.1),
+        vote(some, characters - others, characters, lambda v: v < 0.6, lambda v: v > 0.75),
+        vote(lines > 0, ended, lines, lambda v: v < 0.2, lambda v: v > 0.6),
+    ]
+    return sum(ballot * 3**k for k, ballot in enumerate(ballots))
+
+
+def _all_patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    parts = [_patterns(data, offsets[first : last + 1]) for first, last in slices(offsets)]
+    return np.concatenate([np.empty(0, np.int64), *parts])
 
 
 def votes(text: Column) -> Column:
     """The labellers' votes on a text as one number, in base three."""
-    whole = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(whole, GAP), lambda w: w != "")
-    lines = F.filter(F.split(whole, "\n"), lambda line: F.trim(line) != "")
-
-    def weigh(x: Column) -> Column:
-        size, characters = F.size(x["words"]), F.length(x["text"])
-        some = F.when(size > 0, size)
-        many = F.when(size >= 30, size)
-        symbols = (characters - F.length(F.regexp_replace(x["text"], r"[#*$%&|<>]", ""))) / some
-        length = F.length(F.array_join(x["words"], "")) / some
-        repeated = F.when(F.size(x["lines"]) > 1, 1 - F.size(F.array_distinct(x["lines"])) / F.size(x["lines"]))
-        distinct = F.size(F.array_distinct(x["words"])) / many
-        capitals = F.length(F.regexp_replace(x["text"], r"\P{Lu}+", "")) / F.when(size >= 5, characters)
-        letters = F.length(F.regexp_replace(x["text"], r"\P{L}+", "")) / F.when(size > 0, characters)
-        ended = F.size(F.filter(x["lines"], lambda line: line.rlike(r"[.!?:;\"”»)][\x20\x09-\x0D]*$")))
-        endings = ended / F.when(F.size(x["lines"]) > 0, F.size(x["lines"]))
-        ballots = [
-            _vote(symbols, symbols > 0.2, symbols < 0.05),
-            _vote(length, (length < 2.5) | (length > 12), length.between(3.5, 9)),
-            _vote(repeated, repeated > 0.3, repeated < 0.05),
-            _vote(distinct, distinct < 0.15, distinct > 0.3),
-            _vote(capitals, capitals > 0.3, capitals < 0.1),
-            _vote(letters, letters < 0.6, letters > 0.75),
-            _vote(endings, endings < 0.2, endings > 0.6),
-        ]
-        return sum((ballot * 3**i for i, ballot in enumerate(ballots)), F.lit(0))
-
-    staged = F.array(F.struct(whole.alias("text"), words.alias("words"), lines.alias("lines")))
-    return F.element_at(F.transform(staged, weigh), 1)
+
+    @F.arrow_udf("int")
+    def voted(column: pa.Array) -> pa.Array:
+        return pa.array(_all_patterns(*text_buffers(column)), pa.int32())
+
+    return voted(text)
 
 
 @dataclass(frozen=True)
@@ -133,9 +208,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[np.ndarr
     hashes, owners = words.features()
     shape, shape_owner = _shapes(data, offsets)
     total = np.bincount(words.text, minlength=texts)
-    order = np.lexsort((words.hashes, words.text))
-    fresh = np.append(True, (np.diff(words.hashes[order]) != 0) | (np.diff(words.text[order]) != 0))[: len(order)]
-    distinct = np.bincount(words.text[order][fresh], minlength=texts)
+    distinct = _distinct(mix(words.hashes, 1), words.text, texts)
     richness = np.floor(8 * distinct / np.maximum(total, 1)).astype(np.uint64)
     size = np.floor(np.log2(total + 1)).astype(np.uint64)
     every = np.arange(texts)
@@ -148,8 +221,6 @@ _CLASSES = np.arange(256, dtype=np.uint64)
 _CLASSES[128:] = _CLASSES[97:123] = ord("a")
 _CLASSES[65:91] = ord("A")
 _CLASSES[48:58] = ord("0")
-_IS_GAP = np.zeros(256, bool)
-_IS_GAP[[32, *range(9, 14)]] = True
 
 
 def _shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +288,9 @@ def fit_scorer(documents: DataFrame, beliefs: DataFrame, settings: Settings = Se
 
 
 def score(text: Column, scorer: Scorer) -> Column:
-    """Probability that a whole text is good."""
+    """struct(pattern, score) of whole texts: the labellers' votes, and the probability that the text is good."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("pattern int, score double")
     def scored(column: pa.Array) -> pa.Array:
         table = np.zeros(1 << scorer.bits)
         table[scorer.buckets] = scorer.weights
@@ -228,21 +299,23 @@ def score(text: Column, scorer: Scorer) -> Column:
         for first, last in slices(offsets):
             for i, row in enumerate(_features(data, offsets[first : last + 1], scorer.bits), first):
                 margins[i] += table[row].sum()
-        return pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))))
+        scores = pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))))
+        return pa.StructArray.from_arrays([pa.array(_all_patterns(data, offsets), pa.int32()), scores], ["pattern", "score"])
 
     return scored(text)
 
 
 def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, weak_label (posterior of good), score, kept of documents (doc_id, text)."""
-    voted = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("pattern", votes(F.col("text")))
-    patterns = voted.groupBy("pattern").count().toPandas().sort_values("pattern")  # at most 3 ** 7 rows
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    patterns = rows.groupBy(votes(F.col("text")).alias("pattern")).count().toPandas().sort_values("pattern")  # at most 3 ** 7 rows
     model = estimate(patterns["pattern"].to_numpy(np.int64), patterns["count"].to_numpy(float), settings.rounds)
     belief = np.round(model.posterior(patterns["pattern"].to_numpy(np.int64)), 9)
-    table = voted.sparkSession.createDataFrame(
+    table = rows.sparkSession.createDataFrame(
         [(int(p), float(b)) for p, b in zip(patterns["pattern"], belief)], "pattern int, belief double"
     )
-    labelled = voted.join(F.broadcast(table), "pattern")
-    scorer = fit_scorer(voted, table, settings)
-    scored = labelled.select("doc_id", F.col("belief").alias("weak_label"), score(F.col("text"), scorer).alias("score"))
-    return scored.withColumn("kept", F.col("score") >= settings.threshold)
+    scorer = fit_scorer(rows, table, settings)
+    # One pass of the texts gives votes and score; the posteriors join to the pattern.
+    scored = rows.select("doc_id", score(F.col("text"), scorer).alias("_scored")).select("doc_id", "_scored.*")
+    labelled = scored.join(F.broadcast(table), "pattern").select("doc_id", F.col("belief").alias("weak_label"), "score")
+    return labelled.withColumn("kept", F.col("score") >= settings.threshold)
