@@ -8,7 +8,11 @@ A blank is written as U+2581 and one is put in front of the text. No piece of su
 of the next word or across a character that no piece has, so the programme runs over the stretches between, and the counts
 of stretches are remembered in a bounded table of the Python worker.
 
-Defined results: a null or empty text has 0 tokens.
+The file that the query is given holds a BPE model, whose scores are minus the ranks of its merges: the counts are those of
+the best-scoring pieces under these scores, not of the file's own encoder, which merges (figures in the README).
+
+Defined results: a null or empty text has 0 tokens, whatever its length a text is counted whole, and only doc_id and the
+count are returned.
 """
 
 from __future__ import annotations
