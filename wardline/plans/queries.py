@@ -964,8 +964,12 @@ def log_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of files.
+
+    As a pattern the path matches both; a plain path would be taken for a folder.
+    """
     schema = fixtures.read(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
