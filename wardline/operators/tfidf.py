@@ -8,6 +8,7 @@ form (`joined_weights`) gives the same numbers for a vocabulary too large to be
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,20 +74,27 @@ def smooth_idf(documents: Column, df: Column) -> Column:
     return F.log((documents + 1) / (df + 1)) + 1.0
 
 
-def _most_frequent(stats: DataFrame, n: int) -> DataFrame:
-    """The n terms of highest tf, ties by term.
+def _reaching(stats: DataFrame, n: int, counted: Column | None = None) -> DataFrame:
+    """The rows of a frequency tf that at least n of them reach, and little more than those.
 
-    A plain top-n over many partitions sends n rows of each to one task. A histogram over
-    the logarithm of tf (some hundred buckets) first finds a frequency that at least n terms
-    reach, so that little more than n rows in all arrive there.
+    A plain top-n over many partitions sends n rows of each to one task. A histogram over the logarithm of tf (some
+    hundred buckets) finds the frequency first. Only rows that are ``counted`` make up the n.
     """
     scaled = stats.withColumn("_scale", F.floor(F.log2(F.col("tf").cast("double")) * 16))
-    histogram = scaled.groupBy("_scale").agg(F.count(F.lit(1)).alias("terms"))
+    histogram = (scaled if counted is None else scaled.filter(counted)).groupBy("_scale").agg(F.count(F.lit(1)).alias("terms"))
     from_top = Window.orderBy(F.col("_scale").desc())  # over the histogram only
     reached = histogram.withColumn("_reached", F.sum("terms").over(from_top)).filter(F.col("_reached") >= n)
     cut = reached.agg(F.max("_scale")).scalar()
-    candidates = scaled.filter(F.col("_scale") >= F.coalesce(cut, F.lit(-1))).drop("_scale")
-    return candidates.orderBy(F.col("tf").desc(), F.col("term")).limit(n)
+    return scaled.filter(F.col("_scale") >= F.coalesce(cut, F.lit(-1))).drop("_scale")
+
+
+def _top_terms(stats: DataFrame, n: int) -> DataFrame:
+    return stats.orderBy(F.col("tf").desc(), F.col("term")).limit(n)
+
+
+def _most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The n terms of highest tf, ties by term."""
+    return _top_terms(_reaching(stats, n), n)
 
 
 def fit_vocabulary(
@@ -102,11 +110,74 @@ def fit_vocabulary(
 
     Terms outside the document-frequency bounds go first, then the most frequent
     ``max_features`` stay; equal frequencies at the cut keep the alphabetically first.
+    Frequencies are counted by hash; a second pass finds the terms of the frequent hashes only, and should two of
+    them share a hash, all is counted by term.
     """
     n_docs = corpus_size(documents)
-    stats = term_stats(document_terms(documents, key, text_col))
-    bounded = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
-    return number_terms(_most_frequent(bounded, max_features).withColumn("idf", smooth_idf(n_docs, F.col("df"))))
+    hashed = _hashed_stats(documents, text_col).filter(F.col("df") >= min_df)
+    below = F.col("df") <= n_docs * F.lit(max_df)
+    candidates = materialize(
+        _reaching(hashed, max_features, below).withColumn("_below", below), "vocabulary-candidates"
+    )
+    named = _candidate_terms(documents, text_col, candidates)
+    if named is None:
+        stats = term_stats(document_terms(documents, key, text_col))
+        bounded = stats.filter((F.col("df") >= min_df) & below)
+        kept = _most_frequent(bounded, max_features)
+    else:
+        # A candidate has one term, so the counts of its hash are those of the term.
+        rows = candidates.filter("_below").join(named, "_hash").select("term", "df", "tf")
+        kept = _top_terms(rows, max_features)
+    return number_terms(kept.withColumn("idf", smooth_idf(n_docs, F.col("df"))))
+
+
+def _token_hashes(tokens: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """A 64-bit hash of every token, and what makes of these the hashes of `with_bigrams` in its order."""
+
+    def all_terms(hashes: Column) -> Column:
+        n = F.greatest(F.size(hashes) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.concat(hashes, pairs)
+
+    return F.transform(tokens, lambda token: F.xxhash64(token)), all_terms
+
+
+def _tokens(documents: DataFrame, text_col: str) -> DataFrame:
+    folded = documents.select(fold_accents(F.col(text_col)).alias("folded"))
+    return folded.select(word_tokens(F.col("folded")).alias("tokens"))
+
+
+def _hashed_stats(documents: DataFrame, text_col: str) -> DataFrame:
+    """`term_stats` by the 64-bit hash of a term: no term is built, and a group is a number.
+
+    A document's hashes are sorted, so one that differs from the hash before it is the document's first of its kind.
+    """
+    tokens = _tokens(documents, text_col)
+    hashes, all_terms = _token_hashes(F.col("tokens"))
+    hashed = tokens.select(hashes.alias("hashes")).select(F.sort_array(all_terms(F.col("hashes"))).alias("hashes"))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - 1, F.lit(0))))
+    zipped = hashed.select(F.arrays_zip(F.col("hashes").alias("_hash"), before.alias("_before")).alias("cells"))
+    rows = inline_rows(zipped, "cells", ["_hash", "_before"], [])
+    return rows.groupBy("_hash").agg(
+        F.count_if(F.col("_before").isNull() | (F.col("_before") != F.col("_hash"))).alias("df"),
+        F.count(F.lit(1)).alias("tf"),
+    )
+
+
+def _candidate_terms(documents: DataFrame, text_col: str, candidates: DataFrame) -> DataFrame | None:
+    """The term of every candidate hash: (_hash, term), written. None if two terms share a candidate's hash."""
+    tokens = _tokens(documents, text_col)
+    hashes, all_terms = _token_hashes(F.col("tokens"))
+    staged = tokens.select("tokens", hashes.alias("hashes"))
+    zipped = staged.select(
+        F.arrays_zip(with_bigrams(F.col("tokens")).alias("term"), all_terms(F.col("hashes")).alias("_hash")).alias("cells")
+    )
+    rows = inline_rows(zipped, "cells", ["term", "_hash"], [])
+    wanted, n = candidates.select("_hash"), candidates.count()
+    # The candidates are counted before they are broadcast; more of them take the shuffled join.
+    met = rows.join(F.broadcast(wanted) if n <= MAX_LOCAL_TERMS else wanted, "_hash", "left_semi")
+    named = materialize(met.select("_hash", "term").distinct(), "vocabulary-terms")
+    return named if named.count() == n else None
 
 
 def number_terms(kept: DataFrame) -> DataFrame:
