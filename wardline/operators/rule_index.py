@@ -1,9 +1,9 @@
 """Scan for large rule catalogs: a literal index finds candidate rules, the regex runs on these.
 
 `scan.scan_prompts` unrolls its catalog into the plan, which suits tens of rules. Here the catalog is
-a table, so plans do not grow with it. Every literal of a rule is filed under one of its n-grams; a
-text's distinct n-grams meet the index by an equi-join, and a rule's regex sees only the texts that
-hold one of its literals.
+a table, so plans do not grow with it. Every literal of a rule is filed under one of its n-grams; the
+n-gram at every place of a text meets the index by an equi-join, with the characters that stand there
+but without the text, and a rule's regex sees only the texts that hold one of its literals.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.arrays import bound, inline_rows
 from ..functions.regex import jvm_pattern
 from ..functions.text import squash, strip
+from ..session import materialize
 from .scan import EVIDENCE_CHARS, INDICATOR_FIELDS
 
 #: Characters of n-grams. A literal is filed under its first ones, as many as the largest length within its own; a literal
 #: shorter than all under itself. Long grams keep candidates few, few lengths keep a text's grams few.
 GRAMS = (8, 4)
 MAX_BROADCAST_LITERALS = 200_000
+MAX_BROADCAST_GRAMS = 1_000_000  # literals alone, without their rules
+WINDOW = 32  # characters of a text that a literal is compared with before it meets the whole text
 CATALOG = (
     "rule_ord int, rule_id string, category string, label string, weight int, pattern string, "
     "explanation string, mitigation string, literals array<string>"
@@ -67,33 +70,51 @@ def literal_index(catalog: DataFrame) -> DataFrame:
     )
 
 
-def text_grams(folded: Column, lengths: list[int]) -> Column:
-    """The distinct n-grams of a text for every length the index has."""
-    parts = [F.array(F.lit(""))]
-    parts += [F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths if n]
-    return F.array_distinct(F.concat(*parts))
+def text_windows(folded: Column, lengths: list[int], longest: int) -> Column:
+    """(gram hash, window) at every place of a text and for every gram length the index has; the empty gram once.
+
+    A window is what stands there, up to the longest literal or WINDOW characters.
+    """
+    windows = F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{1,{max(1, min(WINDOW, longest))}}}))"), 1)
+    parts = [windows] if any(lengths) else []
+    if 0 in lengths or not parts:
+        parts.append(F.array(F.lit("")))
+    return F.concat(*parts)
 
 
 def catalog_hits(prompts: DataFrame, catalog: DataFrame, keep, text_col: str = "prompt") -> DataFrame:
     """One row per (prompt, fired rule): the ``keep`` columns, rule_ord and the indicator fields.
 
-    Equal to `scan.rule_hits` with the same rules. A text and a literal meet at most once, as a text's grams are
-    distinct; of a rule's literals in a text the first one speaks, so a rule fires once without a deduplication.
+    Equal to `scan.rule_hits` with the same rules. A text and a literal that was found in it are kept once; of a rule's
+    literals in a text the first one speaks, so a rule fires once.
     """
-    index = literal_index(catalog)
-    # The index is counted before it is broadcast; a larger one takes the shuffled join.
-    sizes = index.groupBy(F.length("gram").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()  # a row a length
-    small = sum(r["rows"] for r in sizes) <= MAX_BROADCAST_LITERALS
+    index = literal_index(catalog).withColumn("_literal", F.monotonically_increasing_id())
+    index = materialize(index, "literals")
+    # The index is counted before it is broadcast; a larger one takes the shuffled join. A row a length:
+    sizes = index.groupBy(F.length("gram").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("literal")).alias("longest")).collect()
+    literals, lengths = sum(r["rows"] for r in sizes), sorted(r["n"] for r in sizes)
     text = F.col(text_col)
+    # Texts are written with a number of their own, as keys may repeat: windows go without them, and a literal that was
+    # found meets its text by the number.
     staged = prompts.select(*keep, text.alias("_text"), _folded(F.coalesce(text, F.lit(""))).alias("_folded"))
-    staged = staged.select("*", text_grams(F.col("_folded"), sorted(r["n"] for r in sizes)).alias("_grams"))
-    grams = inline_rows(
-        staged.withColumn("_grams", F.transform("_grams", lambda g: F.struct(g.alias("gram")))),
-        "_grams", ["gram"], [*keep, "_text", "_folded"],
+    staged = materialize(staged.withColumn("_row", F.monotonically_increasing_id()), "scanned")
+    windows = text_windows(F.col("_folded"), lengths, max((r["longest"] for r in sizes), default=0))
+    rows = staged.select("_row", F.explode_outer(windows).alias("_window"))
+    grams = [F.xxhash64(F.substring("_window", 1, n)) for n in lengths] or [F.lit(None).cast("long")]
+    hashed = rows.select("_row", "_window", (grams[0] if len(grams) == 1 else F.explode_outer(F.array(*grams))).alias("_gram"))
+    narrow = index.select(F.xxhash64("gram").alias("_gram"), "literal", "_literal")
+    met = hashed.join(F.broadcast(narrow) if literals <= MAX_BROADCAST_GRAMS else narrow, "_gram")
+    here = F.startswith(F.col("_window"), F.col("literal")) | (
+        (F.length("literal") > WINDOW) & F.startswith(F.col("literal"), F.col("_window"))
     )
-    candidates = grams.join(F.broadcast(index) if small else index, "gram").filter(
-        ((F.col("gram") == F.col("literal")) | F.contains(F.col("_folded"), F.col("literal")))
-        & ~F.exists("earlier", lambda other: F.contains(F.col("_folded"), other))
+    candidates = met.filter(here).select("_row", "_literal").repartition("_row").distinct()
+    wide = index.drop("gram")
+    if literals <= MAX_BROADCAST_LITERALS:
+        candidates = candidates.join(staged, "_row").join(F.broadcast(wide), "_literal")
+    else:
+        candidates = candidates.join(wide, "_literal").join(staged, "_row")
+    candidates = candidates.filter(
+        F.contains(F.col("_folded"), F.col("literal")) & ~F.exists("earlier", lambda other: F.contains(F.col("_folded"), other))
     )
     # One run of the regex for most: a match with text needs no test, and an empty one is told from none by the test. As an
     # array element the result is there once; a filter on a column would be pushed below it and run the regex again.
