@@ -1,7 +1,8 @@
 """Text functions on columns.
 
-Everything stays in JVM expressions except full case folding and accent removal of texts
-beyond ASCII, which Spark SQL lacks: those are two Arrow-batched pandas UDFs.
+Everything stays in JVM expressions. Full case folding and accent removal, which Spark SQL lacks, work character by
+character, so tables built from the Unicode database serve them there; only texts with rare characters, which become
+several ones or depend on their neighbours, go to two Arrow-batched pandas UDFs.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -45,17 +48,90 @@ def strip(text: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Collapse every whitespace run to one space."""
-    return F.regexp_replace(text, f"{WHITESPACE}+", " ")
+    """Collapse every whitespace run to one space.
+
+    A single space is left alone: only a space with more behind it and a run that starts otherwise are matched.
+    """
+    may_be_space = r"(?=[^!-~\xa1-\u167f])"  # what most characters fail without a test of the whole class
+    return F.regexp_replace(text, f"{may_be_space}(?: {may_be_space}{WHITESPACE}+|(?! ){WHITESPACE}+)", " ")
+
+
+def _drop_marks(text: str) -> str:
+    """The text in lower case without combining marks after compatibility decomposition."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+_FOLDED_POINTS = 0x30000  # beyond this code point no character is changed by folding
+_SYLLABLES = range(0xAC00, 0xD7A4)  # of Hangul; they fall apart into two or three characters
+_CAPITAL_SIGMA = "\u03a3"  # its lower case depends on the letters around it
+
+
+@dataclass(frozen=True)
+class _Folding:
+    """What a function of single characters does to a text, as JVM expressions.
+
+    ``source`` and ``target`` are the arguments of ``translate`` for characters that become one character or none,
+    ``several`` the common ones that become several, ``rare`` a pattern of all others that change.
+    """
+
+    source: str
+    target: str
+    several: tuple[tuple[str, str], ...]
+    rare: str
+
+    def apply(self, text: Column) -> Column:
+        text = F.translate(text, self.source, self.target)
+        for char, spelled in self.several:
+            text = F.replace(text, F.lit(char), F.lit(spelled))
+        return text
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points in ascending order as the inside of a Java character class."""
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+def _folding(one: Callable[[str], str], common: str, in_context: str = "") -> _Folding:
+    """The folding ``one`` of single characters; those of ``in_context`` are left to the rare ones."""
+    points = (p for p in range(_FOLDED_POINTS) if p not in _SYLLABLES and not 0xD800 <= p < 0xE000)
+    changed = {c: new for c in map(chr, points) if (new := one(c)) != c and c not in in_context}
+    if one(chr(_SYLLABLES[0])) != chr(_SYLLABLES[0]):
+        changed |= {chr(p): "  " for p in _SYLLABLES}
+    # Where ``translate`` has no character left to put in place, it deletes.
+    single = sorted((c for c, new in changed.items() if len(new) < 2), key=lambda c: not changed[c])
+    rare = sorted(ord(c) for c, new in [*changed.items(), *dict.fromkeys(in_context, "  ").items()] if len(new) > 1 and c not in common)
+    return _Folding(
+        "".join(single),
+        "".join(changed[c] for c in single),
+        tuple((c, changed[c]) for c in common),
+        f"(?=[^\\x{{0}}-\\x{{{rare[0] - 1:x}}}])[{_ranges(rare)}]",  # most characters fail the first class, a single range
+    )
+
+
+@lru_cache(maxsize=1)
+def _case_folding() -> _Folding:
+    return _folding(str.casefold, "\u00df\u1e9e\ufb00\ufb01\ufb02\ufb03\ufb04")
+
+
+@lru_cache(maxsize=1)
+def _accent_folding() -> _Folding:
+    return _folding(_drop_marks, "\u00bc\u00bd\u00be\u2026\u2033\u2122\ufb00\ufb01\ufb02\ufb03\ufb04", _CAPITAL_SIGMA)
 
 
-def _routed(raw: Column, prepared: Column, fold) -> Column:
-    """``fold`` of the prepared text: lower case in the JVM where the raw text is ASCII, the function elsewhere.
+def _routed(raw: Column, prepared: Column, folding: _Folding, fold) -> Column:
+    """``fold`` of the prepared text, which works character by character: in the JVM unless the raw text has rare ones.
 
-    On ASCII both agree. The function sees null in place of an ASCII text, so none of those leaves the JVM.
+    The function sees null in place of all other texts, so none of those leaves the JVM.
     """
     is_ascii = F.octet_length(raw) == F.length(raw)
-    return F.when(is_ascii, F.lower(prepared)).otherwise(fold(F.when(~is_ascii, prepared)))
+    in_python = fold(F.when(~is_ascii, F.when(raw.rlike(folding.rare), prepared)))
+    return F.when(is_ascii, F.lower(prepared)).otherwise(F.coalesce(in_python, folding.apply(prepared)))
 
 
 @F.pandas_udf(T.StringType())
@@ -64,12 +140,12 @@ def _casefold(values: pd.Series) -> pd.Series:
 
 
 def casefold(text: Column) -> Column:
-    return _routed(text, text, _casefold)
+    return _routed(text, text, _case_folding(), _casefold)
 
 
 def normalize_prompt(text: Column) -> Column:
     """Whitespace-collapsed, stripped, case-folded text: the identity of a prompt."""
-    return _routed(text, squash(strip(text)), _casefold)
+    return _routed(text, squash(strip(text)), _case_folding(), _casefold)
 
 
 def text_key(normalized: Column) -> Column:
@@ -119,7 +195,7 @@ def fold_accents(text: Column) -> Column:
         return values.map(one)
 
     fold.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return _routed(text, text, F.pandas_udf(fold, T.StringType()))
+    return _routed(text, text, _accent_folding(), F.pandas_udf(fold, T.StringType()))
 
 
 def word_tokens(text: Column) -> Column:
