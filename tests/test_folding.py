@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text
 from wardline.functions.regex import WHITESPACE
+from wardline.operators import tfidf
 
 
 def _without_marks(value):
@@ -43,3 +44,12 @@ def test_squash_collapses_every_kind_of_run(spark):
     for row in frame.select("x", text.squash(F.col("x")).alias("s")).collect():
         assert row["s"] == re.sub("[" + text.WHITESPACE_CHARS + "]+", " ", row["x"])
     assert WHITESPACE.startswith("[")
+
+
+def test_a_vocabulary_folds_its_texts_once(spark, monkeypatch):
+    """Both passes over the terms read the texts that were folded for the first."""
+    calls = []
+    monkeypatch.setattr(tfidf, "fold_accents", lambda column: calls.append(1) or text.fold_accents(column))
+    docs = spark.createDataFrame([(1, "Été à Paris"), (2, "ete a paris"), (2, None), (None, "été")], "doc_id long, text string")
+    got = {(r["term"], r["df"], r["tf"]) for r in tfidf.fit_vocabulary(docs, "doc_id", max_df=1.0).collect()}
+    assert got == {("ete", 3, 3), ("paris", 2, 2), ("ete paris", 2, 2)} and len(calls) == 1

@@ -199,8 +199,8 @@ def fold_accents(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Runs of two or more word characters."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    """Runs of two or more word characters; those of ASCII are named first, as they are found faster."""
+    return F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9_\p{L}\p{N}]{2,})"), 1)
 
 
 def with_bigrams(tokens: Column) -> Column:

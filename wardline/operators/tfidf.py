@@ -114,12 +114,14 @@ def fit_vocabulary(
     them share a hash, all is counted by term.
     """
     n_docs = corpus_size(documents)
-    hashed = _hashed_stats(documents, text_col).filter(F.col("df") >= min_df)
+    # Texts are folded once for both passes, and the counts are merged once for the histogram and the cut.
+    folded = materialize(documents.select(fold_accents(F.col(text_col)).alias("folded")), "vocabulary-texts")
+    hashed = materialize(_hash_counts(folded).filter(F.col("df") >= min_df), "vocabulary-hashes")
     below = F.col("df") <= n_docs * F.lit(max_df)
     candidates = materialize(
         _reaching(hashed, max_features, below).withColumn("_below", below), "vocabulary-candidates"
     )
-    named = _candidate_terms(documents, text_col, candidates)
+    named = _candidate_terms(folded, candidates)
     if named is None:
         stats = term_stats(document_terms(documents, key, text_col))
         bounded = stats.filter((F.col("df") >= min_df) & below)
@@ -142,17 +144,17 @@ def _token_hashes(tokens: Column) -> tuple[Column, Callable[[Column], Column]]:
     return F.transform(tokens, lambda token: F.xxhash64(token)), all_terms
 
 
-def _tokens(documents: DataFrame, text_col: str) -> DataFrame:
-    folded = documents.select(fold_accents(F.col(text_col)).alias("folded"))
-    return folded.select(word_tokens(F.col("folded")).alias("tokens"))
+def _hashed_stats(documents: DataFrame, text_col: str) -> DataFrame:
+    """`term_stats` by the 64-bit hash of a term: no term is built, and a group is a number."""
+    return _hash_counts(documents.select(fold_accents(F.col(text_col)).alias("folded")))
 
 
-def _hashed_stats(documents: DataFrame, text_col: str) -> DataFrame:
-    """`term_stats` by the 64-bit hash of a term: no term is built, and a group is a number.
+def _hash_counts(folded: DataFrame) -> DataFrame:
+    """Counts by hash over folded texts.
 
     A document's hashes are sorted, so one that differs from the hash before it is the document's first of its kind.
     """
-    tokens = _tokens(documents, text_col)
+    tokens = folded.select(word_tokens(F.col("folded")).alias("tokens"))
     hashes, all_terms = _token_hashes(F.col("tokens"))
     hashed = tokens.select(hashes.alias("hashes")).select(F.sort_array(all_terms(F.col("hashes"))).alias("hashes"))
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - 1, F.lit(0))))
@@ -164,9 +166,9 @@ def _hashed_stats(documents: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _candidate_terms(documents: DataFrame, text_col: str, candidates: DataFrame) -> DataFrame | None:
+def _candidate_terms(folded: DataFrame, candidates: DataFrame) -> DataFrame | None:
     """The term of every candidate hash: (_hash, term), written. None if two terms share a candidate's hash."""
-    tokens = _tokens(documents, text_col)
+    tokens = folded.select(word_tokens(F.col("folded")).alias("tokens"))
     hashes, all_terms = _token_hashes(F.col("tokens"))
     staged = tokens.select("tokens", hashes.alias("hashes"))
     zipped = staged.select(
