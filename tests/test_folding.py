@@ -53,3 +53,15 @@ def test_a_vocabulary_folds_its_texts_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Été à Paris"), (2, "ete a paris"), (2, None), (None, "été")], "doc_id long, text string")
     got = {(r["term"], r["df"], r["tf"]) for r in tfidf.fit_vocabulary(docs, "doc_id", max_df=1.0).collect()}
     assert got == {("ete", 3, 3), ("paris", 2, 2), ("ete paris", 2, 2)} and len(calls) == 1
+
+
+def test_case_folding_needs_no_python(spark):
+    """Also for texts full of characters that become several, next to each other and to what they become."""
+    several = [c for c in map(chr, range(0x80, 0x20000)) if not "\ud800" <= c < "\ue000" and len(c.casefold()) > 1]
+    values = ["".join(several), "".join(c.casefold() + c + c.upper() for c in several), " İ\t\xa0ŉ ǰİ ", "ΐ ﬗﬅ", *several, None, "", "plain"]
+    frame = spark.createDataFrame(list(enumerate(values)), "i int, x string")
+    folded = frame.select("i", text.casefold(F.col("x")).alias("c"), text.normalize_prompt(F.col("x")).alias("n"))
+    for row in folded.collect():
+        value = values[row["i"]]
+        assert (row["c"], row["n"]) == ((None, None) if value is None else (value.casefold(), " ".join(value.split()).casefold()))
+    assert "Python" not in folded._jdf.queryExecution().optimizedPlan().toString()

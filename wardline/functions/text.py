@@ -1,8 +1,8 @@
 """Text functions on columns.
 
 Everything stays in JVM expressions. Full case folding and accent removal, which Spark SQL lacks, work character by
-character, so tables built from the Unicode database serve them there; only texts with rare characters, which become
-several ones or depend on their neighbours, go to two Arrow-batched pandas UDFs.
+character, so tables built from the Unicode database serve them there. Only accent removal sends texts with rare
+characters, which become several ones or depend on their neighbours, to an Arrow-batched pandas UDF.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .regex import WHITESPACE
 
-# Ship the two UDF bodies by value: executors need not have this package installed.
+# Ship the UDF's body by value: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The code points Python treats as whitespace.
@@ -71,13 +71,15 @@ class _Folding:
     """What a function of single characters does to a text, as JVM expressions.
 
     ``source`` and ``target`` are the arguments of ``translate`` for characters that become one character or none,
-    ``several`` the common ones that become several, ``rare`` a pattern of all others that change.
+    ``several`` the common ones that become several, ``rare`` a pattern of all others that change, ``spelled`` what those
+    become that do not depend on their neighbours.
     """
 
     source: str
     target: str
     several: tuple[tuple[str, str], ...]
     rare: str
+    spelled: tuple[tuple[str, str], ...]
 
     def apply(self, text: Column) -> Column:
         text = F.translate(text, self.source, self.target)
@@ -85,6 +87,20 @@ class _Folding:
             text = F.replace(text, F.lit(char), F.lit(spelled))
         return text
 
+    def holds_rare(self, raw: Column) -> Column:
+        """Whether the text has rare characters; a range, which is found much faster, tells for most texts."""
+        first, last = (ord(f(c for c, _ in self.spelled)) for f in (min, max))
+        return raw.rlike(f"[\\x{{{first:x}}}-\\x{{{last:x}}}]") & raw.rlike(self.rare)
+
+    def apply_rare(self, raw: Column, text: Column) -> Column:
+        """`apply` and the rare characters, each that the raw text holds in one replacement.
+
+        What a character becomes holds no character that changes, so the order does not matter.
+        """
+        table = F.create_map(*[F.lit(part) for pair in self.spelled for part in pair])
+        held = F.array_distinct(F.regexp_extract_all(raw, F.lit(self.rare), 0))
+        return F.aggregate(held, self.apply(text), lambda done, char: F.replace(done, char, F.element_at(table, char)))
+
 
 def _ranges(points: list[int]) -> str:
     """Code points in ascending order as the inside of a Java character class."""
@@ -111,6 +127,7 @@ def _folding(one: Callable[[str], str], common: str, in_context: str = "") -> _F
         "".join(changed[c] for c in single),
         tuple((c, changed[c]) for c in common),
         f"(?=[^\\x{{0}}-\\x{{{rare[0] - 1:x}}}])[{_ranges(rare)}]",  # most characters fail the first class, a single range
+        tuple((c, one(c)) for c in map(chr, rare) if c not in in_context),
     )
 
 
@@ -130,22 +147,24 @@ def _routed(raw: Column, prepared: Column, folding: _Folding, fold) -> Column:
     The function sees null in place of all other texts, so none of those leaves the JVM.
     """
     is_ascii = F.octet_length(raw) == F.length(raw)
-    in_python = fold(F.when(~is_ascii, F.when(raw.rlike(folding.rare), prepared)))
+    in_python = fold(F.when(~is_ascii, F.when(folding.holds_rare(raw), prepared)))
     return F.when(is_ascii, F.lower(prepared)).otherwise(F.coalesce(in_python, folding.apply(prepared)))
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.str.casefold()
+def _casefolded(raw: Column, prepared: Column) -> Column:
+    """The prepared text case-folded, in the JVM whatever characters the raw text has."""
+    is_ascii, folding = F.octet_length(raw) == F.length(raw), _case_folding()
+    whole = F.when(folding.holds_rare(raw), folding.apply_rare(raw, prepared)).otherwise(folding.apply(prepared))
+    return F.when(is_ascii, F.lower(prepared)).otherwise(whole)
 
 
 def casefold(text: Column) -> Column:
-    return _routed(text, text, _case_folding(), _casefold)
+    return _casefolded(text, text)
 
 
 def normalize_prompt(text: Column) -> Column:
     """Whitespace-collapsed, stripped, case-folded text: the identity of a prompt."""
-    return _routed(text, squash(strip(text)), _case_folding(), _casefold)
+    return _casefolded(text, squash(strip(text)))
 
 
 def text_key(normalized: Column) -> Column:
