@@ -217,9 +217,13 @@ def fold_accents(text: Column) -> Column:
     return _routed(text, text, _accent_folding(), F.pandas_udf(fold, T.StringType()))
 
 
+#: The characters of words; those of ASCII are named first, as they are found faster.
+WORD_CLASS = r"[a-zA-Z0-9_\p{L}\p{N}]"
+
+
 def word_tokens(text: Column) -> Column:
-    """Runs of two or more word characters; those of ASCII are named first, as they are found faster."""
-    return F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9_\p{L}\p{N}]{2,})"), 1)
+    """Runs of two or more word characters."""
+    return F.regexp_extract_all(text, F.lit(f"({WORD_CLASS}{{2,}})"), 1)
 
 
 def with_bigrams(tokens: Column) -> Column:

@@ -6,20 +6,20 @@ gives the same numbers from long-form tables by joins, for a model of any size.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import bound
-from .tfidf import (
-    MAX_LOCAL_TERMS,
-    LocalVocabulary,
-    document_terms,
-    products,
-    scaled_values,
-    sublinear_factors,
-    total,
-    with_term_counts,
-)
+from ..functions.terms import KnownTerms, slices, unpacked, word_points
+from ..functions.text import fold_accents
+from .tfidf import MAX_LOCAL_TERMS, LocalVocabulary, document_terms, total
+
+# Ship the Arrow function by value: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP_FEATURES = 30
 MAX_LOCAL_NUMBERS = 20_000_000  # terms x classes of a model that executors hold
@@ -113,28 +113,35 @@ def local_model(vocabulary: DataFrame, coefficients: DataFrame, biases: dict[str
     )
 
 
+def _margin_function(model: LinearTextModel, points: bytes):
+    """Arrow function from folded texts to their margins; it holds no more than a slice of texts at a time."""
+    known = KnownTerms(model.vocabulary.terms)
+    idf, coefs, intercepts = model.vocabulary.idf, model.coefs, model.intercepts
+
+    def margins(texts: pa.Array) -> pa.Array:
+        inside, found = unpacked(points), []
+        for some in slices(texts):
+            owner, term, count = known.counts(some, inside)
+            raw = (np.log(count) + 1.0) * idf[term]
+            norm = np.sqrt(np.bincount(owner, raw * raw, len(some)))
+            of_class = [np.bincount(owner, raw * coefs[term, i], len(some)) for i in range(len(intercepts))]
+            found.append(np.stack(of_class, 1) / np.where(norm > 0, norm, 1.0)[:, None] + intercepts)
+        flat = np.concatenate(found) if found else np.empty((0, len(intercepts)))
+        offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(intercepts)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+
+    margins.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(margins, "array<double>")
+
+
 def with_margins(rows: DataFrame, model: LinearTextModel, text_col: str, out: str = "margins") -> DataFrame:
     """Add the class margins of every row's text as an array in class order.
 
-    margin = (sum of raw weight x coefficient) / norm + intercept. Counts meet idf and the
-    coefficients of each class as scalings of one sparse vector: no join, no shuffle, no Python.
+    margin = (sum of raw weight x coefficient) / norm + intercept, for batches and streams: no join and no shuffle. Texts
+    are folded in the JVM; their terms are found and added up by an Arrow function over slices of texts.
     """
-    idf = model.vocabulary.idf
-    scaling = {"_m_idf": idf} | {f"_m_{i}": idf * model.coefs[:, i] for i in range(len(model.classes))}
-    counted = with_term_counts(rows, model.vocabulary.terms, text_col, "_m_counts")
-    counted = scaled_values(counted, "_m_counts", scaling)
-    values = F.struct(
-        sublinear_factors(F.unwrap_udt(F.col("_m_counts"))["values"]).alias("factors"), *scaling
-    )
-
-    def margins(row: Column) -> Column:
-        raw = products(row["factors"], row["_m_idf"])
-        norm = F.sqrt(total(F.transform(raw, lambda w: w * w)))
-        dots = F.array(*[total(products(row["factors"], row[name])) for name in list(scaling)[1:]])
-        unbiased = bound(norm, lambda n: F.transform(dots, lambda dot: F.when(n > 0, dot / n).otherwise(F.lit(0.0))))
-        return F.zip_with(unbiased, F.array(*[F.lit(float(b)) for b in model.intercepts]), lambda a, b: a + b)
-
-    return counted.withColumn(out, bound(values, margins)).drop("_m_counts", *scaling)
+    function = _margin_function(model, word_points(rows.sparkSession))
+    return rows.withColumn(out, function(fold_accents(F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def with_probabilities(rows: DataFrame, model: LinearTextModel, text_col: str, out: str = "probabilities") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import terms as numbered
 from ..functions.arrays import bound, inline_rows
 from ..functions.text import fold_accents, with_bigrams, word_tokens
 from ..session import materialize
@@ -116,12 +117,19 @@ def fit_vocabulary(
     n_docs = corpus_size(documents)
     # Texts are folded once for both passes, and the counts are merged once for the histogram and the cut.
     folded = materialize(documents.select(fold_accents(F.col(text_col)).alias("folded")), "vocabulary-texts")
-    hashed = materialize(_hash_counts(folded).filter(F.col("df") >= min_df), "vocabulary-hashes")
     below = F.col("df") <= n_docs * F.lit(max_df)
-    candidates = materialize(
-        _reaching(hashed, max_features, below).withColumn("_below", below), "vocabulary-candidates"
-    )
-    named = _candidate_terms(folded, candidates)
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        hashed = materialize(counts.filter(F.col("df") >= min_df), "vocabulary-hashes")
+        return materialize(_reaching(hashed, max_features, below).withColumn("_below", below), "vocabulary-candidates")
+
+    candidates = frequent(_sliced_counts(folded))
+    # The candidates are counted before every task gets their hashes; more of them are met by a join, under hashes of its own.
+    if candidates.count() <= MAX_LOCAL_TERMS:
+        named = _sliced_terms(folded, candidates)
+    else:
+        candidates = frequent(_hash_counts(folded))
+        named = _candidate_terms(folded, candidates)
     if named is None:
         stats = term_stats(document_terms(documents, key, text_col))
         bounded = stats.filter((F.col("df") >= min_df) & below)
@@ -133,6 +141,25 @@ def fit_vocabulary(
     return number_terms(kept.withColumn("idf", smooth_idf(n_docs, F.col("df"))))
 
 
+def _sliced_counts(folded: DataFrame) -> DataFrame:
+    """`_hash_counts` under other hashes: a task adds up some texts at a time, so fewer rows are grouped."""
+    counted = folded.mapInArrow(numbered.counter(numbered.word_points(folded.sparkSession)), numbered.COUNTED)
+    return counted.groupBy("_hash").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+def _sliced_terms(folded: DataFrame, candidates: DataFrame) -> DataFrame | None:
+    """`_candidate_terms` by the hashes of `_sliced_counts`, for candidates that every task can hold."""
+    wanted = np.sort(candidates.select("_hash").toPandas()["_hash"].to_numpy(dtype=np.int64))
+    met = folded.mapInArrow(numbered.namer(numbered.word_points(folded.sparkSession), wanted), numbered.NAMED)
+    return _named_once(met, len(wanted))
+
+
+def _named_once(met: DataFrame, n: int) -> DataFrame | None:
+    """The distinct rows of hash and term, written; None unless there are n, one for every candidate."""
+    named = materialize(met.distinct(), "vocabulary-terms")
+    return named if named.count() == n else None
+
+
 def _token_hashes(tokens: Column) -> tuple[Column, Callable[[Column], Column]]:
     """A 64-bit hash of every token, and what makes of these the hashes of `with_bigrams` in its order."""
 
@@ -145,8 +172,8 @@ def _token_hashes(tokens: Column) -> tuple[Column, Callable[[Column], Column]]:
 
 
 def _hashed_stats(documents: DataFrame, text_col: str) -> DataFrame:
-    """`term_stats` by the 64-bit hash of a term: no term is built, and a group is a number."""
-    return _hash_counts(documents.select(fold_accents(F.col(text_col)).alias("folded")))
+    """`term_stats` by the 64-bit hash of a term: a group is a number."""
+    return _sliced_counts(documents.select(fold_accents(F.col(text_col)).alias("folded")))
 
 
 def _hash_counts(folded: DataFrame) -> DataFrame:
@@ -175,11 +202,8 @@ def _candidate_terms(folded: DataFrame, candidates: DataFrame) -> DataFrame | No
         F.arrays_zip(with_bigrams(F.col("tokens")).alias("term"), all_terms(F.col("hashes")).alias("_hash")).alias("cells")
     )
     rows = inline_rows(zipped, "cells", ["term", "_hash"], [])
-    wanted, n = candidates.select("_hash"), candidates.count()
-    # The candidates are counted before they are broadcast; more of them take the shuffled join.
-    met = rows.join(F.broadcast(wanted) if n <= MAX_LOCAL_TERMS else wanted, "_hash", "left_semi")
-    named = materialize(met.select("_hash", "term").distinct(), "vocabulary-terms")
-    return named if named.count() == n else None
+    met = rows.join(candidates.select("_hash"), "_hash", "left_semi")
+    return _named_once(met.select("_hash", "term"), candidates.count())
 
 
 def number_terms(kept: DataFrame) -> DataFrame:
