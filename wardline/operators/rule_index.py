@@ -1,33 +1,37 @@
 """Scan for large rule catalogs: a literal index finds candidate rules, the regex runs on these.
 
 `scan.scan_prompts` unrolls its catalog into the plan, which suits tens of rules. Here the catalog is
-a table, so plans do not grow with it. Every literal of a rule is filed under one of its n-grams; the
-n-gram at every place of a text meets the index by an equi-join, with the characters that stand there
-but without the text, and a rule's regex sees only the texts that hold one of its literals.
+a table, so plans do not grow with it. The literals of all rules are looked for at once at every place
+of a text (`functions/literals.py`), and a rule's regex sees only texts that hold one of its literals.
+Of a rule that is one whole word it sees only the places where the word stands.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import bound, inline_rows
-from ..functions.regex import jvm_pattern
+from ..functions.literals import Literals, finder
+from ..functions.regex import WORD_END, WORD_START, jvm_pattern
 from ..functions.text import squash, strip
 from ..session import materialize
 from .scan import EVIDENCE_CHARS, INDICATOR_FIELDS
 
-#: Characters of n-grams. A literal is filed under its first ones, as many as the largest length within its own; a literal
-#: shorter than all under itself. Long grams keep candidates few, few lengths keep a text's grams few.
-GRAMS = (8, 4)
-MAX_BROADCAST_LITERALS = 200_000
-MAX_BROADCAST_GRAMS = 1_000_000  # literals alone, without their rules
-WINDOW = 32  # characters of a text that a literal is compared with before it meets the whole text
+MAX_BROADCAST_RULES = 200_000
+# Literals looked for in one pass over the texts, by number and by characters; a larger catalog takes several.
+PASS_LITERALS, PASS_CHARS = 2_000_000, 64_000_000
 CATALOG = (
     "rule_ord int, rule_id string, category string, label string, weight int, pattern string, "
     "explanation string, mitigation string, literals array<string>"
 )
 # Letters that match an ASCII letter when case is ignored but do not lowercase to it, and that letter.
 _ODD_CASE, _PLAIN_CASE = "İıſ", "iis"
+# A pattern that is one whole word of ASCII, in any case; its only look-around are the characters beside it.
+_WHOLE_WORD = rf"^\(\?[uds]*i[uds]*\){re.escape(WORD_START)}([A-Za-z0-9_]+){re.escape(WORD_END)}$"
 
 
 def catalog_table(spark: SparkSession, rules) -> DataFrame:
@@ -44,78 +48,44 @@ def catalog_table(spark: SparkSession, rules) -> DataFrame:
 
 def _folded(text: Column) -> Column:
     """Lower case in which every literal of a matching rule is a substring."""
-    return F.lower(F.translate(text, _ODD_CASE, _PLAIN_CASE))
-
-
-def _gram(literal: Column) -> Column:
-    gram = literal
-    for n in reversed(GRAMS):
-        gram = F.when(F.length(literal) >= n, F.substring(literal, 1, n)).otherwise(gram)
-    return gram
+    odd = reduce(or_, [F.contains(text, F.lit(letter)) for letter in _ODD_CASE])
+    return F.lower(F.when(odd, F.translate(text, _ODD_CASE, _PLAIN_CASE)).otherwise(text))
 
 
-def literal_index(catalog: DataFrame) -> DataFrame:
-    """One row a literal: gram, literal, the literals of its rule before it, and the rule's columns.
+def numbered_rules(catalog: DataFrame) -> DataFrame:
+    """The catalog with a number for every row, its literals folded, and whether a row is one whole word and that its literal.
 
-    A rule without literals is filed under the empty gram, which every text has.
+    A rule without literals gets the empty one, which every text has.
     """
     literals = F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))
     rows = catalog.withColumn("literals", F.array_distinct(F.transform(literals, _folded)))
-    rows = rows.select("*", F.posexplode("literals").alias("_at", "literal"))
-    return rows.select(
-        _gram(F.col("literal")).alias("gram"),
-        "literal",
-        F.slice("literals", F.lit(1), F.col("_at")).alias("earlier"),
-        *[F.col(name) for name in catalog.columns if name != "literals"],
-    )
-
-
-def text_windows(folded: Column, lengths: list[int], longest: int) -> Column:
-    """(gram hash, window) at every place of a text and for every gram length the index has; the empty gram once.
-
-    A window is what stands there, up to the longest literal or WINDOW characters.
-    """
-    windows = F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{1,{max(1, min(WINDOW, longest))}}}))"), 1)
-    parts = [windows] if any(lengths) else []
-    if 0 in lengths or not parts:
-        parts.append(F.array(F.lit("")))
-    return F.concat(*parts)
+    word = F.lower(F.regexp_extract("pattern", _WHOLE_WORD, 1))
+    alone = F.coalesce((word != "") & (F.col("literals") == F.array(word)), F.lit(False))
+    return rows.withColumns({"_rule": F.monotonically_increasing_id(), "_word": alone})
 
 
 def catalog_hits(prompts: DataFrame, catalog: DataFrame, keep, text_col: str = "prompt") -> DataFrame:
     """One row per (prompt, fired rule): the ``keep`` columns, rule_ord and the indicator fields.
 
-    Equal to `scan.rule_hits` with the same rules. A text and a literal that was found in it are kept once; of a rule's
-    literals in a text the first one speaks, so a rule fires once.
+    Equal to `scan.rule_hits` with the same rules: a rule fires once on a text that holds one of its literals.
     """
-    index = literal_index(catalog).withColumn("_literal", F.monotonically_increasing_id())
-    index = materialize(index, "literals")
-    # The index is counted before it is broadcast; a larger one takes the shuffled join. A row a length:
-    sizes = index.groupBy(F.length("gram").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("literal")).alias("longest")).collect()
-    literals, lengths = sum(r["rows"] for r in sizes), sorted(r["n"] for r in sizes)
-    text = F.col(text_col)
-    # Texts are written with a number of their own, as keys may repeat: windows go without them, and a literal that was
-    # found meets its text by the number.
-    staged = prompts.select(*keep, text.alias("_text"), _folded(F.coalesce(text, F.lit(""))).alias("_folded"))
-    staged = materialize(staged.withColumn("_row", F.monotonically_increasing_id()), "scanned")
-    windows = text_windows(F.col("_folded"), lengths, max((r["longest"] for r in sizes), default=0))
-    rows = staged.select("_row", F.explode_outer(windows).alias("_window"))
-    grams = [F.xxhash64(F.substring("_window", 1, n)) for n in lengths] or [F.lit(None).cast("long")]
-    hashed = rows.select("_row", "_window", (grams[0] if len(grams) == 1 else F.explode_outer(F.array(*grams))).alias("_gram"))
-    narrow = index.select(F.xxhash64("gram").alias("_gram"), "literal", "_literal")
-    met = hashed.join(F.broadcast(narrow) if literals <= MAX_BROADCAST_GRAMS else narrow, "_gram")
-    here = F.startswith(F.col("_window"), F.col("literal")) | (
-        (F.length("literal") > WINDOW) & F.startswith(F.col("literal"), F.col("_window"))
-    )
-    candidates = met.filter(here).select("_row", "_literal").repartition("_row").distinct()
-    wide = index.drop("gram")
-    if literals <= MAX_BROADCAST_LITERALS:
-        candidates = candidates.join(staged, "_row").join(F.broadcast(wide), "_literal")
-    else:
-        candidates = candidates.join(wide, "_literal").join(staged, "_row")
-    candidates = candidates.filter(
-        F.contains(F.col("_folded"), F.col("literal")) & ~F.exists("earlier", lambda other: F.contains(F.col("_folded"), other))
-    )
+    rules = materialize(numbered_rules(catalog), "rules")
+    # Rules are counted before they are broadcast; more of them take the shuffled join.
+    chars = F.aggregate("literals", F.lit(0).cast("long"), lambda n, literal: n + F.coalesce(F.length(literal), F.lit(0)))
+    sizes = rules.groupBy("_word").agg(
+        F.count(F.lit(1)).alias("rules"), F.sum(F.size("literals")).alias("literals"), F.sum(chars).alias("chars")
+    ).collect()
+    candidates = []
+    for kind in sizes:
+        passes = max(-(-kind["literals"] // PASS_LITERALS), -(-kind["chars"] // PASS_CHARS), 1)
+        for number in range(passes):
+            part = rules.filter(F.col("_word") == kind["_word"]).filter(F.pmod(F.xxhash64("_rule"), F.lit(passes)) == number)
+            meet = _word_candidates if kind["_word"] else _text_candidates
+            candidates.append(meet(prompts, part, keep, F.col(text_col), kind["rules"] <= passes * MAX_BROADCAST_RULES))
+    carried = [*keep, "rule_ord", *[name for name in INDICATOR_FIELDS if name != "evidence"]]
+    if not candidates:
+        empty = prompts.select(*keep, F.lit(None).cast("string").alias("_text")).limit(0)
+        candidates.append(empty.join(rules, F.lit(True)))
     # One run of the regex for most: a match with text needs no test, and an empty one is told from none by the test. As an
     # array element the result is there once; a filter on a column would be pushed below it and run the regex again.
     found = F.call_function("regexp_extract", F.col("_text"), F.col("pattern"), F.lit(0))
@@ -123,7 +93,39 @@ def catalog_hits(prompts: DataFrame, catalog: DataFrame, keep, text_col: str = "
         found,
         lambda f: F.when((f != "") | F.rlike(F.col("_text"), F.col("pattern")), F.array(F.struct(f.alias("_found")))),
     )
-    carried = [*keep, "rule_ord", *[name for name in INDICATOR_FIELDS if name != "evidence"]]
-    fired = inline_rows(candidates.select(*carried, matched.alias("_matched")), "_matched", ["_found"], carried)
+    tested = [rows.select(*carried, matched.alias("_matched")) for rows in candidates]
+    fired = reduce(DataFrame.unionByName, [inline_rows(rows, "_matched", ["_found"], carried) for rows in tested])
     evidence = F.substring(squash(strip(F.col("_found"))), 1, EVIDENCE_CHARS).alias("evidence")
     return fired.select(*keep, "rule_ord", *[evidence if name == "evidence" else F.col(name) for name in INDICATOR_FIELDS])
+
+
+def _literals_of(rules: DataFrame) -> Literals:
+    held = rules.select("_rule", F.explode("literals").alias("literal")).filter("literal is not null").toArrow()
+    return Literals(held.column("literal"), held.column("_rule").to_numpy())
+
+
+def _found_rules(texts: DataFrame, rules: DataFrame, keep, windows: bool) -> DataFrame:
+    """``keep``, the numbers of the rules whose literals ``_text`` holds, each once, and their windows if wanted."""
+    sent = texts.sparkSession.sparkContext.broadcast(_literals_of(rules).plain())
+    folded = _folded(F.coalesce(F.col("_text"), F.lit("")))
+    held = finder(sent, windows)(F.col("_text") if windows else F.lit(""), folded)
+    return inline_rows(texts.select(*keep, held.alias("_held")), "_held", ["_rule", "_window"], keep)
+
+
+def _word_candidates(prompts: DataFrame, rules: DataFrame, keep, text: Column, broadcast: bool) -> DataFrame:
+    """Rules that are a whole word with the places of a text where it may stand, which serve as the text."""
+    found = _found_rules(prompts.select(*keep, text.alias("_text")), rules, keep, True)
+    found = found.withColumnRenamed("_window", "_text")
+    return found.join(F.broadcast(rules) if broadcast else rules, "_rule")
+
+
+def _text_candidates(prompts: DataFrame, rules: DataFrame, keep, text: Column, broadcast: bool) -> DataFrame:
+    """Rules with the texts that hold one of their literals.
+
+    Texts are written with a number of their own, as keys may repeat, and meet the rules that were found by it.
+    """
+    staged = materialize(prompts.select(*keep, text.alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "scanned")
+    found = _found_rules(staged, rules, ["_row"], False).select("_row", "_rule")
+    if broadcast:
+        return found.join(staged, "_row").join(F.broadcast(rules), "_rule")
+    return found.join(rules, "_rule").join(staged, "_row")
