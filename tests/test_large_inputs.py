@@ -38,3 +38,18 @@ def test_texts_stay_out_of_the_join_with_literals(spark, small):
     assert generate and not any("_text#" in line for line in generate)
     expected = sorted(map(str, scan.rule_hits(prompts, "doc_id").select("doc_id", "rule_id").collect()))
     assert sorted(map(str, hits.select("doc_id", "rule_id").collect())) == expected and len(expected) >= 3
+
+
+def test_rows_held_by_a_task_are_bounded(spark, monkeypatch):
+    """The join with texts holds its rows in memory: more rows make more tasks, whatever the session's number."""
+    monkeypatch.setattr(corpus, "ROWS_A_TASK", 10)
+    monkeypatch.setattr(corpus, "MAX_BROADCAST_ROWS", 50)
+    texts = spark.range(300).select(
+        (F.col("id") % 3).cast("string").alias("source_dataset"), (F.col("id") % 5).cast("string").alias("source_file"), F.col("id").alias("source_row"),
+        F.concat(F.lit("text "), "id").alias("prompt"),
+    )
+    found = corpus.with_prompts(texts.drop("prompt").filter("source_row % 2 = 0"), texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and all(", 15)" in line for line in shuffles) and "ShuffledHashJoin" in plan
+    assert {(r["source_row"], r["prompt"]) for r in found.collect()} == {(i, f"text {i}") for i in range(0, 300, 2)}
